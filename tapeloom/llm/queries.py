@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, what DuckDB should return."""
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
