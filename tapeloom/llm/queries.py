@@ -1,14 +1,19 @@
 """The queries of this subpackage and, where SQL can express them, what DuckDB should return."""
 
-from . import exact_dedup, mixing, quality_rules
+from . import chat_format, exact_dedup, mixing, quality_rules, simhash_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
+    "op2_chat_format": chat_format.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
