@@ -4,8 +4,10 @@ Words of equal length advance together. Hashes of all their substrings of one le
 of the pieces at once; the best score of every prefix is a maximum over the piece that ends there, and backpointers
 are kept for the way back. A word is a run of spaces and what follows it, since no piece goes on after a space.
 
-The model file lends its pieces and their scores; the segmentation with the greatest sum of scores is taken (what
-SentencePiece calls unigram encoding), the longest last piece winning ties.
+The model file lends its pieces and their scores; the segmentation with the greatest sum of log probabilities is
+taken (what SentencePiece calls unigram encoding), the longest last piece winning ties. A BPE model's scores are
+negative merge ranks, whose sum says nothing about likelihood; they become Zipf's log probabilities of those ranks.
+Its ids are those of the model, but where merges of BPE would cut otherwise, the segmentation is Viterbi's.
 """
 
 from __future__ import annotations
@@ -61,6 +63,14 @@ def code_points(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).replace(" ", SPACE_MARK).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    """Scores of a unigram model as they are; whole numbers are merge ranks r, as 1 / (r + 1) over their sum, to 10 binary places so that sums are exact."""
+    ranks = -scores
+    if (ranks < 0).any() or (ranks != np.round(ranks)).any():
+        return scores
+    return np.round((-np.log(ranks + 1) - np.log((1 / (ranks + 1)).sum())) * 1024) / 1024
+
+
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
 
@@ -88,7 +98,7 @@ def load(path: str = MODEL) -> Pieces:
     if (np.diff(hashes[order]) == 0).any():
         raise ValueError("two pieces have the same hash")
     ids = np.array([i for _, i in normal], np.int32)[order]
-    scores = np.array([sp.get_score(int(i)) for i in ids])
+    scores = log_probabilities(np.array([sp.get_score(int(i)) for i in ids]))
     return Pieces(
         hashes[order], ids, np.array([len(p) for p, _ in normal])[order], scores, max(len(p) for p, _ in normal), float(scores.min()) - UNKNOWN_PENALTY,
         byte_ids, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]),
