@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, what DuckDB should return."""
 
-from . import chat_format, exact_dedup, language_id, mixing, quality_rules, sentencepiece_codec, simhash_dedup, warc
+from . import chat_format, exact_dedup, language_id, lm_score, mixing, quality_rules, sentencepiece_codec, simhash_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
