@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, what DuckDB should return."""
 
-from . import chat_format, exact_dedup, language_id, lm_score, mixing, quality_rules, sentencepiece_codec, simhash_dedup, warc
+from . import chat_format, exact_dedup, language_id, lm_score, mixing, quality_rules, sentencepiece_codec, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
 }
