@@ -53,3 +53,19 @@ def without_space(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_mark() -> Column:
+    """Tells rows with the same doc_id and unlike texts apart."""
+    return F.xxhash64(text_or_empty())
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and row_mark() are in kept (doc_id, row_mark); of rows repeated whole, one."""
+    wanted = staged(kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("row_mark").alias("kept_mark")).agg(F.count("*").alias("copies")), "kept")
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (row_mark() == F.col("kept_mark"))
+    found = docs.join(wanted.filter("copies = 1"), same, "left_semi")
+    repeated = wanted.filter("copies > 1")
+    if not repeated.isEmpty():
+        found = found.unionAll(docs.join(repeated, same, "left_semi").withColumn("kept_mark", row_mark()).dropDuplicates(["doc_id", "kept_mark"]).select(*docs.columns))
+    return found

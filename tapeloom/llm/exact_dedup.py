@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty, without_space
@@ -49,16 +49,17 @@ def frequent(rows: DataFrame, key: str, k: int = K, phi: float = PHI) -> DataFra
     )
 
 
-def exact_dedup(docs: DataFrame, k: int = K, phi: float = PHI) -> DataFrame:
+def exact_dedup(docs: DataFrame, k: int = K, phi: float = PHI, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without the characters of SPACE; null counts as empty. Of equal
     texts the one with the most code points in its original stays, then that with the smallest doc_id. Rows
     that are repeated whole (same doc_id and text) form a group too, and all of them carry kept = true; a
-    null doc_id loses every tie. An empty table gives an empty result. Other columns are ignored.
+    null doc_id loses every tie. An empty table gives an empty result. Other columns are ignored; those of extra are
+    made from docs and come with the rows.
     """
-    text = text_or_empty()
-    rows = staged(docs.select("doc_id", F.sha2(without_space(text), 256).alias("text_sha256"), F.length(text).alias("size")), "digests")
+    text, extra = text_or_empty(), extra or {}
+    rows = staged(docs.select("doc_id", *(c.alias(n) for n, c in extra.items()), F.sha2(without_space(text), 256).alias("text_sha256"), F.length(text).alias("size")), "digests")
     heavy = staged(frequent(rows, "text_sha256", k, phi), "heavy")
     best = F.min(F.struct(-F.col("size"), F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id")))
     winners = (
@@ -70,10 +71,10 @@ def exact_dedup(docs: DataFrame, k: int = K, phi: float = PHI) -> DataFrame:
     of_heavy = rows.join(F.broadcast(winners), "text_sha256")
     group = Window.partitionBy("text_sha256")
     of_rest = rows.join(F.broadcast(heavy), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", "size", best.over(group).doc_id.alias("keep_id"), F.count("*").over(group).alias("group_size")
+        "text_sha256", "doc_id", "size", *extra, best.over(group).doc_id.alias("keep_id"), F.count("*").over(group).alias("group_size")
     )
     return of_heavy.select(of_rest.columns).unionAll(of_rest).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra
     )
 
 

@@ -47,7 +47,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and `fp`, the fingerprint of `text` as a long."""
+    """The columns named in keep of docs and `fp`, the fingerprint of `text` as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +130,8 @@ def simhash_groups(docs: DataFrame, extra: list[str] | None = None) -> DataFrame
     """One row for each row of docs (doc_id, text): doc_id, fingerprint, component_id, and columns named in extra.
 
     A null text counts as empty; texts without a word have the fingerprint zero, which links like any other. Equal
-    fingerprints are one node however many documents have them. component_id is the smallest doc_id of the component;
+    fingerprints are one node however many documents have them. component_root is one fingerprint of the component, the
+    same for all its documents. component_id is the smallest doc_id of the component;
     a null doc_id is never the smallest unless a component has no other. An empty table gives an empty result.
     """
     keep = ["doc_id", *(extra or [])]
@@ -139,8 +140,10 @@ def simhash_groups(docs: DataFrame, extra: list[str] | None = None) -> DataFrame
     found = components(links(classes.select("fp")))
     roots = classes.join(found, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = staged(classes.join(roots.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep[1:])
+    linked = roots.join(least, "root").select("fp", "root", "least_id")
+    named = staged(classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
+    shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(named, "fp").select("doc_id", shown("fp").alias("fingerprint"), "component_id", shown("root").alias("component_root"), *keep[1:])
 
 
 def op6_simhash_dedup(spark, sf_dir):
