@@ -1,27 +1,64 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, tokenisation."""
+"""A corpus pipeline of five stages, each one operator of tapeloom.llm.
+
+Every stage takes (spark, docs, sf_dir), where docs has the columns of documents, and works on all rows that its
+predecessor left. Its result is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.exact_dedup import exact_dedup
+from tapeloom.llm import exact_dedup, language_id, mixing, sentencepiece_codec, simhash_dedup
+from tapeloom.llm.common import only, row_mark, staged
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents that aren't held out, and drop documents without a language (null or no letter)."""
+    found = language_id.predict(docs, language_id.trained(docs))
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the one that exact dedup keeps stays."""
+    judged = exact_dedup.exact_dedup(docs, extra={"row_mark": row_mark()})
+    return only(docs, judged.filter("kept").select("doc_id", "row_mark"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    groups = simhash_dedup.simhash_groups(docs.withColumn("row_mark", row_mark()), ["row_mark"])
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("doc_id"), F.col("row_mark").alias("row_mark")))
+    kept = groups.groupBy("component_root").agg(least.alias("k")).select("k.doc_id", "k.row_mark")
+    return only(docs, kept)
+
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: the largest source once, smaller ones up to twice."""
+    return mixing.mix(docs).select(*docs.columns)
 
-STAGES = [("exact_dedup", drop_copies)]
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and whether decoding them gives the text again."""
+    done = sentencepiece_codec.decoded(sentencepiece_codec.encode(docs))
+    same = F.col("decoded_text") == F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "source", "lang", "token_ids", "n_tokens", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", identify),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("SentencePiece", tokenise),
+]
+
+#: SQL expresses neither the classifier nor the segmentation; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tapeloom.llm.common import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
