@@ -1,4 +1,6 @@
 """All queries outside the training-data subpackage, by name, with their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from . import flow_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
