@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio, ratio0, share, sign
+from ..functions.nulls import micro, ratio, ratio0, share, sign
 
 WINDOWS = (3, 7, 15, 30)
 
@@ -32,7 +32,7 @@ def broker_measures() -> list[Column]:
     gross = F.col("bought") + F.col("sold")
     return [
         F.col("net"), gross.alias("gross"), F.round(F.col("buy_amt") - F.col("sell_amt"), 2).alias("net_amt"), F.col("trades"),
-        F.round(ratio(F.col("buy_amt"), F.col("bought")), 8).alias("buy_vwap"), F.round(ratio(F.col("sell_amt"), F.col("sold")), 8).alias("sell_vwap"),
+        micro(ratio(F.round("buy_amt", 2), F.col("bought"))).alias("buy_vwap"), micro(ratio(F.round("sell_amt", 2), F.col("sold"))).alias("sell_vwap"),
         F.round(ratio0(F.col("net"), gross), 6).alias("imbalance"), F.round(ratio0(F.abs("net"), gross), 6).alias("flow_quality"),
         F.when(F.col("net") > 0, "BUY").when(F.col("net") < 0, "SELL").otherwise("FLAT").alias("side"),
     ]

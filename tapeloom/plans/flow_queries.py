@@ -27,7 +27,7 @@ def broker_flow_daily(spark, sf_dir):
 
 
 @query("broker_window_flow", f"""WITH {WINDOWED_SQL} SELECT symbol, w, broker, net, bought + sold AS gross, round(buy_amt - sell_amt, 2) AS net_amt, trades,
-  round(buy_amt / nullif(bought, 0), 8) AS buy_vwap, round(sell_amt / nullif(sold, 0), 8) AS sell_vwap, round(net / (bought + sold), 6) AS imbalance,
+  micro(round(buy_amt, 2) / nullif(bought, 0)) AS buy_vwap, micro(round(sell_amt, 2) / nullif(sold, 0)) AS sell_vwap, round(net / (bought + sold), 6) AS imbalance,
   round(abs(net) / (bought + sold), 6) AS flow_quality, CASE WHEN net > 0 THEN 'BUY' WHEN net < 0 THEN 'SELL' ELSE 'FLAT' END AS side FROM win""")
 def broker_window_flow(spark, sf_dir):
     return op.windowed(flow(spark, sf_dir)).select("symbol", "w", "broker", *op.broker_measures())
