@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -246,7 +247,7 @@ def decoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def pieces_of(batch: pa.RecordBatch, chars: int = 1 << 21, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text, one row at least."""
-    sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)).astype(np.int64))
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, "right"))
