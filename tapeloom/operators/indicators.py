@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import smoothing
 from ..functions.nulls import ratio, ratio0
-from .series import BY
+from .series import by_symbol
 
 
 def trailing(n: int):
-    return BY.rowsBetween(1 - n, 0)
+    return by_symbol().rowsBetween(1 - n, 0)
 
 
 def full(value: Column, n: int, of: str = "c") -> Column:
@@ -48,7 +48,7 @@ def pivots(bars: DataFrame, left: int, right: int) -> DataFrame:
 
     It stands at its own bar but is known only `right` bars later; whoever must not look ahead lags it.
     """
-    w = BY.rowsBetween(-left, right)
+    w = by_symbol().rowsBetween(-left, right)
     only = lambda x, list_, best: F.when((F.size(list_) == left + right + 1) & (x == best(list_)) & (F.size(F.filter(list_, lambda y: y == x)) == 1), x)
     lists = bars.withColumns({"hs": F.collect_list("h").over(w), "ls": F.collect_list("l").over(w)})
     return lists.withColumns({"ph": only(F.col("h"), F.col("hs"), F.array_max), "pl": only(F.col("l"), F.col("ls"), F.array_min)}).drop("hs", "ls")
@@ -60,8 +60,8 @@ def structure_events(bars: DataFrame, left: int, right: int) -> DataFrame:
     A pivot is used up by the first close that crosses it, so within the bars up to the next pivot the first crossing
     counts. A bar that breaks a high breaks no low.
     """
-    p = pivots(bars, left, right).withColumns({"prev": F.lag("c").over(BY)})
-    p = p.withColumns({"kh": F.count("ph").over(BY), "kl": F.count("pl").over(BY), "lph": F.last("ph", True).over(BY), "lpl": F.last("pl", True).over(BY)})
+    p = pivots(bars, left, right).withColumns({"prev": F.lag("c").over(by_symbol())})
+    p = p.withColumns({"kh": F.count("ph").over(by_symbol()), "kl": F.count("pl").over(by_symbol()), "lph": F.last("ph", True).over(by_symbol()), "lpl": F.last("pl", True).over(by_symbol())})
     c, prev = F.col("c"), F.col("prev")
 
     def first(cross: Column, group: str) -> Column:
@@ -70,7 +70,7 @@ def structure_events(bars: DataFrame, left: int, right: int) -> DataFrame:
     p = p.withColumn("up", first((c > F.col("lph")) & (F.col("lph") >= prev), "kh"))
     p = p.withColumn("down", first(~F.col("up") & (c < F.col("lpl")) & (F.col("lpl") <= prev), "kl"))
     e = p.filter("up or down").select("symbol", "dt", F.when(F.col("up"), F.col("lph")).otherwise(F.col("lpl")).alias("level"), F.when(F.col("up"), "up").otherwise("down").alias("direction"))
-    against = F.lag("direction").over(BY) != F.col("direction")
+    against = F.lag("direction").over(by_symbol()) != F.col("direction")
     return e.withColumn("event", F.when(F.coalesce(against, F.lit(False)), "CHoCH").otherwise("BOS"))
 
 
@@ -114,7 +114,7 @@ def trade_levels(signal: Column, price: Column, pivot: Column, atr: Column) -> C
 def accumulation_line(bars: DataFrame, n: int = 20) -> DataFrame:
     """The accumulation/distribution line, its slope over n bars by its mean size, and up volume over down volume."""
     mf = ratio0((F.col("c") - F.col("l")) - (F.col("h") - F.col("c")), F.col("h") - F.col("l")) * F.col("v")
-    b = bars.withColumns({"ad": F.sum(mf).over(BY), "i": F.row_number().over(BY), "up": F.col("c") > F.lag("c").over(BY), "down": F.col("c") < F.lag("c").over(BY)})
+    b = bars.withColumns({"ad": F.sum(mf).over(by_symbol()), "i": F.row_number().over(by_symbol()), "up": F.col("c") > F.lag("c").over(by_symbol()), "down": F.col("c") < F.lag("c").over(by_symbol())})
     w = trailing(n)
     volume = lambda f: F.sum(F.when(F.col(f), F.col("v")).otherwise(0)).over(w)
     slope = F.regr_slope(F.col("ad"), F.col("i").cast("double")).over(w)
@@ -124,13 +124,13 @@ def accumulation_line(bars: DataFrame, n: int = 20) -> DataFrame:
 def crossovers(bars: DataFrame, fast: int, slow: int) -> DataFrame:
     """Sessions on which the fast mean crosses the slow one."""
     m = bars.withColumns({"f": sma(fast), "s": sma(slow)}).withColumn("above", F.col("f") > F.col("s"))
-    return m.withColumn("was", F.lag("above").over(BY)).filter(F.col("above") != F.col("was")).select("symbol", "dt", F.when(F.col("above"), "up").otherwise("down").alias("cross"))
+    return m.withColumn("was", F.lag("above").over(by_symbol())).filter(F.col("above") != F.col("was")).select("symbol", "dt", F.when(F.col("above"), "up").otherwise("down").alias("cross"))
 
 
 def breakouts(bars: DataFrame, n: int = 20, surge: float = 1.5) -> DataFrame:
     """Closes beyond the highest high or lowest low of the n bars before, and whether volume surged or the next close came back."""
-    prior = BY.rowsBetween(-n, -1)
-    b = bars.withColumns({"top": F.max("h").over(prior), "bottom": F.min("l").over(prior), "mean_v": F.avg("v").over(prior), "n": F.count("c").over(prior), "next": F.lead("c").over(BY)})
+    prior = by_symbol().rowsBetween(-n, -1)
+    b = bars.withColumns({"top": F.max("h").over(prior), "bottom": F.min("l").over(prior), "mean_v": F.avg("v").over(prior), "n": F.count("c").over(prior), "next": F.lead("c").over(by_symbol())})
     up, down = F.col("c") > F.col("top"), F.col("c") < F.col("bottom")
     failed = F.when(up, F.col("next") < F.col("top")).otherwise(F.col("next") > F.col("bottom"))
     return b.filter((F.col("n") == n) & (up | down)).select("symbol", "dt", F.when(up, "up").otherwise("down").alias("side"), (F.col("v") >= surge * F.col("mean_v")).alias("surge"), failed.alias("failed"))

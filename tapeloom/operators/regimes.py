@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import micro, pearson, ratio, ratio0, sign
-from .series import BY
+from .series import by_symbol
 
 
 def stock_series(flow: DataFrame, bars: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def stock_series(flow: DataFrame, bars: DataFrame) -> DataFrame:
     f = flow.groupBy("symbol", "dt").agg(
         F.sum("bought").alias("volume"), ((F.max("net") + F.min("net")) / F.sum("bought")).alias("tilt"), (F.sum(F.greatest("net", F.lit(0))) / F.sum("bought")).alias("churn"), (F.count_if(F.col("net") > 0) / F.count("*")).alias("breadth")
     )
-    return f.join(bars.select("symbol", "dt", "c", "amount"), ["symbol", "dt"]).withColumns({"ret": F.col("c") / F.lag("c").over(BY) - 1, "i": F.row_number().over(BY)})
+    return f.join(bars.select("symbol", "dt", "c", "amount"), ["symbol", "dt"]).withColumns({"ret": F.col("c") / F.lag("c").over(by_symbol()) - 1, "i": F.row_number().over(by_symbol())})
 
 
 def runs(rows: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
@@ -30,7 +30,7 @@ def persistence(series: DataFrame, value: str = "tilt", band: float = 0.001) ->
     lengths = runs(s, ["symbol"], "dt", "side").groupBy("symbol", "run", "side").agg(F.count("*").alias("n"))
     longest = lambda x: F.coalesce(F.max(F.when(F.col("side") == x, F.col("n"))), F.lit(0))
     r = lengths.groupBy("symbol").agg(F.count("*").alias("runs"), longest(1).alias("longest_buy"), longest(-1).alias("longest_sell"))
-    taken = s.filter("side != 0").withColumn("was", F.lag("side").over(BY))
+    taken = s.filter("side != 0").withColumn("was", F.lag("side").over(by_symbol()))
     flips = taken.groupBy("symbol").agg(F.count_if(F.col("side") != F.col("was")).alias("flips"))
     mean = F.avg(value)
     a = s.groupBy("symbol").agg(F.count("*").alias("n"), mean.alias("mean"), F.avg(F.abs(value)).alias("size"), F.stddev_pop(value).alias("sd"), F.count_if(F.col("side") == 1).alias("up"), F.count_if(F.col("side") == -1).alias("down"))
@@ -60,7 +60,7 @@ def phase(m_short: Column, m_long: Column) -> Column:
 
 
 def accelerations(series: DataFrame, value: str = "tilt") -> DataFrame:
-    mean = lambda n: F.avg(value).over(BY.rowsBetween(1 - n, 0))
+    mean = lambda n: F.avg(value).over(by_symbol().rowsBetween(1 - n, 0))
     s = series.withColumns({f"m{n}": mean(n) for n in (3, 7, 15, 30)}).filter("i >= 30")
     first = F.when(F.signum("m3") != F.signum("m7"), 7).when(F.signum("m3") != F.signum("m15"), 15).when(F.signum("m3") != F.signum("m30"), 30)
     moved = F.abs(F.col("m3") - F.col("m30")) > 0.25 * F.greatest(F.abs("m3"), F.abs("m30"))
@@ -69,20 +69,20 @@ def accelerations(series: DataFrame, value: str = "tilt") -> DataFrame:
 
 def flow_shape(series: DataFrame, value: str = "net_flow") -> DataFrame:
     """The running sum of a flow: its peak, deepest fall from a peak, and how much of that fall came back."""
-    s = series.withColumn("cum", F.sum(value).over(BY))
-    s = s.withColumn("peak", F.greatest(F.max("cum").over(BY), F.lit(0)))
+    s = series.withColumn("cum", F.sum(value).over(by_symbol()))
+    s = s.withColumn("peak", F.greatest(F.max("cum").over(by_symbol()), F.lit(0)))
     s = s.withColumn("fall", F.col("peak") - F.col("cum"))
     return s.groupBy("symbol").agg(F.max("peak").alias("peak"), F.max("fall").alias("drawdown"), F.min_by("dt", F.struct(-F.col("fall"), "dt")).alias("trough"), F.max_by("cum", "dt").alias("final"), F.max_by("fall", "dt").alias("below_peak"), F.round(ratio0(F.max("fall") - F.max_by("fall", "dt"), F.max("fall")), 6).alias("recovered"))
 
 
 def divergences(series: DataFrame, n: int = 7) -> DataFrame:
     """Sessions on which price and flow lean apart over n rows, by the signs of their slopes."""
-    w = BY.rowsBetween(1 - n, 0)
+    w = by_symbol().rowsBetween(1 - n, 0)
     i = F.col("i").cast("double")
     s = series.withColumns({"price": F.regr_slope(F.col("c"), i).over(w), "lean": F.regr_slope(F.col("tilt"), i).over(w), "level": F.avg("tilt").over(w), "k": F.count("c").over(w)}).filter(F.col("k") == n)
     p, f = F.round("price", 9), F.round("lean", 9)
     kind = F.when((p > 0) & (f < 0) & (F.round("level", 9) < 0), "distribution into strength").when((p < 0) & (f > 0) & (F.round("level", 9) > 0), "accumulation into weakness").when((p > 0) & (f < 0), "bearish").when((p < 0) & (f > 0), "bullish")
-    return s.filter(kind.isNotNull()).select("symbol", "dt", kind.alias("kind"), F.round("price", 4).alias("price_slope"), F.round("lean", 6).alias("flow_slope"))
+    return s.filter(kind.isNotNull()).select("symbol", "dt", kind.alias("kind"), micro(p).alias("price_slope"), micro(f).alias("flow_slope"))
 
 
 def lag_scan(series: DataFrame, most: int = 10) -> DataFrame:
@@ -96,7 +96,7 @@ def regimes(series: DataFrame, n: int = 7, lookback: int = 60, least: int = 20)
     """Tags of a session from its mean volume, churn and size of return over n sessions, against earlier ones."""
     from .stats import point_in_time
 
-    w = BY.rowsBetween(1 - n, 0)
+    w = by_symbol().rowsBetween(1 - n, 0)
     s = series.select("symbol", "dt", F.avg("volume").over(w).alias("mv"), F.avg("churn").over(w).alias("mc"), F.avg(F.abs("ret")).over(w).alias("mr"))
     for x in ("mv", "mc", "mr"):
         s = point_in_time(s, x, lookback, least).withColumnRenamed("z", f"z_{x}").drop("pct")
@@ -123,7 +123,7 @@ def absorption(series: DataFrame, lookback: int = 60, least: int = 20) -> DataFr
     clamp = lambda z: F.greatest(F.lit(0.0), F.least(F.lit(1.0), z / 2))
     score = 100 * (clamp(F.col("z_volume")) + clamp(-F.col("z_churn")) + clamp(-F.col("z_move"))) / 3
     s = s.filter("z_volume is not null and z_churn is not null and z_move is not null").withColumn("score", F.round(score, 6))
-    return s.select("symbol", "dt", "score", F.count_if(F.col("score") >= 30).over(BY.rowsBetween(-4, 0)).alias("recent"))
+    return s.select("symbol", "dt", "score", F.count_if(F.col("score") >= 30).over(by_symbol().rowsBetween(-4, 0)).alias("recent"))
 
 
 def market_flow(series: DataFrame, sectors: DataFrame) -> DataFrame:

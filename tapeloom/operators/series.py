@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.nulls import micro, ratio
 
-BY = Window.partitionBy("symbol").orderBy("dt")
+
+
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("dt")
+
+
 #: Fixed values of the ex-date rule: gap, smallest factor, days apart.
 GAP, LEAST_FACTOR, MAX_DAYS = -0.105, 0.2, 60
 
@@ -20,7 +25,7 @@ def crude_days(a: Column, b: Column) -> Column:
 
 def ex_dates(bars: DataFrame) -> DataFrame:
     """Bars whose open and close both gap down by 10.5 % or more, with the price factor: a bonus or a split."""
-    prev, prev_dt = F.lag("c").over(BY), F.lag("dt").over(BY)
+    prev, prev_dt = F.lag("c").over(by_symbol()), F.lag("dt").over(by_symbol())
     marked = bars.withColumns({"prev": prev, "prev_dt": prev_dt}).withColumn("factor", ratio(F.col("o"), F.col("prev")))
     return marked.filter((F.col("o") / F.col("prev") - 1 <= GAP) & (F.col("c") / F.col("prev") - 1 <= GAP) & (F.col("factor") >= LEAST_FACTOR) & (crude_days(F.col("prev_dt"), F.col("dt")) <= MAX_DAYS)).select("symbol", "dt", "factor")
 
@@ -31,14 +36,14 @@ def adjusted(bars: DataFrame) -> DataFrame:
     Logarithms of the factors add up over the following rows, so it is one window.
     """
     marked = bars.join(ex_dates(bars), ["symbol", "dt"], "left")
-    later = BY.rowsBetween(1, Window.unboundedFollowing)
+    later = by_symbol().rowsBetween(1, Window.unboundedFollowing)
     f = F.exp(F.coalesce(F.sum(F.ln("factor")).over(later), F.lit(0.0)))
     return marked.withColumn("adj", f).select("symbol", "dt", *((F.col(c) * F.col("adj")).alias(c) for c in "ohlc"), "v", "amount", "adj")
 
 
 def bar_changes(bars: DataFrame) -> DataFrame:
     """Change and change in percent against the last close before that isn't null, to 2 places."""
-    prev = F.last("c", ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.last("c", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
     change = F.col("c") - prev
     return bars.withColumns({"change": F.round(change, 2), "pct": F.round(100 * ratio(change, prev), 2)})
 
@@ -84,7 +89,7 @@ def resampled(ticks: DataFrame, minutes: int) -> DataFrame:
 def vwap_returns(bars: DataFrame, circuit: float = 0.20) -> DataFrame:
     """Log returns of the average price; one beyond the circuit is an artefact and counts as 0."""
     v = bars.withColumn("vwap", ratio(F.col("amount"), F.col("v")))
-    r = F.ln(ratio(F.col("vwap"), F.lag("vwap").over(BY)))
+    r = F.ln(ratio(F.col("vwap"), F.lag("vwap").over(by_symbol())))
     return v.select("symbol", "dt", "vwap", F.when(F.abs(r) > circuit, 0.0).otherwise(r).alias("ret"))
 
 
@@ -101,9 +106,9 @@ def market_regime(index: DataFrame, n: int = 20) -> DataFrame:
 
 def forward_path(bars: DataFrame, horizon: int) -> DataFrame:
     """For each session: the next open, and closes, highest high and lowest low of the next `horizon` bars."""
-    ahead = BY.rowsBetween(1, horizon)
+    ahead = by_symbol().rowsBetween(1, horizon)
     return bars.select(
-        "symbol", "dt", F.lead("o", 1).over(BY).alias("entry"), F.lead("c", horizon).over(BY).alias("exit"), F.max("h").over(ahead).alias("best"), F.min("l").over(ahead).alias("worst"), F.count("c").over(ahead).alias("bars")
+        "symbol", "dt", F.lead("o", 1).over(by_symbol()).alias("entry"), F.lead("c", horizon).over(by_symbol()).alias("exit"), F.max("h").over(ahead).alias("best"), F.min("l").over(ahead).alias("worst"), F.count("c").over(ahead).alias("bars")
     ).filter(F.col("bars") == horizon)
 
 

@@ -58,7 +58,7 @@ def adjusted_bars(spark, sf_dir):
 @query("bar_changes", f"""WITH {BARS_SQL}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY dt) AS prev FROM bars)
 SELECT symbol, dt, micro((c - prev)) AS change, micro(100 * (c - prev) / prev) AS pct FROM p""")
 def bar_changes(spark, sf_dir):
-    prev = F.lag("c").over(op.BY)
+    prev = F.lag("c").over(op.by_symbol())
     return day_bars(spark, sf_dir).select("symbol", "dt", micro(F.col("c") - prev).alias("change"), micro(100 * (F.col("c") - prev) / prev).alias("pct"))
 
 
@@ -75,7 +75,7 @@ def daily_upsert(spark, sf_dir):
     out = stored
     for new in (again, more, more):
         out = op.upsert_bars(out, new)
-    return out.select("symbol", "dt", micro(F.col("c")).alias("c"), "v", F.when(F.lag("c").over(op.BY).isNotNull(), F.col("change").isNotNull()).alias("has_change"))
+    return out.select("symbol", "dt", micro(F.col("c")).alias("c"), "v", F.when(F.lag("c").over(op.by_symbol()).isNotNull(), F.col("change").isNotNull()).alias("has_change"))
 
 
 @query("flow_upsert", f"""WITH {FLOW_SQL}, m AS (SELECT max(dt) AS d FROM flow)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import micro
 from ..operators import indicators as op
-from ..operators.series import BY
+from ..operators.series import by_symbol
 from ..sources.tape import BARS_SQL
 from .bar_queries import day_bars
 from .registry import query
@@ -120,7 +120,7 @@ def adx(spark, sf_dir):
 s AS (SELECT *, CASE WHEN (c - pv) * way > 0 THEN pv ELSE c - way * 1.5 * e END AS stop FROM z)
 SELECT symbol, dt, CASE way WHEN 1 THEN 'BUY' ELSE 'SELL' END AS side, micro(stop) AS stop, micro(c + way * (c - stop) * way) AS t1, micro(c + 2 * way * (c - stop) * way) AS t2, micro((c - stop) * way / c * 100) AS risk_pct FROM s""")
 def trade_levels(spark, sf_dir):
-    b = recursive(spark, sf_dir).withColumns({"pc": F.lag("c").over(BY), "ph": F.lag("h").over(BY), "pl": F.lag("l").over(BY)})
+    b = recursive(spark, sf_dir).withColumns({"pc": F.lag("c").over(by_symbol()), "ph": F.lag("h").over(by_symbol()), "pl": F.lag("l").over(by_symbol())})
     b = b.filter("atr14 is not null").withColumn("side", F.when(F.col("c") >= F.col("pc"), "BUY").otherwise("SELL"))
     levels = op.trade_levels(F.col("side"), F.col("c"), F.when(F.col("side") == "BUY", F.col("pl")).otherwise(F.col("ph")), F.col("atr14"))
     return b.select("symbol", "dt", "side", levels.alias("x")).select("symbol", "dt", "side", *(micro(F.col(f"x.{k}")).alias(k) for k in ("stop", "t1", "t2", "risk_pct")))

@@ -58,7 +58,7 @@ def flow_shape(spark, sf_dir):
 
 @query("divergences", f"""WITH {SERIES_SQL}, s AS (SELECT symbol, dt, round(regr_slope(c, i) OVER w, 9) AS price, round(regr_slope(tilt, i) OVER w, 9) AS lean, round(avg(tilt) OVER w, 9) AS level, count(*) OVER w AS k FROM ser WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 6 PRECEDING)),
 d AS (SELECT *, CASE WHEN price > 0 AND lean < 0 AND level < 0 THEN 'distribution into strength' WHEN price < 0 AND lean > 0 AND level > 0 THEN 'accumulation into weakness' WHEN price > 0 AND lean < 0 THEN 'bearish' WHEN price < 0 AND lean > 0 THEN 'bullish' END AS kind FROM s WHERE k = 7)
-SELECT symbol, dt, kind, round(price, 4) AS price_slope, round(lean, 6) AS flow_slope FROM d WHERE kind IS NOT NULL""")
+SELECT symbol, dt, kind, micro(price) AS price_slope, micro(lean) AS flow_slope FROM d WHERE kind IS NOT NULL""")
 def divergences(spark, sf_dir):
     return op.divergences(series(spark, sf_dir))
 

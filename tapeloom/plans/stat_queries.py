@@ -48,10 +48,10 @@ def size_moments(spark, sf_dir):
 @query("vwap_set", f"""WITH {BARS_SQL}, d AS (SELECT symbol, dt, v, round(amount, 2) AS a, c FROM bars) SELECT symbol, dt, {', '.join(f'micro(round(sum(a) OVER w{n}, 2) / sum(v) OVER w{n}) AS vwap{n}' for n in (1, 3, 7, 15, 30))}, round(100 * (c / (round(sum(a) OVER w30, 2) / sum(v) OVER w30) - 1), 6) AS distance30
 FROM d WINDOW {', '.join(f'w{n} AS (PARTITION BY symbol ORDER BY dt ROWS {n - 1} PRECEDING)' for n in (1, 3, 7, 15, 30))}""")
 def vwap_set(spark, sf_dir):
-    from ..operators.series import BY
+    from ..operators.series import by_symbol
 
     b = day_bars(spark, sf_dir).withColumn("a", F.round("amount", 2))
-    vwap = lambda n: F.round(F.sum("a").over(BY.rowsBetween(1 - n, 0)), 2) / F.sum("v").over(BY.rowsBetween(1 - n, 0))
+    vwap = lambda n: F.round(F.sum("a").over(by_symbol().rowsBetween(1 - n, 0)), 2) / F.sum("v").over(by_symbol().rowsBetween(1 - n, 0))
     return b.select("symbol", "dt", *(micro(vwap(n)).alias(f"vwap{n}") for n in (1, 3, 7, 15, 30)), F.round(100 * (F.col("c") / vwap(30) - 1), 6).alias("distance30"))
 
 
@@ -196,7 +196,7 @@ def weighted_quantiles(spark, sf_dir):
 @query("spearman_volume_return", f"""WITH {BARS_SQL}, r AS (SELECT symbol, dt, v, c / lag(c) OVER (PARTITION BY symbol ORDER BY dt) - 1 AS ret FROM bars), k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY v) + (count(*) OVER (PARTITION BY symbol, v) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2 AS ry FROM r WHERE ret IS NOT NULL)
 SELECT symbol, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM k GROUP BY symbol""")
 def spearman_volume_return(spark, sf_dir):
-    from ..operators.series import BY
+    from ..operators.series import by_symbol
 
-    r = day_bars(spark, sf_dir).select("symbol", "dt", "v", (F.col("c") / F.lag("c").over(BY) - 1).alias("ret"))
+    r = day_bars(spark, sf_dir).select("symbol", "dt", "v", (F.col("c") / F.lag("c").over(by_symbol()) - 1).alias("ret"))
     return six(op.spearman(r, "v", "ret", ["symbol"]), "rho")
