@@ -118,7 +118,7 @@ def setup_score(bars: DataFrame) -> DataFrame:
     b = recursive(bars).withColumns({"sma50": sma(50), "top": F.max("h").over(by_symbol().rowsBetween(-20, -1)), "mv": F.avg("v").over(by_symbol().rowsBetween(-20, -1)), "prev_hist": F.lag("hist").over(by_symbol())})
     c = F.col
     parts = [
-        (c("c") > c("sma50"), 10), (c("ema50") > c("sma50"), 10), (c("ema20") > c("ema50"), 10), (c("rsi14") > 50, 10), (c("macd") > c("signal"), 10), (c("hist") > c("prev_hist"), 5), (c("adx14") > 25, 10), (c("plus_di") > c("minus_di"), 10),
+        (c("c") > c("sma50"), 10), (F.round("ema50", 6) > F.round("sma50", 6), 10), (c("ema20") > c("ema50"), 10), (c("rsi14") > 50, 10), (c("macd") > c("signal"), 10), (c("hist") > c("prev_hist"), 5), (c("adx14") > 25, 10), (c("plus_di") > c("minus_di"), 10),
         (c("v") > 1.5 * c("mv"), 10), (c("v") > 2 * c("mv"), 5), (c("c") > c("top"), 10),
     ]
     score = sum((F.when(test, n).otherwise(0) for test, n in parts), F.lit(0))

@@ -17,7 +17,7 @@ def bull_state(bars: DataFrame) -> DataFrame:
     """Whether a session is in the bull state: above its long mean, means in order, RSI over 50, MACD over its signal."""
     b = recursive(bars).withColumn("long", sma(50))
     c = F.col
-    state = (c("c") > c("long")) & (c("ema20") > c("ema50")) & (c("ema50") > c("long")) & (c("rsi14") > 50) & (c("macd") > c("signal"))
+    state = (c("c") > c("long")) & (c("ema20") > c("ema50")) & (F.round("ema50", 6) > F.round("long", 6)) & (c("rsi14") > 50) & (c("macd") > c("signal"))
     return b.withColumn("bull", F.coalesce(state, F.lit(False)))
 
 

@@ -70,7 +70,21 @@ def scan_board(spark, sf_dir):
     return op.scan(bars(tape(spark, sf_dir)))
 
 
-@query("trade_setup_score")
+SETUP_SQL = f"""WITH RECURSIVE {ATR_SQL.replace("symbol, dt, h, l, c,", "symbol, dt, h, l, c, v,")}, x AS MATERIALIZED (SELECT symbol, i, c AS x FROM num), {ema_sql('e20', 'x', 20)}, {ema_sql('e50', 'x', 50)}, {ema_sql('e12', 'x', 12)}, {ema_sql('e26', 'x', 26)},
+mx AS MATERIALIZED (SELECT e26.symbol, e26.i - 25 AS i, e12.e - e26.e AS x FROM e12 JOIN e26 ON e12.symbol = e26.symbol AND e12.i = e26.i), {ema_sql('sg', 'mx', 9)}, g AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(c - pc, 0) AS x FROM num WHERE i > 1), lo AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(pc - c, 0) AS x FROM num WHERE i > 1), {wilder_sql('ag', 'g', 14)}, {wilder_sql('al', 'lo', 14)},
+pm AS MATERIALIZED (SELECT symbol, i - 1 AS i, CASE WHEN h - ph > pl - l AND h - ph > 0 THEN h - ph ELSE 0 END AS x FROM num WHERE i > 1), mm AS MATERIALIZED (SELECT symbol, i - 1 AS i, CASE WHEN pl - l > h - ph AND pl - l > 0 THEN pl - l ELSE 0 END AS x FROM num WHERE i > 1), {wilder_sql('wp', 'pm', 14)}, {wilder_sql('wm', 'mm', 14)},
+dx AS MATERIALIZED (SELECT wp.symbol, wp.i - 13 AS i, CASE WHEN wp.e + wm.e > 0 THEN 100 * abs(wp.e - wm.e) / (wp.e + wm.e) ELSE 0 END AS x, wp.e > wm.e AS plus FROM wp JOIN wm ON wm.symbol = wp.symbol AND wm.i = wp.i), {wilder_sql('ax', 'dx', 14)},
+y AS (SELECT num.symbol, num.dt, num.i, c, v, CASE WHEN count(*) OVER w50 = 50 THEN avg(c) OVER w50 END AS s50, max(h) OVER p20 AS top, avg(v) OVER p20 AS mv, e20.e AS e20, e50.e AS e50, mx.x AS macd, sg.e AS sig, mx.x - sg.e AS hist, 100 * ag.e / nullif(ag.e + al.e, 0) AS rsi, ax.e AS adx, dx.plus AS plus FROM num
+  LEFT JOIN e20 ON e20.symbol = num.symbol AND e20.i = num.i LEFT JOIN e50 ON e50.symbol = num.symbol AND e50.i = num.i LEFT JOIN mx ON mx.symbol = num.symbol AND mx.i = num.i - 25 LEFT JOIN sg ON sg.symbol = num.symbol AND sg.i = num.i - 25 LEFT JOIN ag ON ag.symbol = num.symbol AND ag.i = num.i - 1
+  LEFT JOIN al ON al.symbol = num.symbol AND al.i = num.i - 1 LEFT JOIN ax ON ax.symbol = num.symbol AND ax.i = num.i - 14 LEFT JOIN dx ON dx.symbol = num.symbol AND dx.i = num.i - 14
+  WINDOW w50 AS (PARTITION BY num.symbol ORDER BY num.dt ROWS 49 PRECEDING), p20 AS (PARTITION BY num.symbol ORDER BY num.dt ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, lag(hist) OVER ({W}) AS prev_hist FROM y),
+q AS (SELECT symbol, dt, (CASE WHEN c > s50 THEN 10 ELSE 0 END + CASE WHEN round(e50, 6) > round(s50, 6) THEN 10 ELSE 0 END + CASE WHEN e20 > e50 THEN 10 ELSE 0 END + CASE WHEN rsi > 50 THEN 10 ELSE 0 END + CASE WHEN macd > sig THEN 10 ELSE 0 END + CASE WHEN hist > prev_hist THEN 5 ELSE 0 END + CASE WHEN adx > 25 THEN 10 ELSE 0 END
+  + CASE WHEN plus THEN 10 ELSE 0 END + CASE WHEN v > 1.5 * mv THEN 10 ELSE 0 END + CASE WHEN v > 2 * mv THEN 5 ELSE 0 END + CASE WHEN c > top THEN 10 ELSE 0 END)::INT AS score FROM z WHERE s50 IS NOT NULL AND adx IS NOT NULL AND sig IS NOT NULL)
+SELECT symbol, dt, score, CASE WHEN score >= 90 THEN 'STRONG BUY' WHEN score >= 80 THEN 'BUY' WHEN score >= 60 THEN 'WATCH' ELSE 'AVOID' END AS label FROM q"""
+
+
+@query("trade_setup_score", SETUP_SQL)
 def trade_setup_score(spark, sf_dir):
     return op.setup_score(bars(tape(spark, sf_dir)))
 

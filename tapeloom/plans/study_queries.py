@@ -17,7 +17,7 @@ LABELLED_SQL = f"{SERIES_SQL}, lab AS MATERIALIZED (SELECT * FROM (SELECT *, lea
 g AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(c - pc, 0) AS x FROM num WHERE i > 1), lo AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(pc - c, 0) AS x FROM num WHERE i > 1), {wilder_sql('ag', 'g', 14)}, {wilder_sql('al', 'lo', 14)},
 s AS (SELECT num.symbol, dt, c, CASE WHEN count(*) OVER w = 50 THEN avg(c) OVER w END AS long, e20.e AS a, e50.e AS b, 100 * ag.e / nullif(ag.e + al.e, 0) > 50 AS strong, mx.x > sg.e AS over FROM num LEFT JOIN e20 ON e20.symbol = num.symbol AND e20.i = num.i LEFT JOIN e50 ON e50.symbol = num.symbol AND e50.i = num.i LEFT JOIN mx ON mx.symbol = num.symbol AND mx.i = num.i - 25
   LEFT JOIN sg ON sg.symbol = num.symbol AND sg.i = num.i - 25 LEFT JOIN ag ON ag.symbol = num.symbol AND ag.i = num.i - 1 LEFT JOIN al ON al.symbol = num.symbol AND al.i = num.i - 1 WINDOW w AS (PARTITION BY num.symbol ORDER BY dt ROWS 49 PRECEDING)),
-t AS (SELECT symbol, dt, coalesce(c > long AND a > b AND b > long AND strong AND over, false) AS bull FROM s), u AS (SELECT *, lag(bull) OVER (PARTITION BY symbol ORDER BY dt) AS was FROM t) SELECT symbol, dt FROM u WHERE bull AND NOT was""")
+t AS (SELECT symbol, dt, coalesce(c > long AND a > b AND round(b, 6) > round(long, 6) AND strong AND over, false) AS bull FROM s), u AS (SELECT *, lag(bull) OVER (PARTITION BY symbol ORDER BY dt) AS was FROM t) SELECT symbol, dt FROM u WHERE bull AND NOT was""")
 def trigger_edges(spark, sf_dir):
     return op.edges(op.bull_state(bars(tape(spark, sf_dir))), "bull").select("symbol", "dt")
 
