@@ -108,7 +108,7 @@ def scan(bars: DataFrame) -> DataFrame:
     p = pivots(r, 5, 5).withColumns({"last_high": F.last("ph", True).over(by_symbol()), "last_low": F.last("pl", True).over(by_symbol()), "age": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt"))), "prev": F.lag("c").over(by_symbol())})
     up, over, under = F.col("c") >= F.col("ema20"), F.col("c") > F.col("last_high"), F.col("c") < F.col("last_low")
     return p.filter("age = 1 and ema20 is not null").select(
-        "symbol", "dt", F.round("c", 4).alias("c"), F.round(100 * (F.col("c") / F.col("prev") - 1), 4).alias("change_pct"), F.when(up, "up").otherwise("down").alias("trend"), F.round("rsi14", 4).alias("rsi14"), F.round("atr14", 4).alias("atr14"),
+        "symbol", "dt", micro(F.col("c")).alias("c"), F.round(100 * (F.col("c") / F.col("prev") - 1), 4).alias("change_pct"), F.when(up, "up").otherwise("down").alias("trend"), F.round("rsi14", 4).alias("rsi14"), micro(F.col("atr14")).alias("atr14"),
         F.when(up & F.coalesce(over, F.lit(False)), "BUY").when(~up & F.coalesce(under, F.lit(False)), "SELL").otherwise("WATCH").alias("signal"),
     )
 

@@ -63,7 +63,7 @@ ATR_SQL = f"{NUMBERED}, {TR}, {wilder_sql('a', 'tr', 14)}"
 
 @query("scan_board", f"""WITH RECURSIVE {ATR_SQL}, x AS MATERIALIZED (SELECT symbol, i, c AS x FROM num), {ema_sql('e20', 'x', 20)}, g AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(c - pc, 0) AS x FROM num WHERE i > 1), lo AS MATERIALIZED (SELECT symbol, i - 1 AS i, greatest(pc - c, 0) AS x FROM num WHERE i > 1), {wilder_sql('ag', 'g', 14)}, {wilder_sql('al', 'lo', 14)}, {pivots_sql(5, 5)},
 k AS (SELECT symbol, dt, c, lag(c) OVER w AS prev, last_value(ph IGNORE NULLS) OVER w AS last_high, last_value(pl IGNORE NULLS) OVER w AS last_low, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n FROM piv WINDOW w AS ({W}))
-SELECT k.symbol, dt, round(c, 4) AS c, round(100 * (c / prev - 1), 4) AS change_pct, CASE WHEN c >= e20.e THEN 'up' ELSE 'down' END AS trend, CASE WHEN ag.e + al.e > 0 THEN round(100 * ag.e / (ag.e + al.e), 4) END AS rsi14, round(a.e, 4) AS atr14,
+SELECT k.symbol, dt, micro(c) AS c, round(100 * (c / prev - 1), 4) AS change_pct, CASE WHEN c >= e20.e THEN 'up' ELSE 'down' END AS trend, CASE WHEN ag.e + al.e > 0 THEN round(100 * ag.e / (ag.e + al.e), 4) END AS rsi14, micro(a.e) AS atr14,
   CASE WHEN c >= e20.e AND coalesce(c > last_high, false) THEN 'BUY' WHEN c < e20.e AND coalesce(c < last_low, false) THEN 'SELL' ELSE 'WATCH' END AS signal
 FROM k JOIN e20 ON e20.symbol = k.symbol AND e20.i = k.i JOIN ag ON ag.symbol = k.symbol AND ag.i = k.i - 1 JOIN al ON al.symbol = k.symbol AND al.i = k.i - 1 JOIN a ON a.symbol = k.symbol AND a.i = k.i - 1 WHERE k.i = n""")
 def scan_board(spark, sf_dir):

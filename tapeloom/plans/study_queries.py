@@ -48,10 +48,10 @@ def variant_table(spark, sf_dir):
     return op.variants(replayed(spark, sf_dir), conditions)
 
 
-@query("float_turn_rank", f"""WITH {BARS_SQL}, {INSTRUMENTS_SQL}, f AS (SELECT symbol, dt, v / float_shares AS turn FROM bars JOIN instruments USING (symbol)) SELECT symbol, dt, round(turn, 8) AS turn, round((row_number() OVER (PARTITION BY dt ORDER BY turn, symbol) - 0.5) / count(*) OVER (PARTITION BY dt), 6) AS rank FROM f""")
+@query("float_turn_rank", f"""WITH {BARS_SQL}, {INSTRUMENTS_SQL}, f AS (SELECT symbol, dt, v / float_shares AS turn FROM bars JOIN instruments USING (symbol)) SELECT symbol, dt, micro(1000 * turn) AS turn_per_mille, round((row_number() OVER (PARTITION BY dt ORDER BY turn, symbol) - 0.5) / count(*) OVER (PARTITION BY dt), 6) AS rank FROM f""")
 def float_turn_rank(spark, sf_dir):
     f = bars(tape(spark, sf_dir)).join(instruments(spark, sf_dir), "symbol").withColumn("turn", F.col("v") / F.col("float_shares"))
-    return f.select("symbol", "dt", F.round("turn", 8).alias("turn"), F.round(op.same_day_rank(f, "turn"), 6).alias("rank"))
+    return f.select("symbol", "dt", micro(1000 * F.col("turn")).alias("turn_per_mille"), F.round(op.same_day_rank(f, "turn"), 6).alias("rank"))
 
 
 @query("churn_buckets", f"""WITH {LABELLED_SQL}, q AS (SELECT quantile_cont(churn, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM lab) SELECT (len(list_filter(cuts, lambda x: x < churn)) + 1)::INT AS bucket, count(*) AS n, round(avg(fwd), 6) AS mean, round(median(fwd), 6) AS median, round(avg((fwd > 0)::INT), 6) AS win_rate FROM lab, q GROUP BY 1""")
