@@ -49,7 +49,8 @@ def key(text: Column) -> Column:
 def shown(x: Column) -> Column:
     """A board's cell: empty for null and NaN, 0 for what is nearly 0, else six digits."""
     v = x.cast("double")
-    return F.when(v.isNull() | F.isnan(v), "").when(F.abs(v) < 1e-12, "0").otherwise(F.format_string("%.6g", v))
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", v), r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(v.isNull() | F.isnan(v), "").when(F.abs(v) < 1e-12, "0").otherwise(short)
 
 
 def html_cells(pages: DataFrame, tag: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.nulls import ratio0
 from ..operators.calendar import broker_code, number, whole
@@ -56,7 +57,7 @@ def column_arrays(json: Column) -> Column:
     return F.arrays_zip(*(x[f].alias(f) for f in "tohlcv"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inflate(frames: pd.Series) -> pd.Series:
     """Feed frames `<n>^<base64 of deflated text>`; null if a frame isn't one. Spark has no function that inflates."""
 
