@@ -1,10 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training documents are counted in blocks: a task sums the words and word pairs of a block, splits the sums by hash
-into segments, and a segment adds up what all blocks sent it. From there two things come back. The filter: it holds
-every counted n-gram once for each level of its quantised log count, has a fixed number of bits, and is broadcast; a
-count is read by probing level after level until one is absent. And the exact counts of each block's own words, from
-which the base score is made; no table of all words is ever gathered.
+into segments, and a segment adds up what all blocks sent it. A segment makes its page of the filter: that holds every
+counted n-gram once for each level of its quantised log count, and has so many bits for each level that it holds; a
+count is read by probing level after level until one is absent. Blocks send all their words and pairs, so the probes
+are at their page already, and what the page answers goes back to the block. With it go the exact counts of the
+block's own words, from which the base score is made. The filter grows with the input; neither it nor a table of all
+words is ever gathered.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, text_or_empty
 
-#: The filter: 64 pages of 2 ** PAGE_BITS bits, probes for each level, and the greatest level.
+#: The filter: segments are numbered by 64 pages, a page has 2 ** PAGE_BITS bits unless it is told otherwise; probes for
+#: each level, and the greatest level.
 PAGES, PAGE_BITS, PROBES, LEVELS = 64, 22, 4, 48
+#: Bits for each level in a page, at least: an absent level is seen as present with chance (1 - exp(-4 / 16)) ** 4, 0.24 %.
+LEVEL_BITS = 16
 #: Word pairs enter the filter from this count on. A pair's share in a probability is LAMBDA.
 MIN_PAIRS, LAMBDA, ADD = 2, 0.5, 0.1
-#: Bytes of text in a block, and filter parts that are merged at once.
-BLOCK_BYTES, FAN_IN = 8 << 20, 64
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -96,38 +101,54 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.frexp(counts.astype(float))[1], 0)
 
 
-def bit_places(h: np.ndarray, j: int) -> Iterator[np.ndarray]:
-    """Bits within the page of h at level j, one array for each probe."""
+def page_bits(counts: np.ndarray) -> int:
+    """The least power of two, as an exponent and 10 at least, that has LEVEL_BITS for each level of n-grams with these counts."""
+    return max(10, int(LEVEL_BITS * np.minimum(level(counts), LEVELS).sum() - 1).bit_length())
+
+
+def bit_places(h: np.ndarray, j: int, bits: int) -> Iterator[np.ndarray]:
+    """Bits within the page of h, which has 2 ** bits, at level j, one array for each probe."""
     g = mix(h + _U(j * 0x9E3779B97F4A7C15 % 2**64))
     step = (g >> _U(32)) | _U(1)
     for k in range(PROBES):
-        yield ((g + _U(k) * step) >> _U(3)) & _U((1 << PAGE_BITS) - 1)
+        yield ((g + _U(k) * step) >> _U(3)) & _U((1 << bits) - 1)
 
 
-def page_of(h: np.ndarray, counts: np.ndarray) -> bytes:
-    """The bits of one page that n-grams with these counts set."""
-    bits = np.zeros(1 << PAGE_BITS, bool)
+def page_of(h: np.ndarray, counts: np.ndarray, bits: int = PAGE_BITS) -> bytes:
+    """The bits of one page, of 2 ** bits, that n-grams with these counts set."""
+    page = np.zeros(1 << bits, bool)
     levels = level(counts)
     for j in range(1, min(int(levels.max(initial=0)), LEVELS) + 1):
-        for at in bit_places(h[levels >= j], j):
-            bits[at] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+        for at in bit_places(h[levels >= j], j, bits):
+            page[at] = True
+    return np.packbits(page, bitorder="little").tobytes()
 
 
-def read_counts(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Counts by repeated probes: the middle of the last level that is present, 0 if none is."""
-    found = np.zeros(len(h), np.int64)
+def read_levels(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """The last level that is present by repeated probes, 0 if none is. pages: all of them, or the one that h are in."""
+    bits = pages.shape[1].bit_length() + 2
+    found = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
     for j in range(1, LEVELS + 1):
         x = h[live]
-        page, ok = (x >> _U(58)).astype(np.int64), np.ones(len(x), bool)
-        for at in bit_places(x, j):
+        page, ok = (x >> _U(58)).astype(np.int64) % len(pages), np.ones(len(x), bool)
+        for at in bit_places(x, j, bits):
             ok &= (pages[page, (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
         live = live[ok]
         found[live] = j
         if not len(live):
             break
-    return np.where(found > 0, 0.75 * 2.0**found - 0.5, 0)
+    return found
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The count in the middle of a level, 0 for 0."""
+    return np.where(levels > 0, 0.75 * 2.0**levels - 0.5, 0)
+
+
+def read_counts(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Counts by repeated probes: the middle of the last level that is present, 0 if none is."""
+    return middle(read_levels(h, pages))
 
 
 # ---- passes ---------------------------------------------------------------------------------------------------
@@ -135,82 +156,64 @@ def read_counts(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
 
 def count_block(n_sub: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one block: its words with their counts in training, and the pairs of training, by segment."""
+        """Of one block: its words and its pairs with their counts in training, by segment."""
         block = int(pdf["block"].iloc[0])
         h, offsets = tokens(pdf["text"].tolist())
         learn = np.repeat(pdf["learn"].to_numpy(bool), np.diff(offsets))
-        words, which = np.unique(h, return_inverse=True)
-        two, n_two = np.unique(pairs(h, offsets)[learn], return_counts=True)
         rows = []
-        for kind, keys, n in (("word", words, np.bincount(which[learn], minlength=len(words))), ("pair", two, n_two)):
+        for kind, grams in (("word", h), ("pair", pairs(h, offsets))):
+            keys, which = np.unique(grams, return_inverse=True)
             order, segs, at = in_segments(keys, n_sub)
-            keys, n = keys[order], n[order].astype(np.uint32)
+            keys, n = keys[order], np.bincount(which[learn], minlength=len(keys))[order].astype(np.uint32)
             rows += [(int(s), block, kind, keys[a:b].tobytes(), n[a:b].tobytes()) for s, a, b in zip(segs, at[:-1], at[1:], strict=True)]
         return pd.DataFrame(rows, columns=["seg", "block", "kind", "keys", "counts"])
 
     return run
 
 
-def add_up(n_sub: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one segment: totals, the counts of each block's words in the order that they came in, and filter bits."""
-        seg = int(pdf["seg"].iloc[0])
-        rows, grams, sums = [], [], []
-        for kind, part in pdf.groupby("kind"):
-            keys = np.concatenate([np.frombuffer(x, _U) for x in part["keys"]])
-            n = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]])
-            distinct, which = np.unique(keys, return_inverse=True)
-            total = np.bincount(which, n, len(distinct)).astype(np.int64)
-            if kind == "word":
-                lengths = [len(x) // 8 for x in part["keys"]]
-                for block, c in zip(part["block"], np.split(total[which], np.cumsum(lengths)[:-1]), strict=True):
-                    rows.append(("counts", int(block), seg, c.tobytes(), 0, 0))
-                rows.append(("total", 0, seg, b"", int(total.sum()), int((total > 0).sum())))
-            keep = total >= (MIN_PAIRS if kind == "pair" else 1)
-            grams.append(distinct[keep])
-            sums.append(total[keep])
-        rows.append(("bits", seg % n_sub, seg // n_sub, page_of(np.concatenate(grams), np.concatenate(sums)), 0, 0))
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "data", "n", "v"])
-
-    return run
-
-
-def merge_pages(pdf: pd.DataFrame) -> pd.DataFrame:
-    merged = np.zeros(1 << (PAGE_BITS - 3), np.uint8)
-    for x in pdf["data"]:
-        merged |= np.frombuffer(x, np.uint8)
-    return pd.DataFrame({"a": [int(pdf["a"].iloc[0]) // FAN_IN], "b": [int(pdf["b"].iloc[0])], "data": [merged.tobytes()]})
-
-
-def gathered(parts: DataFrame, n_sub: int) -> np.ndarray:
-    """All pages, on the driver: PAGES * 2 ** PAGE_BITS bits (32 MB), whatever was counted."""
-    pages = parts.filter("kind = 'bits'").select("a", "b", "data")
-    while True:
-        pages = pages.groupBy(F.expr(f"a div {FAN_IN}"), "b").applyInPandas(lambda pdf: merge_pages(pdf), "a long, b long, data binary")
-        n_sub = -(-n_sub // FAN_IN)
-        if n_sub == 1:
-            break
-    out = np.zeros((PAGES, 1 << (PAGE_BITS - 3)), np.uint8)
-    for row in pages.toLocalIterator():
-        out[row["b"]] = np.frombuffer(row["data"], np.uint8)
-    return out
-
-
-def score_block(n_sub: int, n_all: int, n_distinct: int, shared):
+def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one segment: totals, and of each block's words and pairs, in the order that they came in, what the page of the
+    filter says of them; of words the exact counts too."""
+    seg = int(pdf["seg"].iloc[0])
+    rows, sums = [], []
+    for kind, part in pdf.groupby("kind"):
+        keys = np.concatenate([np.frombuffer(x, _U) for x in part["keys"]])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]])
+        distinct, which = np.unique(keys, return_inverse=True)
+        sums.append((kind, part, distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
+    grams = np.concatenate([x[2] for x in sums])
+    counts = np.concatenate([np.where(x[4] >= (MIN_PAIRS if x[0] == "pair" else 1), x[4], 0) for x in sums])
+    page = np.frombuffer(page_of(grams, counts, page_bits(counts)), np.uint8)[None]
+    for kind, part, distinct, which, total in sums:
+        at = np.cumsum([len(x) // 8 for x in part["keys"]])[:-1]
+        levels = np.split(read_levels(distinct, page)[which], at)
+        exact = np.split(total[which], at) if kind == "word" else [total[:0]] * len(part)
+        rows += [(kind, int(block), seg, c.tobytes(), x.tobytes(), 0, 0) for block, c, x in zip(part["block"], exact, levels, strict=True)]
+        if kind == "word":
+            rows.append(("total", 0, seg, b"", b"", int(total.sum()), int((total > 0).sum())))
+    return pd.DataFrame(rows, columns=["kind", "block", "seg", "exact", "levels", "n", "v"])
+
+
+def score_block(n_sub: int, n_all: int, n_distinct: int):
     def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """Base and model scores of one block's documents, from the exact counts of its words and from the filter."""
+        """Base and model scores of one block's documents, from the exact counts of its words and from what the filter said."""
         h, offsets = tokens(pdf["text"].tolist())
         words, which = np.unique(h, return_inverse=True)
-        order, _, _ = in_segments(words, n_sub)
+        two, at = np.unique(pairs(h, offsets), return_inverse=True)
         known = known.sort_values("seg")
-        exact = np.zeros(len(words), np.int64)
-        exact[order] = np.concatenate([np.frombuffer(x, np.int64) for x in known["data"]])
+
+        def back(keys: np.ndarray, kind: str, column: str, dtype) -> np.ndarray:
+            """What the segments sent of these n-grams, put in the order of keys."""
+            out = np.zeros(len(keys), dtype)
+            out[in_segments(keys, n_sub)[0]] = np.concatenate([np.frombuffer(x, dtype) for x in known.loc[known["kind"] == kind, column]])
+            return out
+
+        exact = back(words, "word", "exact", np.int64)
         below = n_all + ADD * (n_distinct + 1)
         total = lambda x: np.add.reduceat(x, offsets[:-1])
         base = total(np.log10((exact + ADD) / below)[which])
-        one = read_counts(words, shared.value)
-        two, at = np.unique(pairs(h, offsets), return_inverse=True)
-        both = read_counts(two, shared.value)[at]
+        one = middle(back(words, "word", "levels", np.uint8))
+        both = middle(back(two, "pair", "levels", np.uint8))[at]
         before = np.empty(len(h))
         before[1:] = one[which[:-1]]
         before[offsets[:-1]] = one[np.searchsorted(words, END)]
@@ -233,8 +236,8 @@ def lm_score(docs: DataFrame) -> DataFrame:
     share after the word before it with its share of all, both from the filter. Repeated rows are learned from and
     scored each; an empty table gives an empty result; other columns are ignored.
 
-    The filter has 2 ** 28 bits for any corpus: with m n-gram levels in it a level that is absent is seen as present
-    with chance (1 - exp(-4 m / 2 ** 28)) ** 4, 0.2 % at 17 million.
+    The filter has LEVEL_BITS bits or more for each n-gram level in it, for any corpus: a level that is absent is seen as
+    present with chance 0.24 % at most.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
@@ -245,12 +248,11 @@ def lm_score(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"),
     )
     sums = rows.groupBy("block").applyInPandas(count_block(n_sub), "seg long, block long, kind string, keys binary, counts binary")
-    parts = staged(sums.groupBy("seg").applyInPandas(add_up(n_sub), "kind string, a long, b long, data binary, n long, v long"), "lm")
+    parts = staged(sums.groupBy("seg").applyInPandas(add_up, "kind string, block long, seg long, exact binary, levels binary, n long, v long"), "lm")
     n_all, n_distinct = parts.filter("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    shared = docs.sparkSession.sparkContext.broadcast(gathered(parts, n_sub))
-    counts = parts.filter("kind = 'counts'").select(F.col("a").alias("block"), F.col("b").alias("seg"), "data")
+    counts = parts.filter("kind != 'total'").select("kind", "block", "seg", "exact", "levels")
     return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(
-        score_block(n_sub, n_all, n_distinct, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        score_block(n_sub, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 

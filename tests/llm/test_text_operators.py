@@ -228,6 +228,40 @@ def test_filter_never_reads_less_than_was_put_in():
     assert (absent > 0).mean() < 0.001
 
 
+def test_page_grows_with_what_it_holds():
+    """900,000 levels fill more than half of the 2 ** 22 bits that a page once had, and 3,600,000 nearly all."""
+    for n in (300_000, 1_200_000):
+        h = lm_score.mix(np.arange(1, n + 1, dtype=np.uint64))
+        counts = np.full(n, 5)
+        page = np.frombuffer(lm_score.page_of(h, counts, lm_score.page_bits(counts)), np.uint8)[None]
+        assert (lm_score.read_levels(h, page) >= 3).all() and (lm_score.read_levels(h, page) > 3).mean() < 0.0025
+        assert (lm_score.read_levels(lm_score.mix(np.arange(10**8, 10**8 + 100_000, dtype=np.uint64)), page) > 0).mean() < 0.003
+
+
+def test_lm_scores_are_those_of_quantised_counts(docs, corpus, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1 << 15)
+    toks = [[*(t or "").encode().translate(LOWER).split(), None] for _, t, *_ in corpus]
+    learned = [t for (i, *_), t in zip(corpus, toks, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 10]
+    one, two = collections.Counter(w for t in learned for w in t), collections.Counter(p for t in learned for p in zip([None, *t], t))
+    below = sum(one.values()) + 0.1 * (len(one) + 1)
+    middle = lambda c: 0.75 * 2 ** c.bit_length() - 0.5 if c else 0
+
+    def score(t):
+        for p, w in zip([None, *t], t):
+            alone, before = min((middle(one[w]) + 0.1) / below, 1), middle(one[p])
+            both = middle(two[p, w] if two[p, w] >= lm_score.MIN_PAIRS else 0)
+            yield math.log10(0.5 * min(both, before) / before + 0.5 * alone if before else alone)
+
+    want, found = collections.defaultdict(list), collections.defaultdict(list)
+    for (i, *_), t in zip(corpus, toks, strict=True):
+        want[i, len(t)].append(sum(score(t)))
+    for r in lm_score.lm_score(docs).collect():
+        found[r.doc_id, r.n_tokens].append(r.score)
+    assert want.keys() == found.keys()
+    off = [(abs(a - b), n) for (i, n), x in want.items() for a, b in zip(sorted(x), sorted(found[i, n]), strict=True)]
+    assert np.median([d for d, _ in off]) < 1e-6 and sum(d for d, _ in off) < 0.02 * sum(n for _, n in off)
+
+
 # ---- language ID ----
 
 
