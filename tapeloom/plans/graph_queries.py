@@ -67,10 +67,10 @@ def cycles3(spark, sf_dir):
     return op.cycles3(op.edges(tape(spark, sf_dir), 0.002))
 
 
-@query("cycles4", f"""WITH {EDGES.replace('0.002', '0.003')} SELECT x.symbol, x.src AS a, x.dst AS b, y.dst AS c, z.dst AS d, least(x.qty, y.qty, z.qty, v.qty) AS least
+@query("cycles4", f"""WITH {EDGES} SELECT x.symbol, x.src AS a, x.dst AS b, y.dst AS c, z.dst AS d, least(x.qty, y.qty, z.qty, v.qty) AS least
 FROM e x JOIN e y ON y.symbol = x.symbol AND y.src = x.dst JOIN e z ON z.symbol = x.symbol AND z.src = y.dst JOIN e v ON v.symbol = x.symbol AND v.src = z.dst AND v.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND x.src < z.dst AND x.dst <> z.dst""")
 def cycles4(spark, sf_dir):
-    return op.cycles4(op.edges(tape(spark, sf_dir), 0.003))
+    return op.cycles4(op.edges(tape(spark, sf_dir), 0.002))
 
 
 @query("sequence_stats", f"""WITH {TAPE_SQL}, t AS (SELECT *, row_number() OVER w AS i, lag(buyer) OVER w AS pb, lag(seller) OVER w AS ps, lag(rate) OVER w AS pr, count(*) OVER (PARTITION BY symbol) AS n FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY dt, ok, ln, pk, sk, qty, amt)),

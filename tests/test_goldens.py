@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import math
+import os
 import zlib
 
 import numpy as np
@@ -188,3 +189,27 @@ def test_empty_bars_give_empty_results(spark):
     none = bars_of(spark, [1.0]).filter("false")
     for f in (series.adjusted, indicators.recursive, lambda b: indicators.structure_events(b, 2, 2), boards.first_passage, boards.supply_demand):
         assert f(none).count() == 0
+
+
+def test_rings_of_four_from_edges_of_two_thousandths_of_the_volume(spark):
+    """The reference's least share of an edge, 0.002 of the symbol's volume, for both lengths."""
+    from collections import Counter, defaultdict
+
+    from tapeloom.plans.catalogue import QUERIES
+    from tapeloom.sources.tape import tape
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    volume, qty, rings = Counter(), Counter(), Counter()
+    for r in tape(spark, sf).select("symbol", "buyer", "seller", "qty").collect():
+        volume[r.symbol] += r.qty
+        qty[r.symbol, r.buyer, r.seller] += r.qty
+    nodes = defaultdict(lambda: defaultdict(dict))
+    for (s, a, b), q in qty.items():
+        if a != b and q >= 0.002 * volume[s]:
+            nodes[s][a][b] = q
+    for s, to in nodes.items():
+        for a in list(to):
+            for b, c, d in ((b, c, d) for b in to[a] if a < b for c in to[b] if a < c for d in to[c] if a < d and d != b):
+                if a in to[d]:
+                    rings[s, a, b, c, d, min(to[a][b], to[b][c], to[c][d], to[d][a])] += 1
+    assert Counter(map(tuple, QUERIES["cycles4"](spark, sf).select("symbol", "a", "b", "c", "d", "least").collect())) == rings and rings
