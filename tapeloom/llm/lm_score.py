@@ -25,8 +25,8 @@ from .common import staged, table, text_or_empty
 PAGES, PAGE_BITS, PROBES, LEVELS = 64, 22, 4, 48
 #: Bits for each level in a page, at least: an absent level is seen as present with chance (1 - exp(-4 / 16)) ** 4, 0.24 %.
 LEVEL_BITS = 16
-#: Word pairs enter the filter from this count on. A pair's share in a probability is LAMBDA.
-MIN_PAIRS, LAMBDA, ADD = 2, 0.5, 0.1
+#: A pair's share in a probability is LAMBDA.
+LAMBDA, ADD = 0.5, 0.1
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 
@@ -182,7 +182,7 @@ def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         distinct, which = np.unique(keys, return_inverse=True)
         sums.append((kind, part, distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
     grams = np.concatenate([x[2] for x in sums])
-    counts = np.concatenate([np.where(x[4] >= (MIN_PAIRS if x[0] == "pair" else 1), x[4], 0) for x in sums])
+    counts = np.concatenate([x[4] for x in sums])
     page = np.frombuffer(page_of(grams, counts, page_bits(counts)), np.uint8)[None]
     for kind, part, distinct, which, total in sums:
         at = np.cumsum([len(x) // 8 for x in part["keys"]])[:-1]

@@ -249,7 +249,7 @@ def test_lm_scores_are_those_of_quantised_counts(docs, corpus, monkeypatch):
     def score(t):
         for p, w in zip([None, *t], t):
             alone, before = min((middle(one[w]) + 0.1) / below, 1), middle(one[p])
-            both = middle(two[p, w] if two[p, w] >= lm_score.MIN_PAIRS else 0)
+            both = middle(two[p, w])
             yield math.log10(0.5 * min(both, before) / before + 0.5 * alone if before else alone)
 
     want, found = collections.defaultdict(list), collections.defaultdict(list)
@@ -262,6 +262,16 @@ def test_lm_scores_are_those_of_quantised_counts(docs, corpus, monkeypatch):
     assert np.median([d for d, _ in off]) < 1e-6 and sum(d for d, _ in off) < 0.02 * sum(n for _, n in off)
 
 
+def test_a_pair_seen_once_is_known():
+    import pandas as pd
+
+    block = pd.DataFrame({"block": 0, "text": ["never seen twice"], "learn": True})
+    sums = lm_score.count_block(1)(block)
+    parts = pd.concat(lm_score.add_up(x) for _, x in sums.groupby("seg"))
+    levels = np.concatenate([np.frombuffer(x, np.uint8) for x in parts.loc[parts["kind"] == "pair", "levels"]])
+    assert len(levels) == 4 and (levels >= 1).all()
+
+
 # ---- language ID ----
 
 
