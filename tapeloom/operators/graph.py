@@ -131,7 +131,7 @@ def affinity(flow: DataFrame) -> DataFrame:
 
 
 def repeats(trades: DataFrame, k: int = 5) -> DataFrame:
-    """The k most repeated pairs, prices and price-quantity combinations of each symbol."""
+    """The k most repeated pairs, quantities, and buyers with quantities of each symbol; repeated_patterns has the other kinds."""
     one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     kinds = F.array(
         one("pair", F.concat_ws(">", F.col("buyer").cast("string"), F.col("seller").cast("string"))), one("quantity", F.col("qty").cast("string")), one("combination", F.concat_ws(":", F.col("buyer").cast("string"), F.col("qty").cast("string")))
@@ -147,3 +147,70 @@ def anomaly(sessions: DataFrame, metrics: list[str], lookback: int = 60, least:
     z = long_.withColumns({"n": F.count("x").over(prior), "mean": F.avg("x").over(prior), "sd": F.stddev_pop("x").over(prior)}).filter(F.col("n") >= least)
     part = F.when(F.col("sd") < 1e-9, 0.0).otherwise(F.least(F.abs((F.col("x") - F.col("mean")) / F.col("sd")), F.lit(5.0)))
     return z.withColumn("part", part).groupBy("symbol", "dt").agg(F.round(F.avg("part"), 6).alias("score"), F.max_by("metric", F.struct(F.round("part", 6), "metric")).alias("oddest"))
+
+
+def session_metrics(trades: DataFrame, flow: DataFrame) -> DataFrame:
+    """The fourteen measures of a session that need no history: sizes, concentrations, flow quality, self trades.
+
+    Trades are only ever summed by session and broker, pair or rate; the sessions are joined from those sums.
+    """
+    key, square = ["symbol", "dt"], lambda x: F.sum(x.cast("double") * x)
+    vol, trade, brokers = F.col("volume").cast("double"), F.col("trades"), F.col("brokers")
+    whole = trades.groupBy(*key).agg(F.count("*").alias("trades"), F.sum("qty").alias("volume"), F.sum("amt").alias("turnover"), F.sum(F.when(F.col("buyer") == F.col("seller"), F.col("qty")).otherwise(0)).alias("self"))
+    by_broker = flow.groupBy(*key).agg(F.count("*").alias("brokers"), square(F.col("bought") + F.col("sold")).alias("gg"), square(F.col("bought")).alias("bb"), square(F.col("sold")).alias("ss"), F.sum(F.greatest("net", F.lit(0))).alias("pos"))
+    by_pair = trades.groupBy(*key, "buyer", "seller").agg(F.sum("qty").alias("q")).groupBy(*key).agg(square(F.col("q")).alias("pp"), F.max("q").alias("top"))
+    by_rate = trades.groupBy(*key, "rate").count().groupBy(*key).agg(F.max("count").alias("modal"))
+    return whole.join(by_broker, key).join(by_pair, key).join(by_rate, key).select(
+        *key, (vol / trade).alias("trade_size"), "volume", "turnover", (F.col("gg") / (4 * vol * vol)).alias("broker_concentration"), (F.col("bb") / (vol * vol)).alias("buyer_concentration"), (F.col("ss") / (vol * vol)).alias("seller_concentration"),
+        (F.col("pp") / (vol * vol)).alias("pair_concentration"), (F.col("pos") / vol).alias("flow_quality"), (F.col("modal") / trade).alias("price_concentration"), trade.alias("trade_frequency"), brokers.alias("participation"),
+        (trade / brokers).alias("fragmentation"), (F.col("self") / vol).alias("self_trade_pct"), (F.col("top") / vol).alias("top_pair_share"),
+    )
+
+
+def session_anomaly(trades: DataFrame, flow: DataFrame, least: int = 10) -> DataFrame:
+    """How unusual a session is by fifteen measures: the mean of their |z| against all sessions before it, at most 5 each.
+
+    The fifteenth is the net share of the broker whose net over those sessions is largest (the smallest wins ties),
+    against that same broker's shares in them. Measures with |z| of 2 or more are flagged.
+    """
+    metrics = session_metrics(trades, flow)
+    names = metrics.columns[2:]
+    over = lambda *by: Window.partitionBy(*by).orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
+    stats = lambda w: {"n": F.count("x").over(w), "mean": F.avg("x").over(w), "sd": F.stddev_pop("x").over(w)}
+    long_ = metrics.select("symbol", "dt", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in names)))).withColumns(stats(over("symbol", "metric")))
+    grid = metrics.select("symbol", "dt", F.col("volume").alias("vol")).join(flow.select("symbol", "broker").distinct(), "symbol").join(flow.select("symbol", "dt", "broker", "net"), ["symbol", "dt", "broker"], "left")
+    w = over("symbol", "broker")
+    grid = grid.withColumn("x", F.coalesce("net", F.lit(0)) / F.col("vol")).withColumns({**stats(w), "base": F.abs(F.sum(F.coalesce("net", F.lit(0))).over(w))}).filter(F.col("n") >= least)
+    fields = ["x", "n", "mean", "sd"]
+    dominant = grid.groupBy("symbol", "dt").agg(F.max_by(F.struct(*fields), F.struct("base", -F.col("broker"))).alias("d")).select("symbol", "dt", F.lit("dominant_flow").alias("metric"), "d.*")
+    z = long_.filter(F.col("n") >= least).unionByName(dominant).withColumn("z", F.when(F.col("sd") < 1e-9, 0.0).otherwise(F.abs((F.col("x") - F.col("mean")) / F.col("sd"))))
+    part = F.least("z", F.lit(5.0))
+    return z.groupBy("symbol", "dt").agg(
+        F.round(F.avg(part), 6).alias("score"), F.max_by("metric", F.struct(F.round(part, 6), "metric")).alias("oddest"), F.array_sort(F.collect_list(F.when(F.round("z", 6) >= 2, F.col("metric")))).alias("flagged"), F.count("*").alias("metrics"), F.max("n").alias("baseline_sessions")
+    )
+
+
+def repeated_patterns(trades: DataFrame, flow: DataFrame, k: int = 3, large: float = 0.99) -> DataFrame:
+    """The k most repeated of six kinds in each symbol, as (kind, a, b): pairs by sessions (buyer, seller), prices, price and
+    quantity seen twice or more, net buyers and net sellers by sessions, and buyers of trades as large as the cut at `large`.
+
+    The cut is the quantity at index floor(trades * large), found in the counts of each quantity. Share is of sessions, of
+    trades, or of the large trades; the smallest (a, b) wins ties.
+    """
+    total = trades.groupBy("symbol").agg(F.count("*").alias("trades"), F.count_distinct("dt").alias("sessions"))
+    kind = lambda df, name, a, b, of, more=F.lit(0): df.select("symbol", F.lit(name).alias("kind"), F.col(a).cast("double").alias("a"), (F.col(b) if b else F.lit(None)).cast("double").alias("b"), F.col("n"), more.cast("long").alias("more"), F.lit(of).alias("of"))
+    counted = lambda df, *by: df.groupBy("symbol", *by).agg(F.count("*").alias("n"))
+    pair = trades.groupBy("symbol", "buyer", "seller").agg(F.count_distinct("dt").alias("n"), F.sum("qty").alias("qty"))
+    sizes = counted(trades, "qty").join(total.select("symbol", "trades"), "symbol").withColumn("upto", F.sum("n").over(Window.partitionBy("symbol").orderBy("qty")))
+    cut = sizes.filter(F.col("upto") > F.least(F.col("trades") - 1, F.floor(F.col("trades") * F.lit(large)))).groupBy("symbol").agg(F.min("qty").alias("cut"))
+    big = counted(trades.join(cut, "symbol").filter(F.col("qty") >= F.col("cut")), "buyer")
+    all_ = kind(pair, "pair", "buyer", "seller", "sessions", F.col("qty"))
+    for other in (
+        kind(counted(trades, "rate"), "price", "rate", None, "trades"), kind(counted(trades, "rate", "qty").filter("n > 1"), "price_volume", "rate", "qty", "trades"),
+        kind(counted(flow.filter("net > 0"), "broker"), "accumulator", "broker", None, "sessions"), kind(counted(flow.filter("net < 0"), "broker"), "distributor", "broker", None, "sessions"), kind(big, "large", "buyer", None, "large"),
+    ):
+        all_ = all_.unionByName(other)
+    w = Window.partitionBy("symbol", "kind")
+    ranked = all_.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), F.desc("more"), "a", "b")), "sum": F.sum("n").over(w)}).filter(F.col("rank") <= k).join(total, "symbol")
+    below = F.when(F.col("of") == "sessions", F.col("sessions")).when(F.col("of") == "trades", F.col("trades")).otherwise(F.col("sum"))
+    return ranked.select("symbol", "kind", "a", "b", "n", F.round(F.col("n") / below, 6).alias("share"), "rank")

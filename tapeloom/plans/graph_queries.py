@@ -100,3 +100,27 @@ p AS (SELECT *, CASE WHEN sd < 1e-9 THEN 0 ELSE least(abs((x - mean) / sd), 5) E
 def anomaly(spark, sf_dir):
     s = tape(spark, sf_dir).groupBy("symbol", "dt").agg(F.sum("qty").alias("volume"), F.count("*").alias("trades"), F.count_distinct("buyer").alias("buyers"), F.count_distinct("seller").alias("sellers"), F.max("qty").alias("largest"))
     return op.anomaly(s, ["volume", "trades", "buyers", "sellers", "largest"])
+
+
+@query("session_anomaly", f"""WITH {FLOW_SQL}, a AS (SELECT symbol, dt, count(*) AS trades, sum(qty)::DOUBLE AS volume, sum(amt) AS turnover, sum(CASE WHEN buyer = seller THEN qty ELSE 0 END)::DOUBLE AS self FROM tape GROUP BY ALL),
+b AS (SELECT symbol, dt, count(*) AS brokers, sum((bought + sold)::DOUBLE * (bought + sold)) AS gg, sum(bought::DOUBLE * bought) AS bb, sum(sold::DOUBLE * sold) AS ss, sum(greatest(net, 0))::DOUBLE AS pos FROM flow GROUP BY ALL),
+p AS (SELECT symbol, dt, sum(q * q) AS pp, max(q) AS top FROM (SELECT symbol, dt, buyer, seller, sum(qty)::DOUBLE AS q FROM tape GROUP BY ALL) GROUP BY ALL), r AS (SELECT symbol, dt, max(c) AS modal FROM (SELECT symbol, dt, rate, count(*) AS c FROM tape GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT symbol, dt, volume / trades AS trade_size, volume, turnover, gg / (2 * volume) ** 2 AS broker_concentration, bb / volume ** 2 AS buyer_concentration, ss / volume ** 2 AS seller_concentration, pp / volume ** 2 AS pair_concentration, pos / volume AS flow_quality, modal / trades AS price_concentration,
+  trades::DOUBLE AS trade_frequency, brokers::DOUBLE AS participation, trades / brokers AS fragmentation, self / volume AS self_trade_pct, top / volume AS top_pair_share FROM a JOIN b USING (symbol, dt) JOIN p USING (symbol, dt) JOIN r USING (symbol, dt)),
+l AS (UNPIVOT m ON COLUMNS(* EXCLUDE (symbol, dt)) INTO NAME metric VALUE x), z AS (SELECT symbol, dt, metric, x, count(x) OVER w AS n, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd FROM l WINDOW w AS (PARTITION BY symbol, metric ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g0 AS (SELECT a.symbol, a.dt, k.broker, coalesce(net, 0) AS net, coalesce(net, 0) / volume AS x FROM a JOIN (SELECT DISTINCT symbol, broker FROM flow) k ON k.symbol = a.symbol LEFT JOIN flow ON flow.symbol = a.symbol AND flow.dt = a.dt AND flow.broker = k.broker),
+g AS (SELECT *, count(x) OVER w AS n, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd, sum(net) OVER w AS base FROM g0 WINDOW w AS (PARTITION BY symbol, broker ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT * FROM z WHERE n >= 10 UNION ALL SELECT symbol, dt, 'dominant_flow', x, n, mean, sd FROM g WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY symbol, dt ORDER BY abs(base) DESC, broker) = 1), q AS (SELECT *, CASE WHEN sd < 1e-9 THEN 0 ELSE abs((x - mean) / sd) END AS z FROM y)
+SELECT symbol, dt, round(avg(least(z, 5)), 6) AS score, max_by(metric, row(round(least(z, 5), 6), metric)) AS oddest, coalesce(list_sort(list(metric) FILTER (round(z, 6) >= 2)), []) AS flagged, count(*) AS metrics, max(n) AS baseline_sessions FROM q GROUP BY symbol, dt""")
+def session_anomaly(spark, sf_dir):
+    return op.session_anomaly(tape(spark, sf_dir), flow(spark, sf_dir))
+
+
+@query("repeated_patterns", f"""WITH {FLOW_SQL}, t AS (SELECT symbol, count(*) AS trades, count(DISTINCT dt) AS sessions FROM tape GROUP BY symbol), o AS (SELECT symbol, qty, buyer, row_number() OVER (PARTITION BY symbol ORDER BY qty) - 1 AS i FROM tape),
+c AS (SELECT o.symbol, qty AS cut FROM o JOIN t USING (symbol) WHERE i = least(trades - 1, floor(trades * 0.99::DOUBLE))), k AS (SELECT symbol, 'pair' AS kind, buyer::DOUBLE AS a, seller::DOUBLE AS b, count(DISTINCT dt) AS n, sum(qty)::BIGINT AS more FROM tape GROUP BY ALL
+UNION ALL SELECT symbol, 'price', rate, NULL, count(*), 0 FROM tape GROUP BY ALL UNION ALL SELECT symbol, 'price_volume', rate, qty, count(*), 0 FROM tape GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT symbol, 'accumulator', broker, NULL, count(*), 0 FROM flow WHERE net > 0 GROUP BY ALL
+UNION ALL SELECT symbol, 'distributor', broker, NULL, count(*), 0 FROM flow WHERE net < 0 GROUP BY ALL UNION ALL SELECT o.symbol, 'large', buyer, NULL, count(*), 0 FROM o JOIN c USING (symbol) WHERE qty >= cut GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY n DESC, more DESC, a, b)::INT AS rank, sum(n) OVER (PARTITION BY symbol, kind) AS all_n FROM k)
+SELECT symbol, kind, a, b, n, round(n / CASE WHEN kind IN ('pair', 'accumulator', 'distributor') THEN sessions WHEN kind = 'large' THEN all_n ELSE trades END, 6) AS share, rank FROM r JOIN t USING (symbol) WHERE rank <= 3""")
+def repeated_patterns(spark, sf_dir):
+    return op.repeated_patterns(tape(spark, sf_dir), flow(spark, sf_dir))

@@ -213,3 +213,33 @@ def test_rings_of_four_from_edges_of_two_thousandths_of_the_volume(spark):
                 if a in to[d]:
                     rings[s, a, b, c, d, min(to[a][b], to[b][c], to[c][d], to[d][a])] += 1
     assert Counter(map(tuple, QUERIES["cycles4"](spark, sf).select("symbol", "a", "b", "c", "d", "least").collect())) == rings and rings
+
+
+TRADES = "symbol string, dt date, buyer int, seller int, qty long, rate double, amt double"
+
+
+def test_a_session_odd_only_in_self_trades_is_flagged(spark):
+    """Volume, trades, buyers, sellers and the largest trade are the same in all sessions."""
+    from tapeloom.operators import graph
+    from tapeloom.sources.tape import broker_flow
+
+    rows = []
+    for i, m in enumerate([0, 2] * 5 + [0, 8]):
+        rows += [("A", dt.date(2024, 1, 1) + dt.timedelta(i), b, b if b < m else m + (b + 1 - m) % (10 - m), 10, 5.0, 50.0) for b in range(10)]
+    trades = spark.createDataFrame(rows, TRADES)
+    out = {r.dt.day: r for r in graph.session_anomaly(trades, broker_flow(trades)).collect()}
+    assert sorted(out) == [11, 12]
+    assert (out[12].score, out[12].oddest, out[12].flagged, out[12].metrics, out[12].baseline_sessions) == (0.333333, "self_trade_pct", ["self_trade_pct"], 15, 11)
+
+
+def test_six_kinds_of_repeats(spark):
+    from tapeloom.operators import graph
+    from tapeloom.sources.tape import broker_flow
+
+    d = lambda x: dt.date(2024, 1, x)
+    trades = spark.createDataFrame([("A", d(1), 1, 2, 10, 5.0, 50.0), ("A", d(2), 1, 2, 10, 5.0, 50.0), ("A", d(2), 3, 2, 100, 7.0, 700.0)], TRADES)
+    out = sorted(((r.kind, r["rank"], r.a, r.b, r.n, r.share) for r in graph.repeated_patterns(trades, broker_flow(trades)).collect()))
+    assert out == [
+        ("accumulator", 1, 1, None, 2, 1.0), ("accumulator", 2, 3, None, 1, 0.5), ("distributor", 1, 2, None, 2, 1.0), ("large", 1, 3, None, 1, 1.0), ("pair", 1, 1, 2, 2, 1.0), ("pair", 2, 3, 2, 1, 0.5),
+        ("price", 1, 5, None, 2, 0.666667), ("price", 2, 7, None, 1, 0.333333), ("price_volume", 1, 5, 10, 2, 0.666667),
+    ]
