@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +20,13 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor reach.
 
-    It is the cluster's `spark.checkpoint.dir`; where that is unset (tests, local runs) a temporary
-    folder of this machine is made once for each session.
+    It is the cluster's `spark.checkpoint.dir`; where that is unset, a temporary folder of this machine is made once for
+    each session, which only a local master may use.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tapeloom.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor reach")
         base = f"file://{tempfile.mkdtemp(prefix='tapeloom-')}"
         spark.conf.set("tapeloom.shared.dir", base)
     return base.rstrip("/") + "/tapeloom"
@@ -29,14 +36,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
-    A lost executor then costs a task of the writing or of the reading job, never the whole chain.
+    A lost executor then costs a task of the writing or of the reading job, never the whole chain. row_group: bytes of a
+    row group, for tables with very large rows.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,11 +69,63 @@ def row_mark() -> Column:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and row_mark() are in kept (doc_id, row_mark); of rows repeated whole, one."""
+    """The rows of docs whose doc_id and row_mark() are in kept (doc_id, row_mark); of rows repeated whole, one.
+
+    The columns of docs may have any names: they travel as one struct.
+    """
     wanted = staged(kept.groupBy(F.col("doc_id").alias("kept_id"), F.col("row_mark").alias("kept_mark")).agg(F.count("*").alias("copies")), "kept")
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (row_mark() == F.col("kept_mark"))
-    found = docs.join(wanted.filter("copies = 1"), same, "left_semi")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), row_mark().alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_mark") == F.col("kept_mark"))
+    found = keyed.join(wanted.filter("copies = 1"), same, "left_semi")
     repeated = wanted.filter("copies > 1")
     if not repeated.isEmpty():
-        found = found.unionAll(docs.join(repeated, same, "left_semi").withColumn("kept_mark", row_mark()).dropDuplicates(["doc_id", "kept_mark"]).select(*docs.columns))
-    return found
+        found = found.unionAll(keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_mark"]))
+    return found.select("row.*")
+
+
+def blocks(docs: DataFrame, fields: dict[str, Column], name: str, block_bytes: int, work: Callable[[int, dict[str, list]], list[dict]], parts: dict[str, pa.DataType]) -> DataFrame:
+    """docs packed as they stand into rows of about block_bytes of text, written to the shared folder and read again.
+
+    Columns: block, an array for each of fields (of type string, boolean or binary), and `parts`, an array of structs
+    that work(block, {field: values}) returns; parts has their fields. No row moves, so copies lie where their rows lay,
+    and a text larger than block_bytes is a block of its own. Reading `parts` alone leaves the texts on disk.
+    """
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    rows = docs.select(*(c.alias(n) for n, c in fields.items()))
+    types = {n: kinds[t] for n, t in rows.dtypes}
+    struct = pa.struct(list(parts.items()))
+    schema = pa.schema([("block", pa.int64()), *((n, pa.list_(t)) for n, t in types.items()), ("parts", pa.list_(struct))])
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+    inner = ", ".join(f"{n}: {names[t]}" for n, t in parts.items())
+    ddl = "block long, " + ", ".join(f"{n} array<{t}>" for n, t in rows.dtypes) + f", parts array<struct<{inner}>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        held: dict[str, list] = {c: [] for c in types}
+        size = 0
+        for batch in batches:
+            lengths = np.zeros(batch.num_rows, np.int64)
+            for c, t in types.items():
+                if t == pa.binary():
+                    lengths += pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+            at, upto = 0, np.cumsum(lengths)
+            while at < batch.num_rows:
+                room = block_bytes - size + (upto[at - 1] if at else 0)
+                end = max(int(np.searchsorted(upto, room, "right")), at)
+                if end == at and not size:
+                    end = at + 1
+                for c in types:
+                    held[c] += batch.column(c).slice(at, end - at).to_pylist()
+                size += int(lengths[at:end].sum())
+                if end < batch.num_rows or size >= block_bytes:
+                    yield full(task << 32 | n, held)
+                    held, size, n = {c: [] for c in types}, 0, n + 1
+                at = end
+        if any(held.values()):
+            yield full(task << 32 | n, held)
+
+    def full(block: int, held: dict[str, list]) -> pa.RecordBatch:
+        columns = [pa.array([block]), *(pa.array([held[c]], pa.list_(t)) for c, t in types.items()), pa.array([work(block, held)], pa.list_(struct))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return staged(rows.mapInArrow(run, ddl), name, row_group=block_bytes)

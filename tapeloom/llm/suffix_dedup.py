@@ -2,35 +2,39 @@
 
 What could match is brought together first. Every window of SPAN bytes has an anchor, the GRAM bytes in it with the
 least hash, so equal windows have equal anchors at equal places. Windows that follow one another with the same anchor
-make a segment. Documents are looked at in blocks, and packed hashes of anchors and segments are summed over all blocks:
-
-* an anchor that occurs once has windows that occur once;
-* a segment that occurs twice whole has windows that all occur twice, wherever it stands: one copy of it stands for all;
-* what is left, unlike segments around one anchor, goes to a task by anchor. There the transform of the segments is
-  built, and breadth-first backward extension of intervals sets common prefixes in increasing order up to SPAN; places
-  that stay unset share SPAN bytes with a neighbour.
-
-An anchor around which more than CROWD unlike segments stand (a passage that very many documents embed, at its ends)
-would be too much for a task; windows of its segments are counted by packed hashes, as anchors are.
+make a segment. An anchor that occurs once has windows that occur once. Of all others the segments are compared:
+
+* equal segments (by 128 bits of hash, 64 of them BLAKE2) are a class. Two copies of a class, from two places where
+  there are two, stand for all; every place of the class is a member and gets what is found for it;
+* the segments around one anchor go into one transform, byte by byte. Breadth-first backward extension of its intervals
+  sets common prefixes in increasing order up to SPAN; places that stay unset share SPAN bytes with a neighbour. Nothing
+  is removed that the transform did not find;
+* an anchor with more than GROUP_BYTES of segments around it (the ends of a passage that very many documents embed) gets
+  several transforms. Its segments are cut by where the anchor lies in a window, into ranges of so many windows as WIDTHS
+  says. All windows of a range have a stretch in common, so those that could be equal agree in that stretch and go into
+  one transform. What is still too large is cut again, at last into single windows, where all that agree are one class.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import blocks, staged, table, text_or_empty
 
 SPAN, GRAM = 200, 64
-#: Bytes of text in a block, of a chunk of it that is hashed at once, and of segments in one transform.
+#: Bytes of text in a block, of a chunk of it that is hashed at once, and of segments in one transform where anchors have few.
 BLOCK_BYTES, CHUNK_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 19, 1 << 20
-#: Unlike segments around one anchor that a task takes.
-CROWD = 2000
+#: Bytes of text for each part that sums up hashes; a part has 17 bytes for each of its segments, which are some 60 windows long.
+PART_BYTES = 32 << 20
+#: Bytes of segments around one anchor in one transform, and how many windows a range has where an anchor has more.
+GROUP_BYTES, WIDTHS = 2 << 20, (24, 4, 1)
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -70,115 +74,124 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
-            size += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
+def stretches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (index of the text, where it starts in it, bytes) of about CHUNK_BYTES. Every window is in one stretch: texts
+    that are longer are cut, and each stretch goes on for SPAN - 1 bytes."""
+    out, size = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text) - SPAN + 1, 0), CHUNK_BYTES):
+            part = text if len(text) < CHUNK_BYTES else text[at : at + CHUNK_BYTES + SPAN - 1]
+            if size and size + len(part) > CHUNK_BYTES:
+                yield out
+                out, size = [], 0
+            out.append((i, at, part))
+            size += len(part)
+    if out:
+        yield out
+
+
+def short_digest(data) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Of all segments: doc (index of the text), start, n (windows), anchor and whole (hashes)."""
-    out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in (("doc", np.int64), ("start", np.int64), ("n", np.int64), ("anchor", _U), ("whole", _U))}
-    for lo, hi in chunks(texts):
-        b = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-        if len(b) < SPAN:
-            continue
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])
-        roll = Rolling(b)
-        grams = roll.hash(np.arange(len(b) - GRAM + 1), GRAM)
-        low = _U((1 << 28) - 1)  # places in a chunk; a document is never cut, so it may be as long as 256 MB
+    """Of all segments: doc (index of the text), start, n (windows), gram_at (of the anchor in it), anchor and whole (hashes)."""
+    out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in (("doc", np.int64), ("start", np.int64), ("n", np.int64), ("gram_at", np.int64), ("anchor", _U), ("whole", _U))}
+    for parts in stretches(texts):
+        data = b"".join(x for _, _, x in parts)
+        b = np.frombuffer(data, np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for _, _, x in parts])])
+        grams = Rolling(b).hash(np.arange(len(b) - GRAM + 1), GRAM)
+        low = _U((1 << 28) - 1)  # places in a chunk
         least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=_U), SPAN - GRAM + 1)
         place = (least & low).astype(np.int64)
-        doc = np.repeat(np.arange(hi - lo), np.diff(bounds))[: len(place)]
-        windows = np.nonzero(np.arange(len(place)) + SPAN <= bounds[doc + 1])[0]
-        if not len(windows):
-            continue
+        part = np.repeat(np.arange(len(parts)), np.diff(bounds))[: len(place)]
+        windows = np.nonzero(np.arange(len(place)) + SPAN <= bounds[part + 1])[0]
         p = place[windows]
         first = np.nonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (np.diff(windows) > 1)]))[0]
         start, n = windows[first], np.diff(np.append(first, len(windows)))
-        d = doc[start]
-        for k, x in (("doc", d + lo), ("start", start - bounds[d]), ("n", n), ("anchor", grams[p[first]]), ("whole", roll.hash(start, n + SPAN - 1))):
+        own = part[start]
+        view = memoryview(data)
+        whole = np.fromiter((short_digest(view[a:z]) for a, z in zip(start.tolist(), (start + n + SPAN - 1).tolist(), strict=True)), _U, len(start))
+        docs, offsets = np.array([i for i, _, _ in parts]), np.array([at for _, at, _ in parts])
+        for k, x in (("doc", docs[own]), ("start", start - bounds[own] + offsets[own]), ("n", n), ("gram_at", p[first] - start), ("anchor", grams[p[first]]), ("whole", whole)):
             out[k].append(x)
     return {k: np.concatenate(x) for k, x in out.items()}
 
 
-# ---- sums over all blocks of packed hashes ----------------------------------------------------------------------
+# ---- classes of equal segments, over all blocks ---------------------------------------------------------------------
 
-#: Bits of what comes back for a hash: it occurs twice or more, with unlike values, and this block is its first.
-TWICE, UNLIKE, FIRST = 1, 2, 4
+#: Bits of what comes back for a class: its anchor occurs twice or more; this block sends a copy that leads; it sends one more.
+OPEN, LEAD, MORE = 1, 2, 4
 
 
-def in_parts(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of distinct hashes by part and value, and where parts start and end."""
-    part = (keys >> _U(20)).astype(np.int64) % n_parts
-    order = np.lexsort((keys, part))
-    return order, np.searchsorted(part[order], np.arange(n_parts + 1))
+def classes(s: dict[str, np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a block's segments by part of the anchor, anchor, whole and place; where classes start in that order; the
+    part of each class; and whether it has two members or more here."""
+    part = (s["anchor"] >> _U(20)).astype(np.int64) % n_parts
+    order = np.lexsort((s["whole"], s["anchor"], part))
+    a, w = s["anchor"][order], s["whole"][order]
+    first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]))[0] if len(a) else np.zeros(0, np.int64)
+    return order, first, part[order][first], np.diff(np.append(first, len(a))) > 1
 
 
-def packed(block: int, kind: str, keys: np.ndarray, values: np.ndarray | None, n_parts: int) -> list[tuple]:
-    """Rows (part, block, kind, keys, flags, values) of a block's hashes; equal ones are summed up."""
-    distinct, at, which, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    flags = np.where(n > 1, TWICE, 0).astype(np.uint8)
-    if values is not None:
-        unlike = np.zeros(len(distinct), bool)
-        unlike[which[values != values[at][which]]] = True
-        flags |= np.where(unlike, UNLIKE, 0).astype(np.uint8)
-    order, ends = in_parts(distinct, n_parts)
-    distinct, flags = distinct[order], flags[order]
-    own = values[at][order] if values is not None else None
-    return [
-        (int(p), block, kind, distinct[a:b].tobytes(), flags[a:b].tobytes(), b"" if own is None else own[a:b].tobytes())
-        for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a
-    ]
+PARTS = {"part": pa.int64(), "anchors": pa.binary(), "wholes": pa.binary(), "twice": pa.binary()}
 
 
-PACKED = "part long, block long, kind string, keys binary, flags binary, vals binary"
+def hash_block(texts: list[bytes], n_parts: int) -> list[dict]:
+    """A block's classes by part: hashes, and whether the block has two or more."""
+    s = segments(texts)
+    order, first, part, twice = classes(s, n_parts)
+    found, at = np.unique(part, return_index=True)
+    a, w = s["anchor"][order][first], s["whole"][order][first]
+    return [{"part": int(p), "anchors": a[x:y].tobytes(), "wholes": w[x:y].tobytes(), "twice": twice[x:y].tobytes()} for p, x, y in zip(found, at, np.append(at, len(part))[1:], strict=True)]
 
 
 def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: for each block and kind, the flags of its hashes over all blocks."""
-    rows = []
-    for kind, x in pdf.groupby("kind"):
-        x = x.sort_values("block")
-        keys = np.concatenate([np.frombuffer(k, _U) for k in x["keys"]])
-        flags = np.concatenate([np.frombuffer(k, np.uint8) for k in x["flags"]])
-        lengths = np.array([len(k) // 8 for k in x["keys"]])
-        distinct, at, which, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)  # at: in the first block
-        total = np.where(n > 1, TWICE, 0).astype(np.uint8)
-        np.bitwise_or.at(total, which, flags)
-        vals = b"".join(x["vals"])
-        if vals:
-            v = np.frombuffer(vals, _U)
-            np.bitwise_or.at(total, which, np.where(v != v[at][which], UNLIKE, 0).astype(np.uint8))
-        back = total[which]
-        back[at] |= FIRST
-        parts = np.split(back, np.cumsum(lengths)[:-1])
-        rows += [(int(b), kind, int(p), f.tobytes()) for b, p, f in zip(x["block"], x["part"], parts, strict=True)]
-    return pd.DataFrame(rows, columns=["block", "kind", "part", "flags"])
-
-
-def over_all(rows: DataFrame, keys: Callable[[pd.DataFrame, int], list[tuple]], n_parts: int) -> DataFrame:
-    """rows with `block`; keys makes packed() rows of a block -> block, kind, part, flags."""
-    return rows.groupBy("block").applyInPandas(lambda pdf: pd.DataFrame(keys(pdf, n_parts), columns=["part", "block", "kind", "keys", "flags", "vals"]), PACKED).groupBy("part").applyInPandas(
-        summed, "block long, kind string, part long, flags binary"
-    )
-
-
-def flags_of(known: pd.DataFrame, kind: str, keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The flags of each hash of a block, and whether it is the first of its like in the block."""
-    distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
-    order, _ = in_parts(distinct, n_parts)
-    got = known[known["kind"] == kind].sort_values("part")
-    flags = np.zeros(len(distinct), np.uint8)
-    flags[order] = np.frombuffer(b"".join(got["flags"]), np.uint8)
-    first = np.zeros(len(keys), bool)
-    first[at] = True
-    return flags[which], first
+    """Of one part: the flags of each block's classes, in the order that they came in."""
+    pdf = pdf.sort_values("block")
+    a, w = (np.concatenate([np.frombuffer(x, _U) for x in pdf[c]]) for c in ("anchors", "wholes"))
+    twice = np.concatenate([np.frombuffer(x, bool) for x in pdf["twice"]])
+    order = np.lexsort((w, a))  # stable: blocks of a class stay in order
+    new_anchor = np.concatenate([[True], a[order][1:] != a[order][:-1]])
+    new = new_anchor | np.concatenate([[True], w[order][1:] != w[order][:-1]])
+    n = np.add.reduceat(1 + twice[order].astype(np.int64), np.nonzero(new_anchor)[0])
+    flags = np.where(n[np.cumsum(new_anchor) - 1] > 1, OPEN, 0).astype(np.uint8)
+    flags[new] |= LEAD
+    second = np.concatenate([[False], new[:-1] & ~twice[order][:-1]]) & ~new
+    flags[(new & twice[order]) | second] |= MORE
+    back = np.empty_like(flags)
+    back[order] = flags
+    ends = np.cumsum([len(x) // 8 for x in pdf["anchors"]])[:-1]
+    return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "flags": [x.tobytes() for x in np.split(back, ends)]})
+
+
+#: What a block sends: members (a place and its class) and copies for the transforms (with data). `group` is what may match.
+SENT = {"block": "long", "row": "long", "start": "long", "anchor": "long", "whole": "long", "group": "long", "gram_at": "long", "size": "long", "lead": "boolean", "data": "binary"}
+
+
+def sort_block(n_parts: int):
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Of one block: the members whose anchor occurs elsewhere too, and the copies that it has to send."""
+        texts = list(pdf["data"].iloc[0]) if len(pdf) else []
+        s = segments(texts)
+        order, first, _, _ = classes(s, n_parts)
+        flags = np.frombuffer(b"".join(known.sort_values("part")["flags"]), np.uint8)
+        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        flags = np.repeat(flags, np.diff(np.append(first, len(order))))
+        open_, lead = (flags & OPEN) > 0, ((flags & LEAD) > 0) & (nth == 0)
+        more = ((flags & MORE) > 0) & (nth == ((flags & LEAD) > 0))
+        member, sent = order[open_], order[open_ & (lead | more)]
+        leads = lead[open_ & (lead | more)]
+        signed = lambda x: x.view(np.int64)
+        rows, starts, sizes = s["doc"][sent], s["start"][sent], s["n"][sent] + SPAN - 1
+        data = [texts[i][a : a + n] for i, a, n in zip(rows.tolist(), starts.tolist(), sizes.tolist(), strict=True)]
+        anchor, block = signed(s["anchor"][sent]), int(pdf["block"].iloc[0]) if len(pdf) else 0
+        copies = pd.DataFrame({"block": block, "row": rows, "start": starts, "anchor": anchor, "whole": signed(s["whole"][sent]), "group": anchor, "gram_at": s["gram_at"][sent], "size": sizes, "lead": leads, "data": data})
+        members = pd.DataFrame({"block": block, "row": s["doc"][member], "start": s["start"][member], "anchor": signed(s["anchor"][member]), "whole": signed(s["whole"][member]), "group": 0, "gram_at": 0, "size": 0, "lead": False, "data": None})
+        return pd.concat([members, copies]) if len(copies) else members
+
+    return run
 
 
 # ---- the transform ----------------------------------------------------------------------------------------------
@@ -260,138 +273,112 @@ def repeats(b: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-# ---- spans ------------------------------------------------------------------------------------------------------
-
-
-def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes in the union of intervals."""
-    if not len(starts):
-        return starts, ends
-    by = np.argsort(starts, kind="stable")
-    starts, reach = starts[by], np.maximum.accumulate(ends[by])
-    new = np.concatenate([[True], starts[1:] > reach[:-1]])
-    return starts[new], reach[np.append(np.nonzero(new)[0][1:] - 1, len(starts) - 1)]
+# ---- transforms of groups -------------------------------------------------------------------------------------------
 
+FOUND = "anchor long, whole long, starts array<long>, ends array<long>"
 
-def result(doc_id, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
-    starts, ends = merged(starts, ends)
-    kept = hashlib.sha256()
-    for a, b in zip(np.append(0, ends), np.append(starts, len(data)), strict=True):
-        kept.update(data[a:b])
-    return doc_id, len(data), int((ends - starts).sum()), len(starts), kept.hexdigest()
 
-
-RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-SORTED = "kind string, block long, doc_id string, text_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, data binary, starts binary, ends binary, anchor long, start long, open boolean"
-COLUMNS = [x.split()[0] for x in SORTED.split(", ")]
-
-
-def hash_block(pdf: pd.DataFrame, n_parts: int) -> list[tuple]:
-    block = int(pdf["block"].iloc[0])
-    s = segments(list(pdf["data"]))
-    return packed(block, "anchor", s["anchor"], s["whole"], n_parts) + packed(block, "whole", mix(s["anchor"] * _U(3) + s["whole"]), None, n_parts)
-
-
-def sort_block(n_parts: int):
-    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """Of one block: results of documents that are done, documents that aren't, and the segments that must be compared."""
-        block = int(pdf["block"].iloc[0])
-        texts = list(pdf["data"])
-        s = segments(texts)
-        anchor, _ = flags_of(known, "anchor", s["anchor"], n_parts)
-        whole, first = flags_of(known, "whole", mix(s["anchor"] * _U(3) + s["whole"]), n_parts)
-        mixed = (anchor & UNLIKE) > 0
-        done = ((anchor & TWICE) > 0) & (~mixed | ((whole & TWICE) > 0))
-        left = mixed & ((whole & TWICE) == 0)
-        sent = left | (mixed & ((whole & FIRST) > 0) & first)
-        rows = []
-        bounds = np.searchsorted(s["doc"], np.arange(len(texts) + 1))
-        ids, hashes = pdf["doc_id"].tolist(), pdf["text_hash"].tolist()
-        for i, data in enumerate(texts):
-            at = slice(bounds[i], bounds[i + 1])
-            d = done[at]
-            starts, ends = merged(s["start"][at][d], (s["start"][at] + s["n"][at] + SPAN - 1)[d])
-            if left[at].any():
-                rows.append(("open", block, ids[i], hashes[i], 0, 0, 0, None, data, starts.tobytes(), ends.tobytes(), 0, 0, False))
-            else:
-                rows.append(("done", block, ids[i], hashes[i], *result(None, data, starts, ends)[1:], None, None, None, 0, 0, False))
-        for j in np.nonzero(sent)[0]:
-            i, a = int(s["doc"][j]), int(s["start"][j])
-            rows.append(("segment", block, ids[i], hashes[i], 0, 0, 0, None, texts[i][a : a + int(s["n"][j]) + SPAN - 1], None, None, int(s["anchor"][j : j + 1].view(np.int64)[0]), a, bool(left[j])))
-        return pd.DataFrame(rows, columns=COLUMNS)
-
-    return run
-
-
-FOUND = "block long, doc_id string, text_hash long, starts binary, ends binary"
-
-
-def spans_of(pdf: pd.DataFrame, hits: list[np.ndarray]) -> pd.DataFrame:
-    """Rows FOUND of segments, whose windows with a hit cover SPAN bytes each."""
-    rows = []
-    for block, doc_id, text_hash, start, places in zip(pdf["block"], pdf["doc_id"], pdf["text_hash"], pdf["start"], hits, strict=True):
-        if len(places):
-            starts, ends = merged(places + start, places + start + SPAN)
-            rows.append((block, doc_id, text_hash, starts.astype(np.int64).tobytes(), ends.astype(np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["block", "doc_id", "text_hash", "starts", "ends"])
+def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal intervals of bytes that windows of SPAN at ascending places cover."""
+    new = np.concatenate([[True], places[1:] > places[:-1] + SPAN])
+    last = np.append(np.nonzero(new)[0][1:] - 1, len(places) - 1)
+    return places[new], places[last] + SPAN
 
 
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Segments of some anchors -> spans of those that are open. Segments of one anchor go into one transform."""
-    pdf = pdf.sort_values("anchor", kind="stable").reset_index(drop=True)
+    """Copies of some groups -> what is repeated in each class, by the copy that leads. Copies of one group go into one transform."""
+    pdf = pdf.sort_values("group", kind="stable").reset_index(drop=True)
     sizes = pdf["data"].map(len).to_numpy() + 1
-    groups = np.append(np.nonzero(np.concatenate([[True], np.diff(pdf["anchor"].to_numpy()) != 0]))[0], len(pdf))
+    groups = np.append(np.nonzero(np.concatenate([[True], np.diff(pdf["group"].to_numpy()) != 0]))[0], len(pdf))
     parts, at, total = [], 0, np.concatenate([[0], np.cumsum(sizes)])
     for end, following in zip(groups[1:], np.append(groups[2:], len(pdf) + 1), strict=True):
         if following > len(pdf) or total[following] - total[at] > TRANSFORM_BYTES:
             parts.append((at, end))
             at = end
-    out = []
+    anchor, whole, lead, data = (pdf[c].tolist() for c in ("anchor", "whole", "lead", "data"))
+    rows = []
     for lo, hi in parts:
-        part = pdf.iloc[lo:hi]
-        b = np.frombuffer(b"\0".join([b"", *part["data"], b""]), np.uint8)
+        b = np.frombuffer(b"\0".join([b"", *data[lo:hi], b""]), np.uint8)
         # a byte 0 in a text is a character of its own: bytes shift up by one, and 255, which UTF-8 never has, is free
         inner = np.ones(len(b), bool)
         bounds = 1 + total[lo : hi + 1] - total[lo]
         inner[0] = inner[-1] = False
         inner[bounds[1:] - 1] = False
         found = repeats(np.where(inner, b + 1, 0).astype(np.uint8), SPAN)
-        hits = [np.nonzero(found[a : a + n - SPAN])[0] if o else np.zeros(0, np.int64) for a, n, o in zip(bounds[:-1], sizes[lo:hi], part["open"], strict=True)]
-        out.append(spans_of(part, hits))
-    return pd.concat(out) if out else spans_of(pdf, [])
-
-
-def windows(pdf: pd.DataFrame) -> np.ndarray:
-    """Hashes of all windows of segments, one segment after another."""
-    return np.concatenate([Rolling(b := np.frombuffer(x, np.uint8)).hash(np.arange(len(b) - SPAN + 1), SPAN) for x in pdf["data"]])
+        for j, a, n in zip(range(lo, hi), bounds[:-1].tolist(), sizes[lo:hi].tolist(), strict=True):
+            if lead[j] and len(places := np.nonzero(found[a : a + n - SPAN])[0]):
+                rows.append((anchor[j], whole[j], *runs(places)))
+    return pd.DataFrame(rows, columns=["anchor", "whole", "starts", "ends"])
+
+
+PIECES = "anchor long, whole long, lead boolean, lo long, group long, piece long, gram_at long, data binary"
+
+
+def pieces(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Copies cut into ranges of `width` windows by where the anchor lies in them; a group is a range and what all its windows share."""
+        for batch in batches:
+            rows = []
+            for anchor, whole, lead, gram_at, data in zip(batch["anchor"], batch["whole"], batch["lead"], batch["gram_at"], batch["data"], strict=True):
+                at = 0
+                while at + SPAN <= len(data):
+                    r = (gram_at - at) // width
+                    low, high = r * width, min(r * width + width - 1, SPAN - GRAM)
+                    end = min(gram_at - low + SPAN, len(data))  # after the last window of the range
+                    piece = data[at:end]
+                    group = hashlib.blake2b(data[gram_at - low : gram_at + SPAN - high], digest_size=8, salt=r.to_bytes(8, "little"), person=(anchor % 2**64).to_bytes(8, "little")).digest()
+                    rows.append((anchor, whole, lead, at, int.from_bytes(group, "little", signed=True), int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), gram_at - at, piece))
+                    at = end - SPAN + 1
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
+    return run
 
-def hash_windows(pdf: pd.DataFrame, n_parts: int) -> list[tuple]:
-    return packed(int(pdf["block"].iloc[0]), "window", windows(pdf), None, n_parts)
 
+def decided(copies: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """copies (anchor, whole, group, gram_at, size, lead, data; one or two of each class) -> FOUND, for classes with a repeat."""
+    sizes = staged(copies.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(F.col("bytes") > GROUP_BYTES), "groups") if widths else None
+    crowded = sizes is not None and not sizes.isEmpty()
+    usual = copies.join(sizes.select("group"), "group", "left_anti") if crowded else copies
+    n_tasks = max(1, -(-(copies.agg(F.sum("size")).first()[0] or 0) // (TRANSFORM_BYTES * 2)))
+    found = usual.select("anchor", "whole", "group", "lead", "data").groupBy(F.pmod(F.xxhash64("group"), F.lit(n_tasks))).applyInPandas(compare, FOUND)
+    if not crowded:
+        return found
+    cut = staged(copies.join(sizes.select("group"), "group", "left_semi").select("anchor", "whole", "lead", "gram_at", "data").mapInPandas(pieces(widths[0]), PIECES), "pieces")
+    copy = F.struct("anchor", "whole", "lo", "lead", "gram_at", "data")
+    of_class = cut.groupBy("group", "piece").agg(F.min(copy).alias("one"), F.max(copy).alias("other"), F.count("*").alias("n"))
+    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(True).alias("lead"), F.col("one").alias("c")), F.struct(F.lit(False).alias("lead"), F.col("other").alias("c")))).otherwise(F.array(F.struct(F.lit(True).alias("lead"), F.col("one").alias("c"))))
+    sent = of_class.select("group", "piece", F.explode(both).alias("x")).select(F.col("group").alias("anchor"), F.col("piece").alias("whole"), "group", F.col("x.c.gram_at").alias("gram_at"), F.length("x.c.data").cast("long").alias("size"), "x.lead", F.col("x.c.data").alias("data"))
+    alone = cut.groupBy("group").count().filter("count = 1").select("group")
+    inner = decided(staged(sent.join(alone, "group", "left_anti"), "copies"), widths[1:]).withColumnsRenamed({"anchor": "group", "whole": "piece"})
+    moved = lambda c: F.transform(c, lambda x: x + F.col("lo")).alias(c)
+    return found.unionAll(cut.filter("lead").select("anchor", "whole", "lo", "group", "piece").join(inner, ["group", "piece"]).select("anchor", "whole", moved("starts"), moved("ends")))
 
-def compare_crowd(n_parts: int):
-    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        flags, _ = flags_of(known, "window", windows(pdf), n_parts)
-        ends = np.cumsum(pdf["data"].map(len).to_numpy() - SPAN + 1)
-        hits = [np.nonzero((f & TWICE) > 0)[0] if o else np.zeros(0, np.int64) for f, o in zip(np.split(flags, ends[:-1]), pdf["open"], strict=True)]
-        return spans_of(pdf.assign(block=pdf["home"]), hits)
 
-    return run
+# ---- spans ------------------------------------------------------------------------------------------------------
 
 
 def finish(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Documents that were open, with the spans that were known and those that were found."""
-    extra: dict[tuple, list[tuple]] = {}
-    for doc_id, text_hash, a, b in zip(found["doc_id"], found["text_hash"], found["starts"], found["ends"], strict=True):
-        extra.setdefault((doc_id, text_hash), []).append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+    """The documents of one block without the spans that were found."""
+    texts = list(pdf["data"].iloc[0]) if len(pdf) else []
+    cut: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for row, start, starts, ends in zip(found["row"].tolist(), found["start"].tolist(), found["starts"], found["ends"], strict=True):
+        cut[row] += [(start + a, start + z) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
     rows = []
-    for doc_id, text_hash, data, a, b in zip(pdf["doc_id"], pdf["text_hash"], pdf["data"], pdf["starts"], pdf["ends"], strict=True):
-        more = extra.get((doc_id, text_hash), [])
-        starts = np.concatenate([np.frombuffer(a, np.int64), *(x[0] for x in more)])
-        ends = np.concatenate([np.frombuffer(b, np.int64), *(x[1] for x in more)])
-        rows.append(result(doc_id, data, starts, ends))
-    return pd.DataFrame(rows, columns=RESULT)
+    for doc_id, data, spans in zip(pdf["doc_id"].iloc[0] if len(pdf) else [], texts, cut, strict=True):
+        kept, at, removed, n = hashlib.sha256(), 0, 0, 0
+        view, reach = memoryview(data), -1
+        for a, z in sorted(spans):
+            if a > reach:  # a new run of bytes; one that touches the last goes on with it
+                n += 1
+            if a > at:
+                kept.update(view[at:a])
+            if z > at:
+                removed += z - max(a, at)
+                at = z
+            reach = max(reach, z)
+        kept.update(view[at:])
+        rows.append((doc_id, len(data), removed, n, kept.hexdigest()))
+    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -399,26 +386,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Each byte is removed that a string of SPAN bytes covers which starts at another place too, in the same or another
     document; all its copies go. A null text counts as empty; a text of less than SPAN bytes keeps all; repeated rows
-    are copies of one another; an empty table gives an empty result; other columns are ignored. Hashes of 64 bits
-    stand for anchors and whole segments.
+    are copies of one another; an empty table gives an empty result; other columns are ignored. A text of any length is
+    hashed in stretches; a task holds it whole once, beside a block of others.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().cast("binary").alias("data"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_blocks)))
-    known = over_all(rows, hash_block, n_blocks)
-    sorted_ = staged(rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sort_block(n_blocks), SORTED), "sorted")
-    sent = sorted_.filter("kind = 'segment'").select("block", "doc_id", "text_hash", "data", "anchor", "start", "open")
-    crowded = staged(sent.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor"), "crowded")
-    sent_bytes = sent.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n_tasks = max(1, -(-sent_bytes // (TRANSFORM_BYTES * 2)))
-    usual = sent.join(crowded, "anchor", "left_anti").groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_tasks))).applyInPandas(compare, FOUND)
-    crowd = sent.join(crowded, "anchor", "left_semi").withColumnRenamed("block", "home").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(n_tasks)))
-    of_crowd = crowd.groupBy("block").cogroup(over_all(crowd, hash_windows, n_tasks).groupBy("block")).applyInPandas(compare_crowd(n_tasks), FOUND)
-    found = usual.unionAll(of_crowd)
-    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    late = sorted_.filter("kind = 'open'").select("block", "doc_id", "text_hash", "data", "starts", "ends").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(finish, schema)
-    out = sorted_.filter("kind = 'done'").select(*RESULT).unionAll(late)
+    n_parts = max(1, -(-size // PART_BYTES))
+    packed = blocks(docs, {"doc_id": F.col("doc_id").cast("string"), "data": text_or_empty().cast("binary")}, "texts", BLOCK_BYTES, lambda _, held: hash_block(held["data"], n_parts), PARTS)
+    known = packed.select("block", F.inline("parts")).groupBy("part").applyInPandas(summed, "block long, part long, flags binary")
+    sent = packed.select("block", "data").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sort_block(n_parts), ", ".join(f"`{k}` {t}" for k, t in SENT.items()))
+    sent = staged(sent, "sent")
+    found = decided(sent.filter("data is not null").select("anchor", "whole", "group", "gram_at", "size", "lead", "data"))
+    places = sent.filter("data is null").select("block", "row", "start", "anchor", "whole").join(found, ["anchor", "whole"]).select("block", "row", "start", "starts", "ends")
+    out = packed.select("block", "doc_id", "data").groupBy("block").cogroup(places.groupBy("block")).applyInPandas(finish, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 

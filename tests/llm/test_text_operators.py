@@ -191,14 +191,49 @@ def removed(texts, span=200):
         yield len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [2000, 1, 0])
-def test_repeated_spans(docs, corpus, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1 << 15)
+@pytest.mark.parametrize("group_bytes,block,part", [(2 << 20, 8 << 20, 32 << 20), (2 << 20, 1 << 15, 1 << 14), (1500, 1 << 15, 1 << 14), (0, 1 << 12, 1 << 15)])
+def test_repeated_spans(docs, corpus, group_bytes, block, part, monkeypatch):
+    """With few bytes to a group, anchors are cut into ranges of windows, at last into single windows."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
     want = collections.Counter((i, *r) for (i, *_), r in zip(corpus, removed([(t or "").encode() for _, t, *_ in corpus]), strict=True))
     assert got(suffix_dedup.repeated_spans(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def spans_of(texts, pieces=None):
+    """The passes over one block without Spark: (bytes removed, windows that a transform found)."""
+    import pandas as pd
+
+    block = pd.DataFrame({"block": [0], "doc_id": [list(map(str, range(len(texts))))], "data": [texts]})
+    known = pd.concat(suffix_dedup.summed(pd.DataFrame([{"block": 0, **x}])) for x in suffix_dedup.hash_block(texts, 3))
+    sent = suffix_dedup.sort_block(3)(block, known)
+    copies, members = sent[sent["data"].notna()], sent[sent["data"].isna()]
+    found = suffix_dedup.compare(copies)
+    return suffix_dedup.finish(block, members.merge(found, on=["anchor", "whole"])), found
+
+
+def test_nothing_is_removed_that_the_transform_did_not_find(corpus, monkeypatch):
+    texts = [(t or "").encode() for _, t, *_ in corpus]
+    out, found = spans_of(texts)
+    assert [tuple(r)[1:] for r in out.itertuples(index=False)] == list(removed(texts)) and len(found)
+    asked = []
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda b, span: asked.append(len(b)) or np.zeros(len(b), bool))
+    out, found = spans_of(texts)
+    assert asked and not len(found) and not out["n_removed"].any()
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    draw = np.random.default_rng(8)
+    passage = bytes(draw.integers(97, 123, 700).astype(np.uint8))
+    texts = [bytes(draw.integers(97, 123, n).astype(np.uint8)) for n in (5000, 199, 200, 201, 12_000)]
+    texts = [texts[0][:2000] + passage + texts[0][2000:], *texts[1:4], passage + texts[4][:4000] + passage + texts[4][4000:]]
+    for chunk in (300, 1000, 1 << 19):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+        out, _ = spans_of(texts)
+        assert [tuple(r)[1:] for r in out.itertuples(index=False)] == list(removed(texts))
+
+
 # ---- language model ----
 
 
