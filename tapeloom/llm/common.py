@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,46 +88,48 @@ def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def blocks(docs: DataFrame, fields: dict[str, Column], name: str, block_bytes: int, work: Callable[[int, dict[str, list]], list[dict]], parts: dict[str, pa.DataType]) -> DataFrame:
     """docs packed as they stand into rows of about block_bytes of text, written to the shared folder and read again.
 
-    Columns: block, an array for each of fields (of type string, boolean or binary), and `parts`, an array of structs
-    that work(block, {field: values}) returns; parts has their fields. No row moves, so copies lie where their rows lay,
-    and a text larger than block_bytes is a block of its own. Reading `parts` alone leaves the texts on disk.
+    Columns: block, an array for each of fields (strings and booleans), `sizes` and `blob`, from which texts_of() makes the
+    texts again, and `parts`, an array of structs that work(block, {field: values, "data": texts}) returns; parts has their
+    fields. A null text is empty. No row moves, so copies lie where their rows lay, and a text larger than block_bytes is a
+    block of its own. Reading `parts` alone leaves the texts on disk.
     """
-    kinds = {"string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
-    rows = docs.select(*(c.alias(n) for n, c in fields.items()))
-    types = {n: kinds[t] for n, t in rows.dtypes}
-    struct = pa.struct(list(parts.items()))
-    schema = pa.schema([("block", pa.int64()), *((n, pa.list_(t)) for n, t in types.items()), ("parts", pa.list_(struct))])
-    names = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
-    inner = ", ".join(f"{n}: {names[t]}" for n, t in parts.items())
-    ddl = "block long, " + ", ".join(f"{n} array<{t}>" for n, t in rows.dtypes) + f", parts array<struct<{inner}>>"
+    rows = docs.select(*(c.alias(n) for n, c in fields.items()), text_or_empty().cast("binary").alias("data"))
+    kinds = {"string": pa.string(), "boolean": pa.bool_()}
+    types = {n: pa.list_(kinds[t]) for n, t in rows.dtypes[:-1]} | {"sizes": pa.list_(pa.int64()), "blob": pa.binary(), "parts": pa.list_(pa.struct(list(parts.items())))}
+    names = {pa.int64(): "long", pa.binary(): "binary"}
+    ddl = "block long, " + "".join(f"{n} array<{t}>, " for n, t in rows.dtypes[:-1]) + "sizes array<long>, blob binary, parts array<struct<" + ", ".join(f"{n}: {names[t]}" for n, t in parts.items()) + ">>"
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        held: dict[str, list] = {c: [] for c in types}
-        size = 0
+        task, n, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[str, list] = {c: [] for c in columns}
         for batch in batches:
-            lengths = np.zeros(batch.num_rows, np.int64)
-            for c, t in types.items():
-                if t == pa.binary():
-                    lengths += pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-            at, upto = 0, np.cumsum(lengths)
+            at, upto = 0, np.cumsum(pc.binary_length(batch.column("data")).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < batch.num_rows:
-                room = block_bytes - size + (upto[at - 1] if at else 0)
-                end = max(int(np.searchsorted(upto, room, "right")), at)
-                if end == at and not size:
-                    end = at + 1
-                for c in types:
+                before = upto[at - 1] if at else 0
+                end = max(int(np.searchsorted(upto, block_bytes - size + before, "right")), at + (not size))
+                for c in columns:
                     held[c] += batch.column(c).slice(at, end - at).to_pylist()
-                size += int(lengths[at:end].sum())
+                size += int(upto[end - 1] - before) if end > at else 0
                 if end < batch.num_rows or size >= block_bytes:
                     yield full(task << 32 | n, held)
-                    held, size, n = {c: [] for c in types}, 0, n + 1
+                    held, size, n = {c: [] for c in columns}, 0, n + 1
                 at = end
-        if any(held.values()):
+        if held["data"]:
             yield full(task << 32 | n, held)
 
     def full(block: int, held: dict[str, list]) -> pa.RecordBatch:
-        columns = [pa.array([block]), *(pa.array([held[c]], pa.list_(t)) for c, t in types.items()), pa.array([work(block, held)], pa.list_(struct))]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        texts = held["data"]
+        made = {c: held[c] for c in columns[:-1]} | {"sizes": [len(x) for x in texts], "blob": zstandard.ZstdCompressor().compress(b"".join(texts)), "parts": work(block, held)}
+        return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([made[c]], t) for c, t in types.items())], ["block", *types])
 
     return staged(rows.mapInArrow(run, ddl), name, row_group=block_bytes)
+
+
+def texts_of(block: pd.DataFrame) -> list[bytes]:
+    """The texts of a frame with one row of blocks(), or none."""
+    if not len(block):
+        return []
+    ends = np.cumsum(block["sizes"].iloc[0]).tolist()
+    data = zstandard.ZstdDecompressor().decompress(block["blob"].iloc[0])
+    return [data[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]

@@ -4,11 +4,11 @@ What could match is brought together first. Every window of SPAN bytes has an an
 least hash, so equal windows have equal anchors at equal places. Windows that follow one another with the same anchor
 make a segment. An anchor that occurs once has windows that occur once. Of all others the segments are compared:
 
-* equal segments (by 128 bits of hash, 64 of them BLAKE2) are a class. Two copies of a class, from two places where
-  there are two, stand for all; every place of the class is a member and gets what is found for it;
+* equal segments (by 128 bits of hash, 64 of them BLAKE2) are a class. One copy stands for all and weighs two if there are
+  more; every place of the class is a member and gets what is found for it;
 * the segments around one anchor go into one transform, byte by byte. Breadth-first backward extension of its intervals
-  sets common prefixes in increasing order up to SPAN; places that stay unset share SPAN bytes with a neighbour. Nothing
-  is removed that the transform did not find;
+  sets common prefixes in increasing order up to SPAN; what stays unset parts the intervals that share SPAN bytes, and an
+  interval that weighs two or more is repeated. Nothing is removed that the transform did not find;
 * an anchor with more than GROUP_BYTES of segments around it (the ends of a passage that very many documents embed) gets
   several transforms. Its segments are cut by where the anchor lies in a window, into ranges of so many windows as WIDTHS
   says. All windows of a range have a stretch in common, so those that could be equal agree in that stretch and go into
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, staged, table, text_or_empty
+from .common import blocks, staged, table, texts_of
 
 SPAN, GRAM = 200, 64
 #: Bytes of text in a block, of a chunk of it that is hashed at once, and of segments in one transform where anchors have few.
@@ -121,8 +121,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 # ---- classes of equal segments, over all blocks ---------------------------------------------------------------------
 
-#: Bits of what comes back for a class: its anchor occurs twice or more; this block sends a copy that leads; it sends one more.
-OPEN, LEAD, MORE = 1, 2, 4
+#: Bits of what comes back for a class: its anchor occurs twice or more; this block sends the copy; the class has two members or more.
+OPEN, LEAD, TWICE = 1, 2, 4
 
 
 def classes(s: dict[str, np.ndarray], n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,11 +155,10 @@ def summed(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((w, a))  # stable: blocks of a class stay in order
     new_anchor = np.concatenate([[True], a[order][1:] != a[order][:-1]])
     new = new_anchor | np.concatenate([[True], w[order][1:] != w[order][:-1]])
-    n = np.add.reduceat(1 + twice[order].astype(np.int64), np.nonzero(new_anchor)[0])
-    flags = np.where(n[np.cumsum(new_anchor) - 1] > 1, OPEN, 0).astype(np.uint8)
+    times = 1 + twice[order].astype(np.int64)
+    flags = np.where(np.add.reduceat(times, np.nonzero(new_anchor)[0])[np.cumsum(new_anchor) - 1] > 1, OPEN, 0).astype(np.uint8)
+    flags[np.add.reduceat(times, np.nonzero(new)[0])[np.cumsum(new) - 1] > 1] |= TWICE
     flags[new] |= LEAD
-    second = np.concatenate([[False], new[:-1] & ~twice[order][:-1]]) & ~new
-    flags[(new & twice[order]) | second] |= MORE
     back = np.empty_like(flags)
     back[order] = flags
     ends = np.cumsum([len(x) // 8 for x in pdf["anchors"]])[:-1]
@@ -167,28 +166,26 @@ def summed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 #: What a block sends: members (a place and its class) and copies for the transforms (with data). `group` is what may match.
-SENT = {"block": "long", "row": "long", "start": "long", "anchor": "long", "whole": "long", "group": "long", "gram_at": "long", "size": "long", "lead": "boolean", "data": "binary"}
+SENT = {"block": "long", "row": "long", "start": "long", "anchor": "long", "whole": "long", "group": "long", "gram_at": "long", "size": "long", "twice": "boolean", "data": "binary"}
 
 
 def sort_block(n_parts: int):
     def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Of one block: the members whose anchor occurs elsewhere too, and the copies that it has to send."""
-        texts = list(pdf["data"].iloc[0]) if len(pdf) else []
+        texts, block = texts_of(pdf), int(pdf["block"].iloc[0])
         s = segments(texts)
         order, first, _, _ = classes(s, n_parts)
         flags = np.frombuffer(b"".join(known.sort_values("part")["flags"]), np.uint8)
-        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        flags = np.repeat(flags, np.diff(np.append(first, len(order))))
-        open_, lead = (flags & OPEN) > 0, ((flags & LEAD) > 0) & (nth == 0)
-        more = ((flags & MORE) > 0) & (nth == ((flags & LEAD) > 0))
-        member, sent = order[open_], order[open_ & (lead | more)]
-        leads = lead[open_ & (lead | more)]
+        head = order[first]  # the first of each class here
+        sent = head[(flags & (OPEN | LEAD)) == OPEN | LEAD]
+        twice = (flags[(flags & (OPEN | LEAD)) == OPEN | LEAD] & TWICE) > 0
+        member = order[np.repeat((flags & OPEN) > 0, np.diff(np.append(first, len(order))))]
         signed = lambda x: x.view(np.int64)
         rows, starts, sizes = s["doc"][sent], s["start"][sent], s["n"][sent] + SPAN - 1
         data = [texts[i][a : a + n] for i, a, n in zip(rows.tolist(), starts.tolist(), sizes.tolist(), strict=True)]
-        anchor, block = signed(s["anchor"][sent]), int(pdf["block"].iloc[0]) if len(pdf) else 0
-        copies = pd.DataFrame({"block": block, "row": rows, "start": starts, "anchor": anchor, "whole": signed(s["whole"][sent]), "group": anchor, "gram_at": s["gram_at"][sent], "size": sizes, "lead": leads, "data": data})
-        members = pd.DataFrame({"block": block, "row": s["doc"][member], "start": s["start"][member], "anchor": signed(s["anchor"][member]), "whole": signed(s["whole"][member]), "group": 0, "gram_at": 0, "size": 0, "lead": False, "data": None})
+        anchor = signed(s["anchor"][sent])
+        copies = pd.DataFrame({"block": block, "row": rows, "start": starts, "anchor": anchor, "whole": signed(s["whole"][sent]), "group": anchor, "gram_at": s["gram_at"][sent], "size": sizes, "twice": twice, "data": data})
+        members = pd.DataFrame({"block": block, "row": s["doc"][member], "start": s["start"][member], "anchor": signed(s["anchor"][member]), "whole": signed(s["whole"][member]), "group": 0, "gram_at": 0, "size": 0, "twice": False, "data": None})
         return pd.concat([members, copies]) if len(copies) else members
 
     return run
@@ -227,12 +224,13 @@ def suffix_order(b: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def repeats(b: np.ndarray, span: int) -> np.ndarray:
-    """Whether the `span` bytes from each place of b occur at another place too. Byte 0 separates; it never matches.
+def repeats(b: np.ndarray, span: int, weight: np.ndarray) -> np.ndarray:
+    """Whether the `span` bytes from each place of b occur at places that weigh two or more together. Byte 0 separates; it never matches.
 
     Breadth-first over intervals of the transform that share a prefix of length l, for l from 0 to span - 1: each is
     extended backwards by every character before it. The border after a new interval, where no shorter prefix has
-    set it, gets the common prefix l, and only then the interval goes on. Borders that are left have span or more.
+    set it, gets the common prefix l, and only then the interval goes on. Borders that are left have span or more; they
+    join the suffixes of one interval of prefixes of length span, whose weights are added up.
     """
     n = len(b)
     order = suffix_order(b, span)
@@ -266,10 +264,10 @@ def repeats(b: np.ndarray, span: int) -> np.ndarray:
         set_[high + 1] = True
         if not len(low):
             break
-    unset = ~set_[1:n]
-    out = np.zeros(n, bool)
-    out[order[1:][unset]] = True
-    out[order[:-1][unset]] = True
+    interval = np.cumsum(set_[:n]) - 1
+    heavy = np.bincount(interval, weight[order]) >= 2
+    out = np.empty(n, bool)
+    out[order] = heavy[interval]
     return out
 
 
@@ -286,7 +284,7 @@ def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of some groups -> what is repeated in each class, by the copy that leads. Copies of one group go into one transform."""
+    """Copies of some groups -> what is repeated in each class. Copies of one group go into one transform."""
     pdf = pdf.sort_values("group", kind="stable").reset_index(drop=True)
     sizes = pdf["data"].map(len).to_numpy() + 1
     groups = np.append(np.nonzero(np.concatenate([[True], np.diff(pdf["group"].to_numpy()) != 0]))[0], len(pdf))
@@ -295,7 +293,8 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if following > len(pdf) or total[following] - total[at] > TRANSFORM_BYTES:
             parts.append((at, end))
             at = end
-    anchor, whole, lead, data = (pdf[c].tolist() for c in ("anchor", "whole", "lead", "data"))
+    anchor, whole, data = (pdf[c].tolist() for c in ("anchor", "whole", "data"))
+    weight = 1 + pdf["twice"].to_numpy(np.int64)
     rows = []
     for lo, hi in parts:
         b = np.frombuffer(b"\0".join([b"", *data[lo:hi], b""]), np.uint8)
@@ -304,14 +303,14 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         bounds = 1 + total[lo : hi + 1] - total[lo]
         inner[0] = inner[-1] = False
         inner[bounds[1:] - 1] = False
-        found = repeats(np.where(inner, b + 1, 0).astype(np.uint8), SPAN)
+        found = repeats(np.where(inner, b + 1, 0).astype(np.uint8), SPAN, np.append(1, np.repeat(weight[lo:hi], sizes[lo:hi])))
         for j, a, n in zip(range(lo, hi), bounds[:-1].tolist(), sizes[lo:hi].tolist(), strict=True):
-            if lead[j] and len(places := np.nonzero(found[a : a + n - SPAN])[0]):
+            if len(places := np.nonzero(found[a : a + n - SPAN])[0]):
                 rows.append((anchor[j], whole[j], *runs(places)))
     return pd.DataFrame(rows, columns=["anchor", "whole", "starts", "ends"])
 
 
-PIECES = "anchor long, whole long, lead boolean, lo long, group long, piece long, gram_at long, data binary"
+PIECES = "anchor long, whole long, twice boolean, lo long, group long, piece long, gram_at long, data binary"
 
 
 def pieces(width: int):
@@ -319,7 +318,7 @@ def pieces(width: int):
         """Copies cut into ranges of `width` windows by where the anchor lies in them; a group is a range and what all its windows share."""
         for batch in batches:
             rows = []
-            for anchor, whole, lead, gram_at, data in zip(batch["anchor"], batch["whole"], batch["lead"], batch["gram_at"], batch["data"], strict=True):
+            for anchor, whole, twice, gram_at, data in zip(batch["anchor"], batch["whole"], batch["twice"], batch["gram_at"], batch["data"], strict=True):
                 at = 0
                 while at + SPAN <= len(data):
                     r = (gram_at - at) // width
@@ -327,7 +326,7 @@ def pieces(width: int):
                     end = min(gram_at - low + SPAN, len(data))  # after the last window of the range
                     piece = data[at:end]
                     group = hashlib.blake2b(data[gram_at - low : gram_at + SPAN - high], digest_size=8, salt=r.to_bytes(8, "little"), person=(anchor % 2**64).to_bytes(8, "little")).digest()
-                    rows.append((anchor, whole, lead, at, int.from_bytes(group, "little", signed=True), int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), gram_at - at, piece))
+                    rows.append((anchor, whole, twice, at, int.from_bytes(group, "little", signed=True), int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), gram_at - at, piece))
                     at = end - SPAN + 1
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
@@ -335,23 +334,21 @@ def pieces(width: int):
 
 
 def decided(copies: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """copies (anchor, whole, group, gram_at, size, lead, data; one or two of each class) -> FOUND, for classes with a repeat."""
-    sizes = staged(copies.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(F.col("bytes") > GROUP_BYTES), "groups") if widths else None
+    """copies (anchor, whole, group, gram_at, size, twice, data; one of each class) -> FOUND, for classes with a repeat."""
+    sizes = staged(copies.groupBy("group").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > GROUP_BYTES), "groups") if widths else None
     crowded = sizes is not None and not sizes.isEmpty()
     usual = copies.join(sizes.select("group"), "group", "left_anti") if crowded else copies
     n_tasks = max(1, -(-(copies.agg(F.sum("size")).first()[0] or 0) // (TRANSFORM_BYTES * 2)))
-    found = usual.select("anchor", "whole", "group", "lead", "data").groupBy(F.pmod(F.xxhash64("group"), F.lit(n_tasks))).applyInPandas(compare, FOUND)
+    found = usual.select("anchor", "whole", "group", "twice", "data").groupBy(F.pmod(F.xxhash64("group"), F.lit(n_tasks))).applyInPandas(compare, FOUND)
     if not crowded:
         return found
-    cut = staged(copies.join(sizes.select("group"), "group", "left_semi").select("anchor", "whole", "lead", "gram_at", "data").mapInPandas(pieces(widths[0]), PIECES), "pieces")
-    copy = F.struct("anchor", "whole", "lo", "lead", "gram_at", "data")
-    of_class = cut.groupBy("group", "piece").agg(F.min(copy).alias("one"), F.max(copy).alias("other"), F.count("*").alias("n"))
-    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(True).alias("lead"), F.col("one").alias("c")), F.struct(F.lit(False).alias("lead"), F.col("other").alias("c")))).otherwise(F.array(F.struct(F.lit(True).alias("lead"), F.col("one").alias("c"))))
-    sent = of_class.select("group", "piece", F.explode(both).alias("x")).select(F.col("group").alias("anchor"), F.col("piece").alias("whole"), "group", F.col("x.c.gram_at").alias("gram_at"), F.length("x.c.data").cast("long").alias("size"), "x.lead", F.col("x.c.data").alias("data"))
-    alone = cut.groupBy("group").count().filter("count = 1").select("group")
+    cut = staged(copies.join(sizes.select("group"), "group", "left_semi").select("anchor", "whole", "twice", "gram_at", "data").mapInPandas(pieces(widths[0]), PIECES), "pieces")
+    of_class = cut.groupBy("group", "piece").agg(F.min(F.struct("anchor", "whole", "lo", "gram_at", "data")).alias("c"), (F.max("twice") | (F.count("*") > 1)).alias("twice"))
+    sent = of_class.select(F.col("group").alias("anchor"), F.col("piece").alias("whole"), "group", "c.gram_at", F.length("c.data").cast("long").alias("size"), "twice", "c.data")
+    alone = cut.groupBy("group").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n = 1 and not twice").select("group")
     inner = decided(staged(sent.join(alone, "group", "left_anti"), "copies"), widths[1:]).withColumnsRenamed({"anchor": "group", "whole": "piece"})
     moved = lambda c: F.transform(c, lambda x: x + F.col("lo")).alias(c)
-    return found.unionAll(cut.filter("lead").select("anchor", "whole", "lo", "group", "piece").join(inner, ["group", "piece"]).select("anchor", "whole", moved("starts"), moved("ends")))
+    return found.unionAll(cut.select("anchor", "whole", "lo", "group", "piece").join(inner, ["group", "piece"]).select("anchor", "whole", moved("starts"), moved("ends")))
 
 
 # ---- spans ------------------------------------------------------------------------------------------------------
@@ -359,12 +356,12 @@ def decided(copies: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
 
 def finish(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     """The documents of one block without the spans that were found."""
-    texts = list(pdf["data"].iloc[0]) if len(pdf) else []
+    texts = texts_of(pdf)
     cut: list[list[tuple[int, int]]] = [[] for _ in texts]
     for row, start, starts, ends in zip(found["row"].tolist(), found["start"].tolist(), found["starts"], found["ends"], strict=True):
         cut[row] += [(start + a, start + z) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
     rows = []
-    for doc_id, data, spans in zip(pdf["doc_id"].iloc[0] if len(pdf) else [], texts, cut, strict=True):
+    for doc_id, data, spans in zip(pdf["doc_id"].iloc[0], texts, cut, strict=True):
         kept, at, removed, n = hashlib.sha256(), 0, 0, 0
         view, reach = memoryview(data), -1
         for a, z in sorted(spans):
@@ -391,13 +388,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, -(-size // PART_BYTES))
-    packed = blocks(docs, {"doc_id": F.col("doc_id").cast("string"), "data": text_or_empty().cast("binary")}, "texts", BLOCK_BYTES, lambda _, held: hash_block(held["data"], n_parts), PARTS)
+    packed = blocks(docs, {"doc_id": F.col("doc_id").cast("string")}, "texts", BLOCK_BYTES, lambda _, held: hash_block(held["data"], n_parts), PARTS)
     known = packed.select("block", F.inline("parts")).groupBy("part").applyInPandas(summed, "block long, part long, flags binary")
-    sent = packed.select("block", "data").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sort_block(n_parts), ", ".join(f"`{k}` {t}" for k, t in SENT.items()))
+    sent = packed.select("block", "sizes", "blob").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sort_block(n_parts), ", ".join(f"`{k}` {t}" for k, t in SENT.items()))
     sent = staged(sent, "sent")
-    found = decided(sent.filter("data is not null").select("anchor", "whole", "group", "gram_at", "size", "lead", "data"))
+    found = decided(sent.filter("data is not null").select("anchor", "whole", "group", "gram_at", "size", "twice", "data"))
     places = sent.filter("data is null").select("block", "row", "start", "anchor", "whole").join(found, ["anchor", "whole"]).select("block", "row", "start", "starts", "ends")
-    out = packed.select("block", "doc_id", "data").groupBy("block").cogroup(places.groupBy("block")).applyInPandas(finish, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = packed.select("block", "doc_id", "sizes", "blob").groupBy("block").cogroup(places.groupBy("block")).applyInPandas(finish, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
