@@ -2,38 +2,46 @@
 
 Training documents are counted in blocks: a task sums the words and word pairs of a block, splits the sums by hash
 into segments, and a segment adds up what all blocks sent it. A segment makes its page of the filter: that holds every
-counted n-gram once for each level of its quantised log count, and has so many bits for each level that it holds; a
+counted n-gram once for each level of its quantised count, and has so many bits for each level that it holds; a
 count is read by probing level after level until one is absent. Blocks send all their words and pairs, so the probes
 are at their page already, and what the page answers goes back to the block. With it go the exact counts of the
 block's own words, from which the base score is made. The filter grows with the input; neither it nor a table of all
 words is ever gathered.
+
+A word's probability after the word before it is (pair + MU * p) / (before + MU), p its share of all tokens: the weight of
+the shares falls as the word before is better known, and is 1 where it is unknown. Quantised counts of pairs and words
+are rounded down and those of the word before up, so the probabilities of all words after any word add up to at most 1
+(but for the levels that the filter wrongly sees as present).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import blocks, staged, table, texts_of
 
-#: The filter: segments are numbered by 64 pages, a page has 2 ** PAGE_BITS bits unless it is told otherwise; probes for
-#: each level, and the greatest level.
-PAGES, PAGE_BITS, PROBES, LEVELS = 64, 22, 4, 48
-#: Bits for each level in a page, at least: an absent level is seen as present with chance (1 - exp(-4 / 16)) ** 4, 0.24 %.
-LEVEL_BITS = 16
-#: A pair's share in a probability is LAMBDA.
-LAMBDA, ADD = 0.5, 0.1
-#: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+#: Probes for each level of the filter, and bits for each level in a page, at least: an absent level is seen as present
+#: with chance (1 - exp(-4 / 24)) ** 4, 0.056 %.
+PROBES, LEVEL_BITS = 4, 24
+#: Counts that a level stands for: those of three binary digits at most. Level 0 is 0, level 8 is 8, and each doubling has four.
+VALUES = np.concatenate([np.arange(4), *(np.arange(4, 8) << e for e in range(48))])
+#: Counts that the shares of single words weigh in a probability, and what is added to a word's count.
+MU, ADD = 4.0, 0.1
+#: Bytes of text in a block, of a piece of it that is cut into words at once, and for each segment.
+BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20, 16 << 20
 
 _U = np.uint64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,29 +54,61 @@ def mix(h: np.ndarray) -> np.ndarray:
 END = mix(np.array([0x0E0D], _U))[0]  # the token after the last word
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens of all texts, each text's words and then END, and the offsets of the texts."""
-    data = [t.encode("utf-8", "replace").translate(_LOWER) + b" " for t in texts]
-    b = np.frombuffer(b"".join(data), np.uint8)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data, which ends with a blank, and where each starts."""
+    b = np.frombuffer(data.translate(_LOWER), np.uint8)
     blank = _SPACE[b]
     first = ~blank
     first[1:] &= blank[:-1]
     starts = np.nonzero(first)[0]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-    words = np.searchsorted(starts, bounds)
-    offsets = words + np.arange(len(texts) + 1)
+    if not len(starts):
+        return np.zeros(0, _U), starts
+    lengths = np.nonzero(blank & ~np.concatenate([[True], blank[:-1]]))[0] - starts
+    letters = np.nonzero(~blank)[0]
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    powers = np.full(int(lengths.max()), _U(0x9E3779B97F4A7C15))
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=_U)
+    values = (b[letters].astype(_U) + _U(1)) * powers[place]
+    return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) ^ (lengths.astype(_U) << _U(40))), starts
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(index of the text, bytes): a long text is cut at blanks."""
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > PIECE_BYTES and (m := _BLANK.search(text, at + PIECE_BYTES)):
+            yield i, text[at : m.start()]
+            at = m.start()
+        yield i, text[at:] if at else text
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, each text's words and then END, and the offsets of the texts."""
+    hashes, counts = [np.zeros(0, _U)], np.zeros(len(texts), np.int64)
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        h, starts = word_hashes(b" ".join([x for _, x in held] + [b""]))
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for _, x in held])])
+        np.add.at(counts, [i for i, _ in held], np.diff(np.searchsorted(starts, bounds)))
+        hashes.append(h)
+        held.clear()
+
+    size = 0
+    for i, x in pieces(texts):
+        held.append((i, x))
+        size += len(x)
+        if size >= PIECE_BYTES:
+            flush()
+            size = 0
+    if held:
+        flush()
+    offsets = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.full(offsets[-1], END, _U)
-    if len(starts):
-        ends = np.nonzero(blank & ~np.concatenate([[True], blank[:-1]]))[0]
-        place = np.arange(len(b)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(b)]]))) if starts[0] == 0 else np.arange(len(b)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.concatenate([starts, [len(b)]])))])
-        powers = np.ones(int((ends - starts).max()) + 1, _U)
-        powers[1:] = _U(0x9E3779B97F4A7C15)
-        powers = np.cumprod(powers, dtype=_U)
-        values = np.where(blank, _U(0), (b.astype(_U) + _U(1)) * powers[np.where(blank, 0, place)])
-        h = mix(np.add.reduceat(values, starts) ^ ((ends - starts).astype(_U) << _U(40)))
-        inside = np.ones(offsets[-1], bool)
-        inside[offsets[1:] - 1] = False
-        out[inside] = h
+    inside = np.ones(offsets[-1], bool)
+    inside[offsets[1:] - 1] = False
+    out[inside] = np.concatenate(hashes)
     return out, offsets
 
 
@@ -80,14 +120,9 @@ def pairs(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(before * _U(0xD1B54A32D192ED03) + h)
 
 
-def segment(h: np.ndarray, n_sub: int) -> np.ndarray:
-    """Segments of a page follow one another: page, then which of its n_sub parts."""
-    return (h >> _U(58)).astype(np.int64) * n_sub + ((h >> _U(34)) & _U(0xFFFFFF)).astype(np.int64) % n_sub
-
-
-def in_segments(h: np.ndarray, n_sub: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def in_segments(h: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of distinct hashes by segment and value, the segments that occur, and where each starts and ends."""
-    seg = segment(h, n_sub)
+    seg = (h >> _U(34)).astype(np.int64) % n_segments
     order = np.lexsort((h, seg))
     found, starts = np.unique(seg[order], return_index=True)
     return order, found, np.append(starts, len(h))
@@ -97,43 +132,54 @@ def in_segments(h: np.ndarray, n_sub: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2(count)); 0 for 0."""
-    return np.where(counts > 0, np.frexp(counts.astype(float))[1], 0)
+    """The last level whose value is not above the count."""
+    return np.searchsorted(VALUES, counts, "right") - 1
+
+
+def least(levels: np.ndarray) -> np.ndarray:
+    """The smallest count of a level."""
+    return VALUES[levels].astype(float)
+
+
+def most(levels: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return np.where(levels > 0, VALUES[np.minimum(levels.astype(np.int64) + 1, len(VALUES) - 1)] - 1.0, 0.0)
 
 
 def page_bits(counts: np.ndarray) -> int:
     """The least power of two, as an exponent and 10 at least, that has LEVEL_BITS for each level of n-grams with these counts."""
-    return max(10, int(LEVEL_BITS * np.minimum(level(counts), LEVELS).sum() - 1).bit_length())
+    return max(10, int(LEVEL_BITS * level(counts).sum() - 1).bit_length())
 
 
 def bit_places(h: np.ndarray, j: int, bits: int) -> Iterator[np.ndarray]:
-    """Bits within the page of h, which has 2 ** bits, at level j, one array for each probe."""
+    """Bits within a page of 2 ** bits of h at level j, one array for each probe."""
     g = mix(h + _U(j * 0x9E3779B97F4A7C15 % 2**64))
     step = (g >> _U(32)) | _U(1)
     for k in range(PROBES):
         yield ((g + _U(k) * step) >> _U(3)) & _U((1 << bits) - 1)
 
 
-def page_of(h: np.ndarray, counts: np.ndarray, bits: int = PAGE_BITS) -> bytes:
-    """The bits of one page, of 2 ** bits, that n-grams with these counts set."""
+def page_of(h: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a page, of 2 ** bits, that n-grams with these counts set, as bytes."""
     page = np.zeros(1 << bits, bool)
     levels = level(counts)
-    for j in range(1, min(int(levels.max(initial=0)), LEVELS) + 1):
-        for at in bit_places(h[levels >= j], j, bits):
+    by = np.argsort(-levels, kind="stable")
+    h, ends = h[by], np.searchsorted(-levels[by], -np.arange(int(levels.max(initial=0)) + 1), "right")
+    for j in range(1, len(ends)):
+        for at in bit_places(h[: ends[j]], j, bits):
             page[at] = True
-    return np.packbits(page, bitorder="little").tobytes()
+    return np.packbits(page, bitorder="little")
 
 
-def read_levels(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """The last level that is present by repeated probes, 0 if none is. pages: all of them, or the one that h are in."""
-    bits = pages.shape[1].bit_length() + 2
+def read_levels(h: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The last level that is present by repeated probes, 0 if none is."""
+    bits = (len(page) * 8).bit_length() - 1
     found = np.zeros(len(h), np.uint8)
     live = np.arange(len(h))
-    for j in range(1, LEVELS + 1):
-        x = h[live]
-        page, ok = (x >> _U(58)).astype(np.int64) % len(pages), np.ones(len(x), bool)
+    for j in range(1, len(VALUES)):
+        x, ok = h[live], np.ones(len(live), bool)
         for at in bit_places(x, j, bits):
-            ok &= (pages[page, (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+            ok &= (page[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
         live = live[ok]
         found[live] = j
         if not len(live):
@@ -141,119 +187,125 @@ def read_levels(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
     return found
 
 
-def middle(levels: np.ndarray) -> np.ndarray:
-    """The count in the middle of a level, 0 for 0."""
-    return np.where(levels > 0, 0.75 * 2.0**levels - 0.5, 0)
-
-
-def read_counts(h: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """Counts by repeated probes: the middle of the last level that is present, 0 if none is."""
-    return middle(read_levels(h, pages))
+def probabilities(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n_all: int, n_distinct: int) -> np.ndarray:
+    """Of words, from the levels of the pair, of the word before and of the word itself."""
+    alone = np.minimum((least(word) + ADD) / (n_all + ADD * (n_distinct + 1)), 1)
+    known = most(before)
+    return np.minimum((np.minimum(least(pair), known) + MU * alone) / (known + MU), 1)
 
 
 # ---- passes ---------------------------------------------------------------------------------------------------
 
+PARTS = {"seg": pa.int64(), "words": pa.binary(), "word_counts": pa.binary(), "pairs": pa.binary(), "pair_counts": pa.binary()}
 
-def count_block(n_sub: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one block: its words and its pairs with their counts in training, by segment."""
-        block = int(pdf["block"].iloc[0])
-        h, offsets = tokens(pdf["text"].tolist())
-        learn = np.repeat(pdf["learn"].to_numpy(bool), np.diff(offsets))
-        rows = []
-        for kind, grams in (("word", h), ("pair", pairs(h, offsets))):
-            keys, which = np.unique(grams, return_inverse=True)
-            order, segs, at = in_segments(keys, n_sub)
-            keys, n = keys[order], np.bincount(which[learn], minlength=len(keys))[order].astype(np.uint32)
-            rows += [(int(s), block, kind, keys[a:b].tobytes(), n[a:b].tobytes()) for s, a, b in zip(segs, at[:-1], at[1:], strict=True)]
-        return pd.DataFrame(rows, columns=["seg", "block", "kind", "keys", "counts"])
 
-    return run
+def count_block(texts: list[bytes], learn: list[bool], n_segments: int) -> list[dict]:
+    """Of one block: its words and its pairs with their counts in training, by segment."""
+    h, offsets = tokens(texts)
+    learned = np.repeat(np.array(learn, bool), np.diff(offsets))
+    out: dict[int, dict] = {}
+    for kind, grams in (("word", h), ("pair", pairs(h, offsets))):
+        keys, which = np.unique(grams, return_inverse=True)
+        order, segs, at = in_segments(keys, n_segments)
+        keys, n = keys[order], np.bincount(which[learned], minlength=len(keys))[order].astype(np.uint32)
+        for s, a, b in zip(segs.tolist(), at[:-1], at[1:], strict=True):
+            row = out.setdefault(s, {"seg": s, "words": b"", "word_counts": b"", "pairs": b"", "pair_counts": b""})
+            row |= {f"{kind}s": keys[a:b].tobytes(), f"{kind}_counts": n[a:b].tobytes()}
+    return list(out.values())
 
 
 def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one segment: totals, and of each block's words and pairs, in the order that they came in, what the page of the
     filter says of them; of words the exact counts too."""
-    seg = int(pdf["seg"].iloc[0])
-    rows, sums = [], []
-    for kind, part in pdf.groupby("kind"):
-        keys = np.concatenate([np.frombuffer(x, _U) for x in part["keys"]])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"]])
+    sums = []
+    for kind in ("word", "pair"):
+        keys = np.concatenate([np.frombuffer(x, _U) for x in pdf[f"{kind}s"]])
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf[f"{kind}_counts"]])
         distinct, which = np.unique(keys, return_inverse=True)
-        sums.append((kind, part, distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
-    grams = np.concatenate([x[2] for x in sums])
-    counts = np.concatenate([x[4] for x in sums])
-    page = np.frombuffer(page_of(grams, counts, page_bits(counts)), np.uint8)[None]
-    for kind, part, distinct, which, total in sums:
-        at = np.cumsum([len(x) // 8 for x in part["keys"]])[:-1]
-        levels = np.split(read_levels(distinct, page)[which], at)
-        exact = np.split(total[which], at) if kind == "word" else [total[:0]] * len(part)
-        rows += [(kind, int(block), seg, c.tobytes(), x.tobytes(), 0, 0) for block, c, x in zip(part["block"], exact, levels, strict=True)]
+        sums.append((distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
+    grams, counts = (np.concatenate([x[k] for x in sums]) for k in (0, 2))
+    bits = page_bits(counts)
+    page = page_of(grams, counts, bits)
+    out = {"block": pdf["block"], "seg": pdf["seg"]}
+    for kind, (distinct, which, _) in zip(("word", "pair"), sums, strict=True):
+        at = np.cumsum([len(x) // 8 for x in pdf[f"{kind}s"]])[:-1]
+        out[f"{kind}_levels"] = [x.tobytes() for x in np.split(read_levels(distinct, page)[which], at)]
         if kind == "word":
-            rows.append(("total", 0, seg, b"", b"", int(total.sum()), int((total > 0).sum())))
-    return pd.DataFrame(rows, columns=["kind", "block", "seg", "exact", "levels", "n", "v"])
+            total = sums[0][2]
+            out["exact"] = [x.tobytes() for x in np.split(total[which], at)]
+    first = np.arange(len(pdf)) == 0  # totals of the segment stand in one of its rows
+    levels = int(level(counts).sum())
+    return pd.DataFrame(out | {"n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0), "levels": np.where(first, levels, 0), "bits": np.where(first, 1 << bits, 0)})
+
+
+ADDED = "block long, seg long, word_levels binary, pair_levels binary, exact binary, n long, v long, levels long, bits long"
 
 
-def score_block(n_sub: int, n_all: int, n_distinct: int):
+def score_block(n_segments: int, n_all: int, n_distinct: int):
     def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """Base and model scores of one block's documents, from the exact counts of its words and from what the filter said."""
-        h, offsets = tokens(pdf["text"].tolist())
+        texts = texts_of(pdf)
+        h, offsets = tokens(texts)
         words, which = np.unique(h, return_inverse=True)
         two, at = np.unique(pairs(h, offsets), return_inverse=True)
         known = known.sort_values("seg")
 
-        def back(keys: np.ndarray, kind: str, column: str, dtype) -> np.ndarray:
+        def back(keys: np.ndarray, column: str, dtype) -> np.ndarray:
             """What the segments sent of these n-grams, put in the order of keys."""
             out = np.zeros(len(keys), dtype)
-            out[in_segments(keys, n_sub)[0]] = np.concatenate([np.frombuffer(x, dtype) for x in known.loc[known["kind"] == kind, column]])
+            out[in_segments(keys, n_segments)[0]] = np.frombuffer(b"".join(known[column]), dtype)
             return out
 
-        exact = back(words, "word", "exact", np.int64)
-        below = n_all + ADD * (n_distinct + 1)
+        exact = back(words, "exact", np.int64)
         total = lambda x: np.add.reduceat(x, offsets[:-1])
-        base = total(np.log10((exact + ADD) / below)[which])
-        one = middle(back(words, "word", "levels", np.uint8))
-        both = middle(back(two, "pair", "levels", np.uint8))[at]
-        before = np.empty(len(h))
+        base = total(np.log10((exact + ADD) / (n_all + ADD * (n_distinct + 1)))[which])
+        one = back(words, "word_levels", np.uint8)
+        before = np.empty(len(h), np.uint8)
         before[1:] = one[which[:-1]]
         before[offsets[:-1]] = one[np.searchsorted(words, END)]
-        alone = np.minimum((one[which] + ADD) / below, 1)
-        share = np.where(before > 0, np.minimum(both, before) / np.maximum(before, 1), 0)
-        model = total(np.log10(np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * alone, alone)))
+        model = total(np.log10(probabilities(back(two, "pair_levels", np.uint8)[at], before, one[which], n_all, n_distinct)))
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"].to_numpy(bool), "n_tokens": np.diff(offsets), "n_known": total((exact > 0)[which].astype(np.int64)),
+            "doc_id": pdf["doc_id"].iloc[0], "held_out": np.array(pdf["held_out"].iloc[0], bool), "n_tokens": np.diff(offsets), "n_known": total((exact > 0)[which].astype(np.int64)),
             "train_tokens": n_all, "base_score": base, "score": model,
         })
 
     return run
 
 
+def false_levels(added: DataFrame) -> DataFrame:
+    """One row: levels in the filter, its bits, and the chance that an absent level is seen as present, on average over pages."""
+    chance = F.pow(1 - F.exp(-PROBES * F.col("levels") / F.col("bits")), PROBES)
+    return added.filter("bits > 0").agg(F.sum("levels").alias("levels"), F.sum("bits").alias("bits"), F.avg(chance).alias("false_chance"))
+
+
+def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """docs in blocks, what the segments say of each block, and how many segments there are."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_segments = max(1, -(-size // SEGMENT_BYTES))
+    part = F.crc32(F.col("doc_id").cast("string")) % 10
+    fields = {"doc_id": F.col("doc_id").cast("string"), "learn": F.coalesce(part != 0, F.lit(False)), "held_out": F.coalesce(part == 0, F.lit(False))}
+    packed = blocks(docs, fields, "lm-texts", BLOCK_BYTES, lambda _, held: count_block(held["data"], held["learn"], n_segments), PARTS)
+    return packed, staged(packed.select("block", F.inline("parts")).groupBy("seg").applyInPandas(add_up, ADDED), "lm"), n_segments
+
+
 def lm_score(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod 10 isn't 0; those with 0 are held out; a null doc_id is
-    neither. A null text counts as empty and has one token, the end. base_score is exact. score interpolates a word's
-    share after the word before it with its share of all, both from the filter. Repeated rows are learned from and
-    scored each; an empty table gives an empty result; other columns are ignored.
+    neither. A null text counts as empty and has one token, the end. base_score is exact. score is the model's log10
+    probability of the text's words and its end. Repeated rows are learned from and scored each; an empty table gives an
+    empty result; other columns are ignored; a long text is cut into words in pieces, and its tokens are held at once.
 
     The filter has LEVEL_BITS bits or more for each n-gram level in it, for any corpus: a level that is absent is seen as
-    present with chance 0.24 % at most.
+    present with chance 0.056 % at most.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    n_sub = max(1, -(-n_blocks // PAGES))
-    part = F.crc32(F.col("doc_id").cast("string")) % 10
-    rows = docs.select(
-        F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"), F.coalesce(part != 0, F.lit(False)).alias("learn"), F.coalesce(part == 0, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"),
-    )
-    sums = rows.groupBy("block").applyInPandas(count_block(n_sub), "seg long, block long, kind string, keys binary, counts binary")
-    parts = staged(sums.groupBy("seg").applyInPandas(add_up, "kind string, block long, seg long, exact binary, levels binary, n long, v long"), "lm")
-    n_all, n_distinct = parts.filter("kind = 'total'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    counts = parts.filter("kind != 'total'").select("kind", "block", "seg", "exact", "levels")
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(
-        score_block(n_sub, n_all, n_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    packed, parts, n_segments = counted(docs)
+    n_all, n_distinct = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    known = parts.select("block", "seg", "word_levels", "pair_levels", "exact")
+    out = packed.select("block", "doc_id", "held_out", "sizes", "blob").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+        score_block(n_segments, n_all, n_distinct), "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
