@@ -33,7 +33,7 @@ PROBES, LEVEL_BITS = 4, 24
 #: Counts that a level stands for: those of three binary digits at most. Level 0 is 0, level 8 is 8, and each doubling has four.
 VALUES = np.concatenate([np.arange(4), *(np.arange(4, 8) << e for e in range(48))])
 #: Counts that the shares of single words weigh in a probability, and what is added to a word's count.
-MU, ADD = 4.0, 0.1
+MU, ADD = 32.0, 0.1
 #: Bytes of text in a block, of a piece of it that is cut into words at once, and for each segment.
 BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20, 16 << 20
 
