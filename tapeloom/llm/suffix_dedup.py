@@ -30,7 +30,7 @@ from .common import blocks, staged, table, texts_of
 
 SPAN, GRAM = 200, 64
 #: Bytes of text in a block, of a chunk of it that is hashed at once, and of segments in one transform where anchors have few.
-BLOCK_BYTES, CHUNK_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 19, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES, TRANSFORM_BYTES = 4 << 20, 1 << 19, 1 << 20
 #: Bytes of text for each part that sums up hashes; a part has 17 bytes for each of its segments, which are some 60 windows long.
 PART_BYTES = 32 << 20
 #: Bytes of segments around one anchor in one transform, and how many windows a range has where an anchor has more.
