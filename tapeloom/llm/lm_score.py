@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,14 +121,35 @@ def pairs(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(before * _U(0xD1B54A32D192ED03) + h)
 
 
+#: Bits of a pair's hash that tell pairs of one segment apart; the others choose the segment. A segment has some millions
+#: of pairs at any size of the corpus, so that one in 300,000 pairs is taken for another.
+KEY_BITS = 40
+
+
 def in_segments(h: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of distinct hashes by segment and value, the segments that occur, and where each starts and ends."""
-    seg = (h >> _U(34)).astype(np.int64) % n_segments
-    order = np.lexsort((h, seg))
+    """The order of distinct hashes by segment and the bits that don't choose it, the segments that occur, and where each starts and ends."""
+    seg = (h >> _U(KEY_BITS)).astype(np.int64) % n_segments
+    order = np.lexsort((h, h & _U((1 << KEY_BITS) - 1), seg))
     found, starts = np.unique(seg[order], return_index=True)
     return order, found, np.append(starts, len(h))
 
 
+def short_keys(h: np.ndarray) -> bytes:
+    """KEY_BITS of each of ascending pairs, some 3.3 bytes each: steps of the highest 16 bits, compressed, and 3 bytes as they are."""
+    high = ((h & _U((1 << KEY_BITS) - 1)) >> _U(24)).astype(np.uint16)
+    steps = zstandard.ZstdCompressor().compress(np.diff(high, prepend=np.uint16(0)).tobytes())
+    return len(steps).to_bytes(4, "little") + steps + h.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def long_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 : 4 + n]), np.uint16)
+    low = np.frombuffer(data, np.uint8, offset=4 + n).reshape(-1, 3)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :3] = low
+    return out.view(_U)[:, 0] | (np.cumsum(steps, dtype=np.uint16).astype(_U) << _U(24))
+
+
 # ---- the filter -----------------------------------------------------------------------------------------------
 
 
@@ -209,8 +231,8 @@ def count_block(texts: list[bytes], learn: list[bool], n_segments: int) -> list[
         order, segs, at = in_segments(keys, n_segments)
         keys, n = keys[order], np.bincount(which[learned], minlength=len(keys))[order].astype(np.uint32)
         for s, a, b in zip(segs.tolist(), at[:-1], at[1:], strict=True):
-            row = out.setdefault(s, {"seg": s, "words": b"", "word_counts": b"", "pairs": b"", "pair_counts": b""})
-            row |= {f"{kind}s": keys[a:b].tobytes(), f"{kind}_counts": n[a:b].tobytes()}
+            row = out.setdefault(s, {"seg": s, "words": b"", "word_counts": b"", "pairs": short_keys(keys[:0]), "pair_counts": b""})
+            row |= {f"{kind}s": short_keys(keys[a:b]) if kind == "pair" else keys[a:b].tobytes(), f"{kind}_counts": n[a:b].tobytes()}
     return list(out.values())
 
 
@@ -219,17 +241,19 @@ def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     filter says of them; of words the exact counts too."""
     sums = []
     for kind in ("word", "pair"):
-        keys = np.concatenate([np.frombuffer(x, _U) for x in pdf[f"{kind}s"]])
+        keys = np.concatenate([long_keys(x) if kind == "pair" else np.frombuffer(x, _U) for x in pdf[f"{kind}s"]])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf[f"{kind}_counts"]])
         distinct, which = np.unique(keys, return_inverse=True)
         sums.append((distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
-    grams, counts = (np.concatenate([x[k] for x in sums]) for k in (0, 2))
+    (words, *_), (two, *_) = sums
+    probes = {"word": words, "pair": mix(two + END)}
+    grams, counts = np.concatenate(list(probes.values())), np.concatenate([x[2] for x in sums])
     bits = page_bits(counts)
     page = page_of(grams, counts, bits)
     out = {"block": pdf["block"], "seg": pdf["seg"]}
-    for kind, (distinct, which, _) in zip(("word", "pair"), sums, strict=True):
-        at = np.cumsum([len(x) // 8 for x in pdf[f"{kind}s"]])[:-1]
-        out[f"{kind}_levels"] = [x.tobytes() for x in np.split(read_levels(distinct, page)[which], at)]
+    for kind, (_, which, _) in zip(("word", "pair"), sums, strict=True):
+        at = np.cumsum([len(x) // 4 for x in pdf[f"{kind}_counts"]])[:-1]
+        out[f"{kind}_levels"] = [x.tobytes() for x in np.split(read_levels(probes[kind], page)[which], at)]
         if kind == "word":
             total = sums[0][2]
             out["exact"] = [x.tobytes() for x in np.split(total[which], at)]

@@ -328,6 +328,13 @@ def test_probabilities_after_any_word_add_up_to_at_most_one(corpus):
     assert max(sums) <= 1 + 1e-9 and min(sums) > 0.7 and np.mean(sums) > 0.9
 
 
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=200, unique=True))
+@settings(max_examples=50, deadline=None)
+def test_short_keys_keep_forty_bits(h):
+    keys = np.array(sorted(x % 2**40 for x in h), np.uint64)
+    assert (lm_score.long_keys(lm_score.short_keys(keys + np.uint64(5 << 40))) == keys).all()
+
+
 def test_a_pair_seen_once_is_known():
     import pandas as pd
 
@@ -392,11 +399,38 @@ def test_encoding_is_the_librarys_unigram_and_decoding_gives_the_text(spark, doc
     assert len(out) == len(corpus)
     for r in out:
         assert r.decoded_text == (r.text or "") and r.n_tokens == len(r.token_ids)
-        if r.text and len(r.text) < 1500 and sentencepiece_codec.SPACE_MARK not in r.text and "\x00" not in r.text:
+        if r.text and sentencepiece_codec.SPACE_MARK not in r.text and "\x00" not in r.text:
             ids = library.encode(r.text)
             assert sum(scores.get(i, pieces.unknown_score) for i in ids) == pytest.approx(sum(scores.get(i, pieces.unknown_score) for i in r.token_ids))
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "日本語のを東京", "etaoinshrdlu", "=-_#aeinst", "\x01é"])
+def test_long_words_in_stretches_are_those_of_plain_viterbi(alphabet, monkeypatch):
+    pieces = sentencepiece_codec.load()
+    draw = np.random.default_rng(6)
+    for n in (600, 1024, 1025, 3000):
+        word = "".join(draw.choice(list(alphabet), n))
+        back, ids = sentencepiece_codec.viterbi(sentencepiece_codec.code_points([word]), pieces)
+        want, end = [], n
+        while end:
+            want.append([ids[0, end]] if ids[0, end] >= 0 else pieces.byte_ids[list(word[end - 1].encode())])
+            end -= int(back[0, end])
+        for stretch, part in ((512, 1 << 17), (64, 256), (7, 21)):
+            monkeypatch.setattr(sentencepiece_codec, "STRETCH", stretch)
+            monkeypatch.setattr(sentencepiece_codec, "PART", part)
+            assert (sentencepiece_codec.encode_long(word, pieces) == np.concatenate(want[::-1])).all()
+
+
+def test_an_unbroken_line_of_a_million_characters():
+    import time
+
+    pieces = sentencepiece_codec.load()
+    word = "".join(np.random.default_rng(7).choice(list("日本語のを東京漢字"), 1_000_000))
+    at = time.time()
+    ids, offsets = sentencepiece_codec.Encoder(pieces).encode([word, "short one"])
+    assert time.time() - at < 30 and sentencepiece_codec.decode(ids, offsets, pieces) == [word, "short one"]
+
+
 # ---- mixing ----
 
 
