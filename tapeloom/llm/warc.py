@@ -1,7 +1,8 @@
 """WARC archives: one gzip member for each record, written by tasks and read back as a stream.
 
 The writer is a pass over partitions that puts each archive into a folder which all executors reach. The reader
-decompresses incrementally, frames records by Content-Length and verifies both digests of every record.
+decompresses incrementally, frames records by Content-Length and verifies every digest that a record states. It takes
+archives of any writer: every type of record, any form of id, and records without digests or HTTP headers.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ CHUNK = 1 << 18
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 4
 ID = "urn:page:"
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean"
+RECORD = "record_id string, page_id long, url string, record_type string, date string, refers_to_id string, refers_to long, block_bytes long, payload_bytes long, payload_digest string, digest_ok boolean"
+#: Most bytes of a record's header, and of compressed bytes for a task that reads several archives.
+HEADER_BYTES, TASK_BYTES = 1 << 20, 512 << 20
 
 
 def digest(data: bytes) -> str:
@@ -100,6 +103,7 @@ def write_warc(pages: DataFrame, folder: str, date: datetime | None = None) -> D
     """
     when = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"))
+    # all empty pages have one sha; rows are counted before they move, and the join is one whose large keys AQE splits
     groups = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("last")), F.lit(None)).otherwise(F.col("last"))
     rows = rows.join(groups, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to"))
@@ -118,54 +122,152 @@ def write_warc(pages: DataFrame, folder: str, date: datetime | None = None) -> D
     return staged(strings.mapInPandas(write, "path string, bytes long"), "archives")
 
 
-def members(stream, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The decompressed members of a gzip stream, one after another, from reads of `chunk` bytes."""
-    data = stream.read(chunk)
-    while data:
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof:
-            if not data:
-                data = stream.read(chunk)
-                if not data:
-                    raise EOFError("the archive ends within a member")
-            parts.append(unpack.decompress(data))
-            data = unpack.unused_data
-        yield b"".join(parts)
-        data = data or stream.read(chunk)
-
-
-def parse_header(data: bytes) -> tuple[str, dict[str, str], int]:
-    """First line, fields by lower-case name, and where the block starts."""
-    end = data.index(b"\r\n\r\n")
-    first, *lines = data[:end].decode("utf-8", "replace").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
-
-
-def parse_record(data: bytes) -> dict[str, object]:
-    """One record by its Content-Length; digest_ok says whether every digest that it states holds."""
-    version, fields, start = parse_header(data)
-    end = start + int(fields["content-length"])
-    if not version.startswith("WARC/") or data[end:] != b"\r\n\r\n":
+class Inflated:
+    """The bytes of a gzip stream, member after member, of which at most CHUNK are inflated ahead."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.packed, self.ready = stream, b"", b""
+        self.unpack = zlib.decompressobj(31)
+        self.begun = False  # within a member
+
+    def more(self) -> bool:
+        """Inflate up to CHUNK bytes more; False at the end of the stream."""
+        while True:
+            if not self.packed:
+                self.packed = self.stream.read(CHUNK)
+                if not self.packed:
+                    if self.begun:
+                        raise EOFError("the archive ends within a member")
+                    return False
+            self.begun = True
+            out = self.unpack.decompress(self.packed, CHUNK)
+            self.packed = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.packed = self.unpack.unused_data
+                self.unpack, self.begun = zlib.decompressobj(31), False
+            if out:
+                self.ready += out
+                return True
+
+    def upto(self, mark: bytes, most: int) -> bytes | None:
+        """What comes before mark, which is skipped; None at the end of the stream."""
+        while (at := self.ready.find(mark)) < 0:
+            if len(self.ready) > most:
+                raise ValueError(f"no end of a header in {most} bytes")
+            if not self.more():
+                if self.ready.strip():
+                    raise EOFError("the archive ends within a header")
+                return None
+        out, self.ready = self.ready[:at], self.ready[at + len(mark) :]
+        return out
+
+    def take(self, n: int) -> Iterator[bytes]:
+        """The next n bytes in pieces."""
+        while n:
+            if not self.ready and not self.more():
+                raise EOFError("the archive ends within a record")
+            out, self.ready = self.ready[:n], self.ready[n:]
+            n -= len(out)
+            yield out
+
+
+def parse_header(data: bytes) -> tuple[str, dict[str, str]]:
+    """First line, and fields by lower-case name; a line that starts with a blank goes on with the one before."""
+    first, *lines = data.decode("utf-8", "replace").lstrip("\r\n").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+class Sums:
+    """Running digests of bytes by the algorithms that are asked for."""
+
+    def __init__(self, *stated: str | None) -> None:
+        names = {"sha1", *(x.partition(":")[0].lower() for x in stated if x)}
+        self.sums = {n: hashlib.new(n) for n in names if n in hashlib.algorithms_available and not n.startswith("shake")}
+        self.size = 0
+
+    def update(self, data: bytes) -> None:
+        self.size += len(data)
+        for x in self.sums.values():
+            x.update(data)
+
+    def base32(self, name: str = "sha1") -> str:
+        return base64.b32encode(self.sums[name].digest()).decode()
+
+    def agrees(self, stated: str | None) -> bool | None:
+        """Whether a stated `algorithm:value`, in base 32 or hex, holds; None if none is stated or the algorithm isn't known."""
+        name, _, value = (stated or "").partition(":")
+        if name.lower() not in self.sums or not value:
+            return None
+        own = self.sums[name.lower()]
+        return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
+def number(record_id: str | None) -> int | None:
+    """The page_id of an id of our writer; None for any other."""
+    tail = (record_id or "").strip("<>").removeprefix(ID)
+    return int(tail) if (record_id or "").strip("<>").startswith(ID) and tail.lstrip("-").isdigit() else None
+
+
+def read_record(stream: Inflated, with_payload: bool) -> dict[str, object] | None:
+    """The next record, framed by its Content-Length; None at the end. The payload is held only if it is asked for.
+
+    digest_ok says whether all digests that it states hold, and is null if it states none that can be verified. The payload is
+    what follows the HTTP headers of an HTTP record, else the whole block; payload_bytes is the HTTP Content-Length of a
+    revisit, whose payload isn't there, and payload_digest the one it states (without algorithm) or else that of the bytes.
+    """
+    head = stream.upto(b"\r\n\r\n", HEADER_BYTES)
+    if head is None:
+        return None
+    version, fields = parse_header(head)
+    if not version.startswith("WARC/") or not fields.get("content-length", "").isdigit():
+        raise ValueError(f"not the header of a record: {version[:80]}")
+    size = int(fields["content-length"])
+    said = fields.get("warc-payload-digest")
+    block, payload, kept = Sums(fields.get("warc-block-digest")), Sums(said), []
+    http: dict[str, str] | None = None
+    waiting: bytes | None = b"" if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http") else None
+    for piece in stream.take(size):
+        block.update(piece)
+        if waiting is not None:  # still within the HTTP headers
+            waiting += piece
+            at = waiting.find(b"\r\n\r\n")
+            if at < 0 and len(waiting) < min(HEADER_BYTES, size):
+                continue
+            if at >= 0:
+                http, piece = parse_header(waiting[:at])[1], waiting[at + 4 :]
+            else:
+                piece = waiting
+            waiting = None
+        payload.update(piece)
+        if with_payload:
+            kept.append(piece)
+    if waiting:
+        payload.update(waiting)
+        kept.append(waiting)
+    kind = fields.get("warc-type")
+    if b"".join(stream.take(4)) != b"\r\n\r\n":
         raise ValueError(f"a record isn't framed by its Content-Length: {fields.get('warc-record-id')}")
-    block = data[start:end]
-    _, http, body = parse_header(block)
-    payload = block[body:]
-    revisit = fields["warc-type"] == "revisit"
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    ok = fields["warc-block-digest"] == f"sha1:{digest(block)}" and (not payload if revisit else said == digest(payload) and len(payload) == int(http["content-length"]))
-    number = lambda x: int(n) if x and (n := x.strip("<>").removeprefix(ID)) else None
-    uri = fields.get("warc-target-uri")
+    revisit, stated_length = kind == "revisit", (http or {}).get("content-length", "")
+    checks = [block.agrees(fields.get("warc-block-digest"))]
+    if not (revisit and not payload.size):
+        checks += [payload.agrees(said)]
+        checks += [int(stated_length) == payload.size] if stated_length.isdigit() and kind == "response" and "content-encoding" not in http and "transfer-encoding" not in http else []
+    checks = [x for x in checks if x is not None]
+    length = int(stated_length) if revisit and stated_length.isdigit() else payload.size
+    uri, refers = fields.get("warc-target-uri"), fields.get("warc-refers-to")
     return {
-        "page_id": number(fields["warc-record-id"]), "url": None if uri is None else urllib.parse.unquote(uri), "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")),
-        "payload_bytes": int(http["content-length"]), "payload_digest": said, "digest_ok": ok, "payload": None if revisit else payload,
+        "record_id": fields.get("warc-record-id", "").strip("<>") or None, "page_id": number(fields.get("warc-record-id")), "url": None if uri is None else urllib.parse.unquote(uri.strip("<>")), "record_type": kind,
+        "date": fields.get("warc-date"), "refers_to_id": refers and refers.strip("<>"), "refers_to": number(refers), "block_bytes": size, "payload_bytes": length,
+        "payload_digest": said.partition(":")[2] if said else payload.base32(), "digest_ok": all(checks) if checks else None, "payload": None if revisit else b"".join(kept),
     }
 
 
 def read_warc(paths: DataFrame, with_payload: bool = False) -> DataFrame:
     """paths (path, bytes) -> a row for each record, with `payload` as binary if asked for.
 
-    A task holds one record of an archive at a time. A record that isn't framed as it says stops the job; one whose
-    digests don't hold has digest_ok false.
+    A task inflates a piece of a record at a time, and holds a payload only if it is asked for. A record that isn't framed
+    as it says stops the job; one whose digests don't hold has digest_ok false, one that states none has null. No path
+    gives an empty result; a null path stops the job.
     """
     schema = RECORD + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -175,10 +277,11 @@ def read_warc(paths: DataFrame, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch["path"]:
                 fs, name = opened(path)
-                with fs.open_input_stream(name, compression=None) as stream:
-                    for data in members(stream):
-                        rows.append(parse_record(data))
-                        size += len(data) if with_payload else 1000
+                with fs.open_input_stream(name, compression=None) as file:
+                    stream = Inflated(file)
+                    while (found := read_record(stream, with_payload)) is not None:
+                        rows.append(found)
+                        size += 1000 + len(found["payload"] or b"")
                         if size > 8 << 20:
                             yield frame(rows)
                             rows, size = [], 0
@@ -186,10 +289,11 @@ def read_warc(paths: DataFrame, with_payload: bool = False) -> DataFrame:
             yield frame(rows)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "digest_ok": bool})
+        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "block_bytes": "int64", "payload_bytes": "int64", "digest_ok": "boolean"})
 
-    n = max(1, paths.count())
-    return paths.select("path").repartition(n).mapInPandas(read, schema)
+    n, size = paths.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, 4 * paths.sparkSession.sparkContext.defaultParallelism), -(-size // TASK_BYTES))
+    return paths.select("path").repartition(min(tasks, max(1, n))).mapInPandas(read, schema)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
