@@ -26,30 +26,44 @@ from .common import table
 class Layout:
     """Where a record keeps its turns.
 
-    paths: all its nested field paths ([] is any element of a list). turns: the list of turns, or None. role, text,
-    turn: fields of an element of that list, or of the record. fixed: (role, field) pairs of a record without a list.
+    needs: the nested field paths that make it this layout ([] is any element of a list). turns: the list of turns, or None.
+    role, text, turn: fields of an element of that list, or of the record. fixed: (role, fields) pairs of a record without a
+    list; fields that are there and not empty are joined by a blank line, and if none is there's no turn (but for null or
+    empty fields of needs, which make an empty one). system: a field that, if it isn't empty, is a turn before all others.
     """
 
     name: str
-    paths: tuple[str, ...]
+    needs: tuple[str, ...]
     turns: str | None = None
     role: str = "role"
     text: str = "text"
     turn: str | None = None
-    fixed: tuple[tuple[str, str], ...] = ()
+    fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    system: str | None = "system"
 
 
+def answered(name: str, question: str, answer: str, more: tuple[str, ...] = ()) -> Layout:
+    return Layout(name, (question, answer), fixed=(("user", (question, *more)), ("assistant", (answer,))))
+
+
+#: The first layout all of whose needs are there is taken; fields that no layout names don't matter.
 LAYOUTS = [
-    Layout("turn_row", ("conv_id", "role", "text", "turn"), turn="turn"),
-    Layout("messages", ("conv_id", "messages", "messages[]", "messages[].content", "messages[].role"), "messages", "role", "content"),
-    Layout("from_value", ("conv_id", "conversations", "conversations[]", "conversations[].from", "conversations[].value"), "conversations", "from", "value"),
-    Layout("prompt", ("completion", "conv_id", "prompt"), fixed=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("instruction", ("conv_id", "instruction", "output"), fixed=(("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", ("conv_id", "input", "instruction", "output"), fixed=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("nested_prompt", ("conv_id", "data", "data.prompt", "data.response"), fixed=(("user", "data.prompt"), ("assistant", "data.response"))),
+    Layout("turn_row", ("role", "text", "turn"), turn="turn", system=None),
+    Layout("messages", ("messages",), "messages", "role", "content"),
+    Layout("from_value", ("conversations",), "conversations", "from", "value"),
+    Layout("dialogue", ("dialogue",), "dialogue", "speaker", "text"),
+    answered("instruction", "instruction", "output", ("input",)),
+    answered("instruction_response", "instruction", "response", ("context", "input")),
+    answered("prompt", "prompt", "completion"),
+    answered("prompt_response", "prompt", "response"),
+    answered("question", "question", "answer", ("context",)),
+    answered("input_output", "input", "output"),
+    answered("nested_prompt", "data.prompt", "data.response"),
 ]
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: The paths that tell layouts apart; a fingerprint is made of these alone.
+TELLING = {p for x in LAYOUTS for p in x.needs}
 
 
 def field_paths(value: object, at: str = "") -> set[str]:
@@ -61,10 +75,20 @@ def field_paths(value: object, at: str = "") -> set[str]:
 
 
 def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
-    return hashlib.sha1("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha1("\n".join(sorted(TELLING & set(paths))).encode()).hexdigest()[:16]
+
 
+class Mappings:
+    """Layouts by fingerprint. A fingerprint that is met for the first time is looked up by the needs of all layouts."""
 
-BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+    def __init__(self) -> None:
+        self.known: dict[str, Layout | None] = {fingerprint(x.needs): x for x in reversed(LAYOUTS)}
+
+    def find(self, paths: set[str]) -> tuple[str, Layout | None]:
+        mark = fingerprint(paths)
+        if mark not in self.known:
+            self.known[mark] = next((x for x in LAYOUTS if paths.issuperset(x.needs)), None)
+        return mark, self.known[mark]
 
 
 def pick(value: object, path: str) -> object:
@@ -73,26 +97,38 @@ def pick(value: object, path: str) -> object:
     return value
 
 
-def turns_of(record: dict, layout: Layout, aliases: bool = True) -> list[tuple[int | None, str, str]]:
-    """(turn, role, text) of a record; null and missing values are empty."""
-    word = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+def word(x: object) -> str:
+    """A text as it is, null as empty, a list of content parts as their texts, anything else as JSON."""
+    if isinstance(x, list) and x and all(isinstance(p, dict) and isinstance(p.get("text"), str) for p in x):
+        return "".join(p["text"] for p in x)
+    return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
+def turns_of(record: dict, layout: Layout) -> list[tuple[int | None, str, str]]:
+    """(turn, role, text) of a record; null and missing values are empty. A turn row keeps its role as it is."""
+    if layout.turns is None and not layout.fixed:
+        return [(pick(record, layout.turn), word(pick(record, layout.role)), word(pick(record, layout.text)))]
+    turns = [("system", x)] if layout.system and (x := word(pick(record, layout.system))) else []
     if layout.fixed:
-        return [(i, role, word(pick(record, path))) for i, (role, path) in enumerate(layout.fixed)]
-    rename = ROLES if layout.turns else {}
-    role = lambda x: rename.get(word(x), word(x))
-    if layout.turns is None:
-        return [(pick(record, layout.turn) if layout.turn else 0, role(pick(record, layout.role)), word(pick(record, layout.text)))]
-    return [(i, role(pick(x, layout.role)), word(pick(x, layout.text))) for i, x in enumerate(pick(record, layout.turns) or [])]
+        turns += [(role, "\n\n".join(t for f in fields if (t := word(pick(record, f))))) for role, fields in layout.fixed]
+    else:
+        listed = pick(record, layout.turns)
+        named = [(word(pick(x, layout.role)), word(pick(x, layout.text))) for x in (listed if isinstance(listed, list) else [])]
+        turns += [(ROLES.get(r, r), t) for r, t in named]
+    return [(i, r, t) for i, (r, t) in enumerate(turns)]
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """records (record: JSON with conv_id) -> conv_id, turn, role, text, layout: a row for each turn.
+    """records (record: JSON, with conv_id or without) -> conv_id, turn, role, text, layout: a row for each turn.
 
     A record of an unknown layout, or that isn't JSON, gives one row with layout 'unknown:<fingerprint>' and null
-    turn, role and text, so that nothing disappears unseen.
+    turn, role and text, so that nothing disappears unseen; a record without a turn gives such a row with its layout. A
+    missing conv_id, or one that isn't a whole number, is null. Repeated records give their turns each; other columns go.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mappings = Mappings()
+        number = lambda x: x if isinstance(x, int) and not isinstance(x, bool) and -(2**63) <= x < 2**63 else None
         for batch in batches:
             rows = []
             for raw in batch["record"]:
@@ -100,13 +136,12 @@ def canonical_turns(records: DataFrame) -> DataFrame:
                     record = json.loads(raw)
                 except (TypeError, ValueError):
                     record = None
-                mark = fingerprint(field_paths(record))
-                conv = record.get("conv_id") if isinstance(record, dict) else None
-                layout = BY_FINGERPRINT.get(mark)
-                if layout is None:
+                mark, layout = mappings.find(field_paths(record))
+                conv = number(record.get("conv_id")) if isinstance(record, dict) else None
+                if layout is None or not isinstance(record, dict):
                     rows.append((conv, None, None, None, f"unknown:{mark}"))
                 else:
-                    rows += [(conv, *x, layout.name) for x in turns_of(record, layout)]
+                    rows += [(conv, number(i), r, t, layout.name) for i, r, t in turns_of(record, layout)] or [(conv, None, None, None, layout.name)]
             out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"])
             yield out.astype({"conv_id": "Int64", "turn": "Int64"})
 
@@ -153,7 +188,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> the same with `formatted` and the span `loss_start`, `loss_end` in it.
 
     A conversation's formatted text is the concatenation of its turns' by turn, so this needs no shuffle and holds one
-    turn at a time, however long a conversation is. Null roles and texts count as empty. Other columns go.
+    turn at a time, however long a conversation is. Null roles and texts count as empty, but rows with neither of them nor a
+    turn are records without a turn and go. Other columns go.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,6 +198,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
             more = pd.DataFrame(out, columns=["formatted", "loss_start", "loss_end"])
             yield pd.concat([batch[["conv_id", "turn"]].astype("Int64").reset_index(drop=True), more], axis=1)
 
+    turns = turns.filter("turn is not null or role is not null or text is not null")
     typed = turns.select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
     return typed.mapInPandas(run, "conv_id long, turn long, formatted string, loss_start long, loss_end long")
 
@@ -170,7 +207,8 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Read formatted turns back, and sum up each conversation in turn order (then by formatted text).
 
     SHA-256 over a conversation needs its turns one after another: they are sorted within a partition and streamed
-    through running digests, so memory doesn't grow with a conversation.
+    through running digests, so memory doesn't grow with a conversation. All turns of a conversation go to one task, as one
+    digest needs; turns without a conv_id are one conversation. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
