@@ -2,7 +2,8 @@
 
 A Misra-Gries summary finds the digests that hold more than a share PHI of all rows. There are at most
 1 / (PHI - 1 / (K + 1)) of them, whatever the size of the table, so their verified winners are broadcast
-and their rows never meet in one task. Every other digest has at most PHI of the rows and is shuffled.
+and their rows never meet in one task. Every other digest has at most PHI of the rows; its winner is a partial aggregate,
+joined back by a shuffle in which a large group can be split.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty, without_space
@@ -69,10 +70,8 @@ def exact_dedup(docs: DataFrame, k: int = K, phi: float = PHI, extra: dict[str,
     )
     winners = staged(winners, "winners")  # at most as many rows as heavy has
     of_heavy = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    of_rest = rows.join(F.broadcast(heavy), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", "size", *extra, best.over(group).doc_id.alias("keep_id"), F.count("*").over(group).alias("group_size")
-    )
+    rest = rows.join(F.broadcast(heavy), "text_sha256", "left_anti")
+    of_rest = rest.join(rest.groupBy("text_sha256").agg(best.doc_id.alias("keep_id"), F.count("*").alias("group_size")), "text_sha256")
     return of_heavy.select(of_rest.columns).unionAll(of_rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra
     )
