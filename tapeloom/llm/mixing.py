@@ -87,11 +87,12 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = M
     Added columns: mix_tokens, mix_pass (from 0), mix_block, mix_order (sort by it to read the mixture in block
     permutations), mix_weight and mix_exponent of the source. Tokens are words. A null source is a source of its
     own; a null text has no tokens; rows that are repeated are repeated each as often as their like; an empty
-    table stays empty. mix_ columns that docs has already are replaced.
+    table stays empty. Columns of docs with the names of added ones are replaced, and others may have any name. Documents
+    without a doc_id are told apart, and dealt to blocks, by their text.
     """
     given = docs.drop("mix_tokens", "mix_pass", "mix_block", "mix_order", "mix_weight", "mix_exponent")
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    id_ = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    id_ = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.md5(text_or_empty()))
     block = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), id_)), 1, 6), 16, 10).cast("long") % N_BLOCKS
     row_key = [src.alias("mix_src"), id_.alias("mix_id"), F.xxhash64(text_or_empty()).alias("mix_hash")]
     units = (
@@ -115,10 +116,10 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeat: float | None = M
         )
         .filter("mix_passes > 0")
     )
-    keyed = given.select("*", *row_key)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in given.columns)).alias("mix_row"), *row_key)  # any names travel in a struct
     out = keyed.join(taken, ["mix_src", "mix_id", "mix_hash"]).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("mix_passes") - 1).cast("int"))))
     place = F.concat(hex_hash(F.lit(seed), F.col("mix_src"), F.col("mix_pass"), F.col("mix_block")), hex_hash(F.lit(seed), F.col("mix_pass"), F.col("mix_id")))
-    return out.select(*given.columns, "mix_tokens", "mix_pass", "mix_block", place.alias("mix_order"), "mix_weight", "mix_exponent")
+    return out.select("mix_row.*", "mix_tokens", "mix_pass", "mix_block", place.alias("mix_order"), "mix_weight", "mix_exponent")
 
 
 def op10_mixing(spark, sf_dir):
