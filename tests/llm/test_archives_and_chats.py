@@ -45,19 +45,81 @@ def test_empty_table_writes_no_archive(spark):
 @given(st.lists(st.binary(max_size=300), min_size=1, max_size=8), st.integers(1, 64))
 @settings(max_examples=60, deadline=None)
 def test_members_are_read_incrementally(parts, chunk):
-    stream = io.BytesIO(b"".join(gzip.compress(p) for p in parts))
-    assert list(warc.members(stream, chunk)) == parts
+    old, warc.CHUNK = warc.CHUNK, chunk
+    try:
+        stream = warc.Inflated(io.BytesIO(b"".join(gzip.compress(p) for p in parts)))
+        assert [b"".join(stream.take(len(p))) for p in parts] == parts and not stream.more()
+    finally:
+        warc.CHUNK = old
+
+
+def records_of(data, with_payload=True):
+    stream, out = warc.Inflated(io.BytesIO(data)), []
+    while (r := warc.read_record(stream, with_payload)) is not None:
+        out.append(r)
+    return out
 
 
 def test_a_cut_archive_and_wrong_digests_are_noticed():
     data = warc.record(1, "u", b"payload", None, "2024-01-01T00:00:00Z")
     with pytest.raises(EOFError):
-        list(warc.members(io.BytesIO(data[:-9])))
+        records_of(data[:-9])
     plain = zlib.decompress(data, 31)
-    assert warc.parse_record(plain)["digest_ok"]
-    assert not warc.parse_record(plain.replace(b"payload", b"pAyload"))["digest_ok"]
+    assert records_of(gzip.compress(plain))[0]["digest_ok"]
+    assert records_of(gzip.compress(plain.replace(b"payload", b"pAyload")))[0]["digest_ok"] is False
+    with pytest.raises((ValueError, EOFError)):
+        records_of(gzip.compress(plain + b"more"))
     with pytest.raises(ValueError):
-        warc.parse_record(plain + b"more")
+        records_of(gzip.compress(plain.replace(b"payload", b"longer payload")))
+
+
+def test_a_bomb_is_inflated_in_pieces():
+    block = b"x" * (64 << 20)
+    data = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+    stream = warc.Inflated(io.BytesIO(data))
+    most, more = 0, stream.more
+
+    def watched():
+        nonlocal most
+        out = more()
+        most = max(most, len(stream.ready))
+        return out
+
+    stream.more = watched
+    found = warc.read_record(stream, False)
+    assert found["payload_bytes"] == len(block) and most <= 2 * warc.CHUNK
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def part(fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<html>hi</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        part({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        part({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:2>", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        part({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Target-URI": "<http://a/%C3%BC>", "WARC-Payload-Digest": f"sha1:{sha}", "Content-Type": "application/http; msgtype=response"}, http + body),
+        part({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:4>", "Content-Type": "application/http;msgtype=response"}, http + body),
+        part({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:5>", "WARC-Payload-Digest": f"sha256:{hashlib.sha256(body).hexdigest()}", "Content-Type": "application/http; msgtype=response"}, http + body),
+        part({"WARC-Type": "metadata", "WARC-Refers-To": "<urn:uuid:3>"}, b""),
+        part({"WARC-Type": "conversion", "WARC-Record-ID": "<urn:uuid:7>", "WARC-Block-Digest": "crc32:1", "Content-Type": "text/plain"}, b"plain\r\n\r\ntext"),
+        part({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:8>", "WARC-Payload-Digest": "sha1:AAAA", "Content-Type": "application/http; msgtype=response"}, b"no headers at all"),
+    ]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(records[0] + records[3]))  # two records in one member
+    names = spark.createDataFrame([(str(path), 1), (str(tmp_path / "two.warc.gz"), 1)], "path string, bytes long")
+    out = warc.read_warc(names, with_payload=True).collect()
+    by_id = {r.record_id: r for r in out}
+    assert len(out) == 10 and all(r.page_id is None for r in out)
+    assert {r.record_type for r in out} == {"warcinfo", "request", "response", "metadata", "conversion"}
+    assert [by_id[f"urn:uuid:{i}"].digest_ok for i in (1, 2, 3, 4, 5, 7, 8)] == [None, None, True, None, True, None, False]
+    assert bytes(by_id["urn:uuid:3"].payload) == body and by_id["urn:uuid:4"].payload_digest == sha and by_id["urn:uuid:3"].url == "http://a/ü"
+    assert by_id[None].refers_to_id == "urn:uuid:3" and by_id[None].payload_bytes == 0 and bytes(by_id["urn:uuid:7"].payload) == b"plain\r\n\r\ntext"
+    assert bytes(by_id["urn:uuid:8"].payload) == b"no headers at all"
 
 
 ODD = st.text(alphabet=st.sampled_from(list("<|im_start>end[/INST]</s>\n\x1b012 user")), max_size=60)
@@ -88,12 +150,29 @@ def test_layouts_are_chosen_by_their_paths(spark):
         turns[r.conv_id].append((r.layout.split(":")[0], r.turn, r.role, r.text))
     assert turns[1] == [("messages", 0, "user", "q"), ("messages", 1, "assistant", "")]
     assert turns[2] == [("from_value", 0, "user", "q"), ("from_value", 1, "assistant", "a")]
-    assert [turns[i][0][0] for i in (3, 4, 5, 6)] == ["prompt", "instruction", "instruction_input", "nested_prompt"]
-    assert [x[2] for x in turns[5]] == ["system", "user", "assistant"]
+    assert [turns[i][0][0] for i in (3, 4, 5, 6)] == ["prompt", "instruction", "instruction", "nested_prompt"]
+    assert [x[2:] for x in turns[5]] == [("user", "s\n\nq"), ("assistant", "a")]
     assert turns[7] == [("turn_row", 3, "human", "q")]
     assert turns[8][0][0] == "unknown" and len(turns[None]) == 4
 
 
+def test_layouts_take_optional_fields(spark):
+    records = [
+        {"conv_id": 1, "messages": []}, {"conv_id": 2, "messages": [{"role": "human", "content": "q", "name": "x"}], "source": "web"}, {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]},
+        {"conv_id": 4, "prompt": "q", "response": "a"}, {"conv_id": 5, "instruction": "i", "input": "", "output": "a", "system": "be kind"}, {"conv_id": 6, "question": "q", "context": "c", "answer": None}, {"conv_id": "seven", "prompt": "q", "completion": "a"}, {"conv_id": 8, "messages": "no list"},
+    ]
+    turns = collections.defaultdict(list)
+    out = chat_format.canonical_turns(spark.createDataFrame([(json.dumps(r),) for r in records], "record string"))
+    for r in out.collect():
+        turns[r.conv_id].append((r.layout, r.role, r.text))
+    assert turns[1] == turns[8] == [("messages", None, None)] and turns[2] == [("messages", "user", "q")]
+    assert turns[4] == [("prompt_response", "user", "q"), ("prompt_response", "assistant", "a")]
+    assert [x[1:] for x in turns[5]] == [("system", "be kind"), ("user", "i"), ("assistant", "a")]
+    assert [x[1:] for x in turns[6]] == [("user", "q\n\nc"), ("assistant", "")]
+    assert turns[None] == [("messages", "user", "ab"), ("prompt", "user", "q"), ("prompt", "assistant", "a")]
+    assert chat_format.format_chats(out).count() == out.count() - 2
+
+
 def test_digests_of_conversations(spark):
     rows = [(1, 1, "assistant", "é\n"), (1, 0, "user", None), (1, 2, None, "x"), (2, None, "assistant", "<s>"), (2, 5, "assistant", "b"), (None, 0, "user", "n"), (3, 0, "user", ""), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     rows += [(5, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(500)]
@@ -118,12 +197,16 @@ def test_pipeline_stages_keep_what_they_should(spark, docs, corpus, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tapeloom.llm.common import staged
 
-    now, n = docs.select("doc_id", "text", "lang", "source", "n_chars"), []
+    now, n = docs.withColumnsRenamed({"kept": "kept_id", "fp": "kept_mark", "mix_pass": "mix_id", "size": "mix_src", "anchor": "row", "data": "mix_row", "block": "mix_hash"}), []
+    columns = now.columns
     for name, stage in corpus_pipeline.STAGES:
         before = now
         now = staged(stage(spark, now, str(tmp_path)), name.replace(" ", "-"))
         n.append(now.count())
+        assert name == "SentencePiece" or now.columns == columns
         if name == "language ID":
+            said = {(i, t): x for i, t, x, *_ in corpus}
+            assert all(said[r.doc_id, r.text] in (r.lang, None) for r in now.collect()) and now.filter("lang is null").count() < before.filter("lang is null").count()
             assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in now.collect()) == sorted((i is None, i or 0, t) for i, t, *_ in corpus if t and any(map(str.isalpha, t)))
         if name == "exact dedup":
             norm = lambda t: "".join(t.split(" ")).replace("\n", "").replace("\t", "").replace("\r", "")
@@ -135,6 +218,10 @@ def test_pipeline_stages_keep_what_they_should(spark, docs, corpus, tmp_path):
             assert now.count() == groups
         if name == "mixing sources":
             assert {r.text for r in now.collect()} == {r.text for r in before.collect()}
+            from tapeloom.llm import mixing
+
+            order = [r.text for r in mixing.mix(before).orderBy("mix_order").collect()]
+            assert [r.text for r in stage(spark, before, str(tmp_path)).collect()] == order
     assert n[0] > n[1] >= n[2] <= n[3] == n[4]
     assert all(r.round_trip for r in now.collect())
 
@@ -162,3 +249,13 @@ def test_queries_match_duckdb(spark, name):
     found = queries.QUERIES[name](spark, sf)
     assert sorted(found.columns) == columns
     assert collections.Counter(map(tuple, found.select(*columns).collect())) == collections.Counter(wanted.select(", ".join(f'"{c}"' for c in columns)).fetchall() if hasattr(wanted, "fetchall") else con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_queries_without_sql_have_a_row_for_each_document(spark, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
+    if "held_out" in out.columns:
+        n = 3 if name.startswith("op4") else 10
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == (1 if n == 3 else 0)) for r in out.select("doc_id", "held_out").collect())

@@ -373,6 +373,22 @@ def test_language_id_learns_and_flags(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_mixed_and_short_texts_are_flagged_and_plain_ones_are_not(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null and lang is not null")
+    model = language_id.trained(texts)
+    held = [r for r in texts.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and len(r.text) > 400]
+    by = {lang: [r.text for r in held if r.lang == lang] for lang in model.languages}
+    one, two = sorted(by, key=lambda k: -len(by[k]))[:2]
+    mixed = [a[:200] + " " + b[:200] for a, b in zip(by[one] * 9, by[two], strict=False)][:60]
+    rows = [(i, t) for i, t in enumerate([*mixed, *(t[:8] for t in by[one][:40]), *(r.text for r in held)])]
+    out = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    flagged = [out[i].ambiguous for i in range(len(rows))]
+    n = len(mixed)
+    plain = [out[n + 40 + k].lang_pred == r.lang for k, r in enumerate(held)]
+    assert np.mean(plain) > 0.98
+    assert np.mean(flagged[:n]) > 0.9 and np.mean(flagged[n : n + 40]) > 0.9 and np.mean(flagged[n + 40 :]) < 0.05, (np.mean(flagged[:n]), np.mean(flagged[n + 40 :]))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 20])
 def test_codewords_differ_and_use_both_values(n):
     code = language_id.codewords(n)
@@ -453,6 +469,13 @@ def test_mixture_meets_its_budgets(docs, corpus):
     assert len({r.mix_order for r in out}) > len(corpus) // 2
 
 
+def test_columns_of_any_name_and_rows_without_an_id_are_mixed(spark, docs):
+    odd = docs.withColumnsRenamed({"kept": "mix_id", "fp": "mix_src", "size": "mix_hash", "data": "mix_passes", "anchor": "mix_row", "block": "src"})
+    assert mixing.mix(odd).count() == mixing.mix(docs).count() and set(odd.columns) < {*mixing.mix(odd).columns, "mix_pass"}
+    none = spark.createDataFrame([(None, f"text {i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    assert mixing.mix(none).groupBy("mix_block").count().agg({"count": "max"}).first()[0] < 10
+
+
 def test_entropy_target(docs):
     rows = mixing.mix(docs, budget=100_000, max_repeat=None, entropy_share=0.98).select("source", "mix_weight").distinct().collect()
     w = np.array([r.mix_weight for r in rows])
