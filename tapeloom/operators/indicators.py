@@ -74,7 +74,7 @@ def structure_events(bars: DataFrame, left: int, right: int) -> DataFrame:
     return e.withColumn("event", F.when(F.coalesce(against, F.lit(False)), "CHoCH").otherwise("BOS"))
 
 
-RECURSIVE = "ema20 double, ema50 double, macd double, signal double, hist double, rsi14 double, atr14 double, adx14 double, plus_di double, minus_di double"
+RECURSIVE = "ema20 double, ema50 double, ema200 double, macd double, signal double, hist double, rsi14 double, atr14 double, adx14 double, plus_di double, minus_di double"
 
 
 def recursive(bars: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def recursive(bars: DataFrame) -> DataFrame:
         signal = smoothing.ema(macd, 9)
         strength, plus, minus = smoothing.adx(h, l, c, 14)
         return pdf.assign(
-            ema20=smoothing.ema(c, 20), ema50=smoothing.ema(c, 50), macd=macd, signal=signal, hist=macd - signal, rsi14=smoothing.rsi(c, 14), atr14=smoothing.wilder(smoothing.true_range(h, l, c), 14),
+            ema20=smoothing.ema(c, 20), ema50=smoothing.ema(c, 50), ema200=smoothing.ema(c, 200), macd=macd, signal=signal, hist=macd - signal, rsi14=smoothing.rsi(c, 14), atr14=smoothing.wilder(smoothing.true_range(h, l, c), 14),
             adx14=strength, plus_di=plus, minus_di=minus,
         )
 
