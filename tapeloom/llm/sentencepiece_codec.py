@@ -34,7 +34,7 @@ SPACE_MARK, UNKNOWN_PENALTY = "▁", 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = pow(int(BASE), -1, 1 << 64)
 #: Code points of a matrix of words, and words that a task remembers.
-CELLS, REMEMBERED = 1 << 18, 1 << 18
+CELLS, REMEMBERED = 1 << 16, 1 << 17
 #: Words of more code points go in stretches of so many; a part of such a word that is looked at together, a multiple of that.
 STRETCH, PART = 1 << 9, 1 << 17
 _WORD = re.compile(f" *[^ \n{SPACE_MARK}]+| +|\n|{SPACE_MARK}")
