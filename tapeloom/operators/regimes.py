@@ -53,10 +53,14 @@ def side_description(flow: DataFrame) -> DataFrame:
     return a.join(st, ["symbol", "broker"])
 
 
+#: The band of a mean that is no direction, and where phases of the short mean over the long one end.
+NEUTRAL, EXHAUSTED, WEAK, HOT = 0.001, 0.25, 0.75, 1.25
+
+
 def phase(m_short: Column, m_long: Column) -> Column:
-    """How the short mean stands to the long one: exhausted, weakening, persistent, accelerating, or reversed."""
+    """How the short mean stands to the long one: exhausted (also when it turned), weakening, persistent or accelerating; flat where the long one has no direction."""
     r = ratio(m_short, m_long)
-    return F.when(F.abs(m_long) < 1e-9, "flat").when(r < 0, "reversed").when(r <= 0.25, "exhausted").when(r < 0.75, "weakening").when(r <= 1.25, "persistent").otherwise("accelerating")
+    return F.when(F.abs(m_long) <= NEUTRAL, "flat").when(r <= EXHAUSTED, "exhausted").when(r < WEAK, "weakening").when(r <= HOT, "persistent").otherwise("accelerating")
 
 
 def accelerations(series: DataFrame, value: str = "tilt") -> DataFrame:
@@ -92,25 +96,43 @@ def lag_scan(series: DataFrame, most: int = 10) -> DataFrame:
     return a.join(b, ["symbol", "at"]).filter("ret is not null").groupBy("symbol", "lag").agg(F.count("*").alias("n"), F.round(pearson("tilt", "ret"), 6).alias("corr"))
 
 
-def regimes(series: DataFrame, n: int = 7, lookback: int = 60, least: int = 20) -> DataFrame:
-    """Tags of a session from its mean volume, churn and size of return over n sessions, against earlier ones."""
+def session_measures(flow: DataFrame) -> DataFrame:
+    """What regimes are read from, by session: tilt and concentration (shares of the largest net buyer and seller), volume, brokers, mean size of a trade."""
+    v = F.sum("bought")
+    return flow.groupBy("symbol", "dt").agg(
+        ((F.max("net") + F.min("net")) / v).alias("tilt"), ((F.max("net") - F.min("net")) / v).alias("concentration"), v.cast("double").alias("volume"), F.count("*").cast("double").alias("brokers"), (2 * v / F.sum("trades")).alias("size")
+    )
+
+
+def regimes(measures: DataFrame, n: int = 7, lookback: int = 250, least: int = 60, band: float = 0.5) -> DataFrame:
+    """Each session's trailing n sessions as accumulation, distribution or neutral, by the z of mean tilt against earlier
+    windows, with tags where another mean lies a deviation off, and for how tilt stands to the window before.
+
+    Nothing but windows that ended before a session is in its baseline; sessions without `least` of them have no row.
+    """
     from .stats import point_in_time
 
     w = by_symbol().rowsBetween(1 - n, 0)
-    s = series.select("symbol", "dt", F.avg("volume").over(w).alias("mv"), F.avg("churn").over(w).alias("mc"), F.avg(F.abs("ret")).over(w).alias("mr"))
-    for x in ("mv", "mc", "mr"):
-        s = point_in_time(s, x, lookback, least).withColumnRenamed("z", f"z_{x}").drop("pct")
-    tag = lambda z, hi, lo: F.when(F.round(z, 9) >= 0.5, hi).when(F.round(z, 9) <= -0.5, lo)
-    parts = F.array(tag(F.col("z_mv"), "busy", "quiet"), tag(F.col("z_mc"), "one-sided", "two-sided"), tag(F.col("z_mr"), "wild", "calm"))
-    return s.filter("z_mv is not null and z_mr is not null").select("symbol", "dt", F.concat_ws("+", F.filter(parts, lambda t: t.isNotNull())).alias("regime"))
+    s = measures.select("symbol", "dt", F.row_number().over(by_symbol()).alias("i"), *(F.avg(c).over(w).alias(c) for c in ("tilt", "volume", "concentration", "brokers", "size")))
+    for x in ("tilt", "volume", "concentration", "brokers", "size"):
+        s = point_in_time(s, x, lookback, least).withColumn(f"z_{x}", F.round("z", 6)).drop("z", "pct")
+    s = s.withColumn("before", F.lag("tilt", n).over(by_symbol()))
+    high = lambda x, name: F.when(F.col(f"z_{x}") >= 1, name)
+    low = lambda x, name: F.when(F.col(f"z_{x}") <= -1, name)
+    turn = (
+        F.when(F.col("before") * F.col("tilt") < 0, "flow reversal").when((F.abs("tilt") > 1.5 * F.abs("before")) & (F.abs("before") > 1e-9), "flow acceleration").when(F.abs("tilt") < 0.5 * F.abs("before"), "flow deterioration")
+    )
+    tags = F.array_compact(F.array(F.coalesce(high("volume", "high volume"), low("volume", "low volume")), high("concentration", "high concentration"), high("brokers", "broad participation"), F.coalesce(high("size", "high trade size"), low("size", "low trade size")), turn))
+    label = F.when(F.col("z_tilt") >= band, "accumulation").when(F.col("z_tilt") <= -band, "distribution").otherwise("neutral")
+    return s.filter((F.col("i") >= n) & F.col("z_tilt").isNotNull()).select("symbol", "dt", label.alias("regime"), F.concat_ws(",", tags).alias("tags"), F.round("tilt", 6).alias("tilt"), "z_tilt", F.coalesce("z_volume", F.lit(0.0)).alias("z_volume"))
 
 
 def transitions(labels: DataFrame, label: str) -> DataFrame:
-    """From label to label: how often, with what probability, and how long the first lasts."""
-    r = runs(labels, ["symbol"], "dt", label).groupBy("symbol", "run", label).agg(F.count("*").alias("n"))
-    r = r.withColumn("to", F.lead(label).over(Window.partitionBy("symbol").orderBy("run"))).filter("to is not null")
-    t = r.groupBy(F.col(label).alias("from"), "to").agg(F.count("*").alias("times"), F.round(F.avg("n"), 6).alias("mean_length"), F.median("n").alias("median_length"))
-    return t.withColumn("probability", F.round(F.col("times") / F.sum("times").over(Window.partitionBy("from")), 6))
+    """By symbol, from label to label: how often and with what probability; how long the first lasts, over all its runs, the last one too."""
+    r = runs(labels, ["symbol"], "dt", label).groupBy("symbol", "run", F.col(label).alias("from")).agg(F.count("*").alias("n"))
+    lasts = r.groupBy("symbol", "from").agg(F.count("*").alias("runs"), F.round(F.avg("n"), 6).alias("mean_length"), F.median("n").alias("median_length"))
+    t = r.withColumn("to", F.lead("from").over(Window.partitionBy("symbol").orderBy("run"))).filter("to is not null").groupBy("symbol", "from", "to").agg(F.count("*").alias("times"))
+    return t.withColumn("probability", F.round(F.col("times") / F.sum("times").over(Window.partitionBy("symbol", "from")), 6)).join(lasts, ["symbol", "from"])
 
 
 def absorption(series: DataFrame, lookback: int = 60, least: int = 20) -> DataFrame:

@@ -48,11 +48,19 @@ def bar_changes(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"change": F.round(change, 2), "pct": F.round(100 * ratio(change, prev), 2)})
 
 
+def newest_versions(*versions: DataFrame) -> DataFrame:
+    """Bars of several writes, oldest first: of each (symbol, dt) the one written last. One pass over all of them, however many."""
+    cols = ["symbol", "dt", "o", "h", "l", "c", "v", "amount"]
+    rows = None
+    for i, x in enumerate(versions):
+        x = x.select(*cols, F.lit(i).alias("version"))
+        rows = x if rows is None else rows.unionByName(x)
+    return rows.groupBy("symbol", "dt").agg(F.max_by(F.struct(*cols[2:]), "version").alias("x")).select("symbol", "dt", "x.*")
+
+
 def upsert_bars(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Replace the bars of new's (symbol, dt), add the others, and derive changes anew. Doing it twice changes nothing."""
-    cols = ["symbol", "dt", "o", "h", "l", "c", "v", "amount"]
-    kept = stored.select(*cols).join(new.select("symbol", "dt"), ["symbol", "dt"], "left_anti")
-    return bar_changes(kept.unionByName(new.select(*cols)))
+    return bar_changes(newest_versions(stored, new))
 
 
 def upsert_partition(stored: DataFrame, new: DataFrame, key: str = "dt") -> DataFrame:

@@ -72,9 +72,7 @@ def daily_upsert(spark, sf_dir):
     newest = stored.join(F.broadcast(stored.agg(F.max("dt").alias("d"))), F.col("dt") == F.col("d")).drop("d")  # one row
     again = newest.withColumns({"c": F.col("c") * 1.04, "v": F.col("v") + 1})
     more = newest.withColumns({"dt": F.date_add("dt", 7), "c": F.col("c") * 1.08})
-    out = stored
-    for new in (again, more, more):
-        out = op.upsert_bars(out, new)
+    out = op.bar_changes(op.newest_versions(stored, again, more, more))
     return out.select("symbol", "dt", micro(F.col("c")).alias("c"), "v", F.when(F.lag("c").over(op.by_symbol()).isNotNull(), F.col("change").isNotNull()).alias("has_change"))
 
 

@@ -43,7 +43,7 @@ def accumulation_side(spark, sf_dir):
 
 
 @query("acceleration_phase", f"""WITH {SERIES_SQL}, m AS (SELECT symbol, dt, i, {', '.join(f'avg(tilt) OVER w{n} AS m{n}' for n in (3, 7, 15, 30))} FROM ser WINDOW {', '.join(f'w{n} AS (PARTITION BY symbol ORDER BY dt ROWS {n - 1} PRECEDING)' for n in (3, 7, 15, 30))})
-SELECT symbol, dt, {', '.join(f'round(m{n}, 6) AS m{n}' for n in (3, 7, 15, 30))}, CASE WHEN abs(m30) < 1e-9 THEN 'flat' WHEN m3 / m30 < 0 THEN 'reversed' WHEN m3 / m30 <= 0.25 THEN 'exhausted' WHEN m3 / m30 < 0.75 THEN 'weakening' WHEN m3 / m30 <= 1.25 THEN 'persistent' ELSE 'accelerating' END AS phase,
+SELECT symbol, dt, {', '.join(f'round(m{n}, 6) AS m{n}' for n in (3, 7, 15, 30))}, CASE WHEN abs(m30) <= 0.001 THEN 'flat' WHEN m3 / m30 <= 0.25 THEN 'exhausted' WHEN m3 / m30 < 0.75 THEN 'weakening' WHEN m3 / m30 <= 1.25 THEN 'persistent' ELSE 'accelerating' END AS phase,
   CASE WHEN sign(m3) <> sign(m7) THEN 7 WHEN sign(m3) <> sign(m15) THEN 15 WHEN sign(m3) <> sign(m30) THEN 30 END AS first_flip, CASE WHEN abs(m3 - m30) > 0.25 * greatest(abs(m3), abs(m30)) THEN 'moving' ELSE 'stable' END AS pattern FROM m WHERE i >= 30""")
 def acceleration_phase(spark, sf_dir):
     return op.accelerations(series(spark, sf_dir))
@@ -68,22 +68,35 @@ def lag_scan(spark, sf_dir):
     return op.lag_scan(series(spark, sf_dir))
 
 
-REGIME_SQL = f"""{SERIES_SQL}, s0 AS (SELECT symbol, dt, avg(volume) OVER w AS mv, avg(churn) OVER w AS mc, avg(abs(ret)) OVER w AS mr FROM ser WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 6 PRECEDING)),
-{pit_sql('s1', 's0', 'mv')}, {pit_sql('s2', 's1', 'mc')}, {pit_sql('s3', 's2', 'mr')},
-reg AS (SELECT symbol, dt, concat_ws('+', CASE WHEN round(z_mv, 9) >= 0.5 THEN 'busy' WHEN round(z_mv, 9) <= -0.5 THEN 'quiet' END, CASE WHEN round(z_mc, 9) >= 0.5 THEN 'one-sided' WHEN round(z_mc, 9) <= -0.5 THEN 'two-sided' END, CASE WHEN round(z_mr, 9) >= 0.5 THEN 'wild' WHEN round(z_mr, 9) <= -0.5 THEN 'calm' END) AS regime
-        FROM s3 WHERE z_mv IS NOT NULL AND z_mr IS NOT NULL)"""
+def _pit(x):
+    """z of a rolling mean against up to 250 earlier ones, null with fewer than 60."""
+    return f"CASE WHEN count({x}) OVER p >= 60 THEN round(CASE WHEN stddev_pop({x}) OVER p < 1e-12 THEN 0 ELSE ({x} - avg({x}) OVER p) / stddev_pop({x}) OVER p END, 6) END AS z_{x}"
+
+
+MEASURES = ("tilt", "volume", "concentration", "brokers", "size")
+REGIME_SQL = f"""{FLOW_SQL}, me AS (SELECT symbol, dt, (max(net) + min(net)) / sum(bought) AS tilt, (max(net) - min(net)) / sum(bought) AS concentration, sum(bought)::DOUBLE AS volume, count(*)::DOUBLE AS brokers, 2 * sum(bought) / sum(trades) AS size FROM flow GROUP BY ALL),
+ro AS (SELECT symbol, dt, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i, {', '.join(f'avg({x}) OVER w AS {x}' for x in MEASURES)} FROM me WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 6 PRECEDING)),
+zs AS (SELECT *, lag(tilt, 7) OVER (PARTITION BY symbol ORDER BY dt) AS was, {', '.join(map(_pit, MEASURES))} FROM ro WINDOW p AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+reg AS (SELECT symbol, dt, CASE WHEN z_tilt >= 0.5 THEN 'accumulation' WHEN z_tilt <= -0.5 THEN 'distribution' ELSE 'neutral' END AS regime,
+  concat_ws(',', CASE WHEN z_volume >= 1 THEN 'high volume' WHEN z_volume <= -1 THEN 'low volume' END, CASE WHEN z_concentration >= 1 THEN 'high concentration' END, CASE WHEN z_brokers >= 1 THEN 'broad participation' END, CASE WHEN z_size >= 1 THEN 'high trade size' WHEN z_size <= -1 THEN 'low trade size' END,
+    CASE WHEN was * tilt < 0 THEN 'flow reversal' WHEN abs(tilt) > 1.5 * abs(was) AND abs(was) > 1e-9 THEN 'flow acceleration' WHEN abs(tilt) < 0.5 * abs(was) THEN 'flow deterioration' END) AS tags, round(tilt, 6) AS tilt, z_tilt, coalesce(z_volume, 0) AS z_volume FROM zs WHERE i >= 7 AND z_tilt IS NOT NULL)"""
+
+
+def labelled_sessions(spark, sf_dir):
+    return op.regimes(op.session_measures(broker_flow(tape(spark, sf_dir))))
 
 
 @query("regimes", f"WITH {REGIME_SQL} SELECT * FROM reg")
 def regimes(spark, sf_dir):
-    return op.regimes(series(spark, sf_dir))
+    return labelled_sessions(spark, sf_dir)
 
 
 @query("regime_transitions", f"""WITH {REGIME_SQL}, c AS (SELECT *, CASE WHEN regime IS NOT DISTINCT FROM lag(regime) OVER w THEN 0 ELSE 1 END AS new FROM reg WINDOW w AS (PARTITION BY symbol ORDER BY dt)), r AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY dt) AS run FROM c),
-l AS (SELECT symbol, run, regime, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT regime AS "from", lead(regime) OVER (PARTITION BY symbol ORDER BY run) AS "to", n FROM l), g AS (SELECT "from", "to", count(*) AS times, round(avg(n), 6) AS mean_length, median(n) AS median_length FROM t WHERE "to" IS NOT NULL GROUP BY ALL)
-SELECT *, round(times / sum(times) OVER (PARTITION BY "from"), 6) AS probability FROM g""")
+l AS (SELECT symbol, run, regime AS "from", count(*) AS n FROM r GROUP BY ALL), d AS (SELECT symbol, "from", count(*) AS runs, round(avg(n), 6) AS mean_length, median(n) AS median_length FROM l GROUP BY ALL),
+t AS (SELECT symbol, "from", lead("from") OVER (PARTITION BY symbol ORDER BY run) AS "to" FROM l), g AS (SELECT symbol, "from", "to", count(*) AS times FROM t WHERE "to" IS NOT NULL GROUP BY ALL)
+SELECT g.*, round(times / sum(times) OVER (PARTITION BY g.symbol, g."from"), 6) AS probability, runs, mean_length, median_length FROM g JOIN d USING (symbol, "from")""")
 def regime_transitions(spark, sf_dir):
-    return op.transitions(op.regimes(series(spark, sf_dir)), "regime")
+    return op.transitions(labelled_sessions(spark, sf_dir), "regime")
 
 
 @query("absorption_proxy", f"""WITH {SERIES_SQL}, s0 AS (SELECT *, abs(ret) AS move FROM ser), {pit_sql('s1', 's0', 'volume')}, {pit_sql('s2', 's1', 'churn')}, {pit_sql('s3', 's2', 'move')},

@@ -17,28 +17,41 @@ TAPE_FIELDS = ["buyer", "seller", "quantity", "rate", "amount", "contract"]
 
 
 def tape_files(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of files <symbol>/<date>.txt: tab- or blank-separated rows of six fields, header and line ends of any kind skipped.
+    """Rows of files <symbol>/<date>.txt, six fields parted by tabs, or by blanks where a row has no tab; headers and blank lines go.
 
-    Each row says whether it is `kept`: numbers parse and are positive. Symbol and date come from the file's path.
+    `fault` says why a row isn't `kept`: 'fields' or 'numbers' that can't be parsed, an unknown 'broker', or a quantity, rate
+    or broker that isn't 'positive'. Symbol and date come from the file's path.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))
-    parts = F.split(F.trim(F.regexp_replace("value", "\r", "")), r"[\t ]+")
-    rows = lines.select("file", parts.alias("p")).filter((F.size("p") >= 6) & (F.lower(F.get("p", F.lit(0))) != "buyer"))
+    lines = spark.read.text(path, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path")).withColumn("value", F.regexp_replace("value", "\r", ""))
+    parts = F.when(F.contains("value", F.lit("\t")), F.split("value", "\t")).otherwise(F.split(F.trim("value"), " +"))
+    rows = lines.filter(F.trim(F.regexp_replace("value", "\t", " ")) != "").select("file", F.transform(parts, F.trim).alias("p")).filter(F.lower(F.get("p", F.lit(0))) != "buyer")
     at = lambda i: F.get("p", F.lit(i))
     typed = rows.select(
-        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("symbol"), F.to_date(F.regexp_extract("file", r"([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1)).alias("dt"),
+        F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("symbol"), F.to_date(F.regexp_extract("file", r"([0-9]{4}-[0-9]{2}-[0-9]{2})[^/]*$", 1)).alias("dt"), (F.size("p") < 6).alias("short"),
         broker_code(at(0)).alias("buyer"), broker_code(at(1)).alias("seller"), whole(at(2)).alias("qty"), number(at(3)).alias("rate"), number(at(4)).alias("source_amount"), at(5).alias("contract"),
     )
-    ok = F.col("buyer").isNotNull() & F.col("seller").isNotNull() & (F.col("qty") > 0) & (F.col("rate") > 0)
-    return typed.withColumns({"amount": F.col("qty") * F.col("rate"), "kept": F.coalesce(ok, F.lit(False))})
+    none = lambda *names: F.greatest(*(F.col(n).isNull() for n in names))
+    fault = F.when(F.col("short"), "fields").when(none("buyer", "seller"), "broker").when(none("qty", "rate", "source_amount"), "numbers").when((F.col("qty") <= 0) | (F.col("rate") <= 0) | (F.col("buyer") <= 0) | (F.col("seller") <= 0), "positive")
+    return typed.withColumns({"amount": F.col("qty") * F.col("rate"), "fault": fault, "kept": fault.isNull()}).drop("short")
 
 
 def tape_quality(trades: DataFrame) -> DataFrame:
-    """A score of each session from its rows kept, repeated contracts and amounts that don't match quantity times rate."""
-    gap = F.col("kept") & (F.abs(F.col("source_amount") - F.col("amount")) > 0.01 * F.col("amount"))
-    q = trades.groupBy("symbol", "dt").agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.count_if(gap).alias("mismatches"), (F.count_if("kept") - F.count_distinct(F.when(F.col("kept"), F.col("contract")))).alias("repeated"), F.count_if(F.col("kept") & ((F.col("buyer") >= 900000) | (F.col("seller") >= 900000))).alias("dealer_rows"))
-    score = F.round(100 * ratio0(F.col("kept"), F.col("total")) - 10 * ratio0(F.col("mismatches"), F.col("total")), 4)
-    return q.withColumns({"score": score, "status": F.when(F.col("kept") == 0, "INVALID").when((F.col("kept") < F.col("total")) | (F.col("mismatches") > 0) | (F.col("repeated") > 0), "WARNING").otherwise("VALID")})
+    """A score of 0 to 100 for each session: rows kept of all, less a tenth for amounts that are off by more than 1 and 0.1 %.
+
+    Faults, mismatches and repeated contracts or rows make a warning; rows of dealers don't.
+    """
+    c = F.count_if
+    kept = F.col("kept")
+    gap = kept & (F.col("source_amount") > 0) & (F.abs(F.col("source_amount") - F.col("amount")) > F.greatest(F.lit(1.0), 0.001 * F.col("amount")))
+    named = kept & (F.col("contract") != "")
+    q = trades.groupBy("symbol", "dt").agg(
+        F.count("*").alias("total"), c(kept).alias("kept"), c(F.col("fault").isin("fields", "numbers")).alias("unparsable"), c(F.col("fault") == "broker").alias("unknown_brokers"), c(F.col("fault") == "positive").alias("not_positive"), c(gap).alias("mismatches"),
+        (c(named) - F.count_distinct(F.when(named, F.col("contract")))).alias("repeated"), (c(kept) - F.count_distinct(F.when(kept, F.struct("buyer", "seller", "qty", "rate", "contract")))).alias("repeated_rows"),
+        c(kept & ((F.col("buyer") >= 900000) | (F.col("seller") >= 900000))).alias("dealer_rows"),
+    )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * ratio0(F.col("kept"), F.col("total")) - 10 * ratio0(F.col("mismatches"), F.col("total"))))
+    flaws = F.col("total") - F.col("kept") + F.col("mismatches") + F.col("repeated") + F.col("repeated_rows")
+    return q.withColumns({"score": F.round(score, 4), "status": F.when(F.col("kept") == 0, "INVALID").when(flaws > 0, "WARNING").otherwise("VALID")})
 
 
 def bar_files(spark: SparkSession, path: str) -> DataFrame:

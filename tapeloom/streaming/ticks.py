@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,17 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-
+from ..sources.store import shared_path
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both write: the cluster's checkpoint folder, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tapeloom"
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def tick_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    raw = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    """Ticks of events.parquet, be it one file or a folder of part files."""
+    raw = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(F.col("user_id").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 
@@ -63,7 +58,7 @@ def run_to_end(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], N
 
 def snapshot(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """The table that a stream in complete mode ends with: each batch replaces the one before."""
-    out = shared_path(spark, name)
+    out = shared_path(spark, f"stream-{name}")
     run_to_end(stream, "complete", lambda df, _: df.write.mode("overwrite").parquet(f"{out}/table"), f"{out}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{out}/table")
 
@@ -71,7 +66,7 @@ def snapshot(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 def upserted(spark: SparkSession, stream: DataFrame, name: str, key: list[str], order: str) -> DataFrame:
     """The table that a stream in update mode ends with: batches are kept apart by number, so a batch that runs again
     replaces itself, and the newest row of a key wins."""
-    out = shared_path(spark, name)
+    out = shared_path(spark, f"stream-{name}")
     run_to_end(stream, "update", lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/table/batch={i}"), f"{out}/checkpoint")
     rows = spark.read.parquet(f"{out}/table").drop("batch")
     others = [c for c in stream.columns if c not in key]

@@ -146,7 +146,18 @@ def test_tape_files_and_their_quality(spark, tmp_path):
     kept = t.filter("kept").orderBy("contract").collect()
     assert [(r.symbol, str(r.dt), r.buyer, r.qty, r.amount) for r in kept] == [("ABC", "2024-01-02", 1, 50, 500.0), ("ABC", "2024-01-02", 3, 1250, 2500.0), ("ABC", "2024-01-02", 900001, 5, 50.0)]
     q = files.tape_quality(t).first()
-    assert (q.total, q.kept, q.mismatches, q.repeated, q.dealer_rows, q.status) == (5, 3, 1, 0, 1, "WARNING")
+    assert (q.total, q.kept, q.mismatches, q.repeated, q.dealer_rows, q.status) == (6, 3, 1, 0, 1, "WARNING")
+    assert (q.unparsable, q.not_positive, q.unknown_brokers, q.repeated_rows) == (2, 1, 0, 0) and abs(q.score - (50 - 10 / 6)) < 1e-3
+
+
+def test_rows_with_tabs_keep_their_blanks_and_repeats_are_counted(spark, tmp_path):
+    folder = tmp_path / "XYZ"
+    folder.mkdir()
+    (folder / "2024-01-03.txt").write_text("1\t2\t1 000\t10\t10000\tt 1\n1\t2\t10\t10\t100.5\tt2\n1\t2\t10\t10\t101.5\tt2\n1\t2\t10\t10\t100\tt2\n?\t2\t10\t10\t100\tt5\n")
+    t = files.tape_files(spark, str(tmp_path))
+    q = files.tape_quality(t).first()
+    assert (q.total, q.repeated, q.repeated_rows, q.mismatches, q.unknown_brokers) == (5, 2, 2, 1, 1)
+    assert "t 1" in [r.contract for r in t.collect()]
 
 
 def test_bar_files(spark, tmp_path):
