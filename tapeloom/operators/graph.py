@@ -106,18 +106,34 @@ def cycles4(e: DataFrame) -> DataFrame:
 
 
 def sequence(trades: DataFrame, order: list[str]) -> DataFrame:
-    """Trades in order within a symbol: how often a side repeats, its longest run, ticks up and down, and early against late size."""
-    w = Window.partitionBy("symbol").orderBy("dt", *order)
-    t = trades.withColumns({"i": F.row_number().over(w), "pb": F.lag("buyer").over(w), "ps": F.lag("seller").over(w), "pr": F.lag("rate").over(w), "n": F.count("*").over(Window.partitionBy("symbol"))})
-    change = lambda x, p: F.sum(F.coalesce((F.col(x) != F.col(p)).cast("int"), F.lit(1))).over(w)
-    t = t.withColumns({"rb": change("buyer", "pb"), "rs": change("seller", "ps")})
+    """Trades in order within a symbol: how often a side repeats, its longest run, ticks up and down, and early against late size.
+
+    Trades are ordered within sessions; what a session's first trade follows, and how many trades and runs came before it,
+    are carried from session to session over one row each. So no symbol's whole tape is sorted in one task.
+    """
+    day = ["symbol", "dt"]
+    w = Window.partitionBy(*day).orderBy(*order)
+    t = trades.withColumns({"k": F.row_number().over(w), "pb": F.lag("buyer").over(w), "ps": F.lag("seller").over(w), "pr": F.lag("rate").over(w)})
+    first, at = F.col("k") == 1, F.struct(*order)
+    side = {"b": "buyer", "s": "seller", "r": "rate"}
+    d = t.groupBy(*day).agg(
+        F.count("*").alias("m"), *(F.min_by(c, at).alias(f"first_{x}") for x, c in side.items()), *(F.max_by(c, at).alias(f"last_{x}") for x, c in side.items()), *(F.count_if(~first & (F.col(side[x]) != F.col(f"p{x}"))).alias(f"turns_{x}") for x in "bs")
+    )
+    ds = Window.partitionBy("symbol").orderBy("dt")
+    earlier = ds.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"was_{x}": F.lag(f"last_{x}").over(ds) for x in side})
+    d = d.withColumns({f"turns_{x}": F.col(f"turns_{x}") + F.coalesce((F.col(f"first_{x}") != F.col(f"was_{x}")).cast("int"), F.lit(1)) for x in "bs"})
+    d = d.withColumns({"before": F.coalesce(F.sum("m").over(earlier), F.lit(0)), "n": F.sum("m").over(Window.partitionBy("symbol")), **{f"runs_{x}": F.coalesce(F.sum(f"turns_{x}").over(earlier), F.lit(0)) for x in "bs"}})
+    t = t.join(d.select(*day, "before", "n", "runs_b", "runs_s", "was_b", "was_s", "was_r"), day)
+    t = t.withColumns({f"p{x}": F.when(first, F.col(f"was_{x}")).otherwise(F.col(f"p{x}")) for x in side})
+    t = t.withColumns({f"run_{x}": F.col(f"runs_{x}") + F.sum(F.coalesce((F.col(side[x]) != F.col(f"p{x}")).cast("int"), F.lit(1))).over(w) for x in "bs"})
     run = lambda g, name: t.groupBy("symbol", g).count().groupBy("symbol").agg(F.max("count").alias(name))
-    half = F.col("i") * 2 <= F.col("n")
+    half = (F.col("before") + F.col("k")) * 2 <= F.col("n")
     s = t.groupBy("symbol").agg(
         F.count("*").alias("n"), F.count_if(F.col("buyer") == F.col("pb")).alias("buyer_repeats"), F.count_if(F.col("seller") == F.col("ps")).alias("seller_repeats"), F.count_if(F.col("rate") > F.col("pr")).alias("up"), F.count_if(F.col("rate") < F.col("pr")).alias("down"), F.count_if(F.col("rate") == F.col("pr")).alias("flat"),
         F.round(F.avg(F.when(half, F.col("qty"))), 6).alias("early_qty"), F.round(F.avg(F.when(~half, F.col("qty"))), 6).alias("late_qty"),
     )
-    return s.join(run("rb", "longest_buyer_run"), "symbol").join(run("rs", "longest_seller_run"), "symbol")
+    return s.join(run("run_b", "longest_buyer_run"), "symbol").join(run("run_s", "longest_seller_run"), "symbol")
 
 
 def affinity(flow: DataFrame) -> DataFrame:

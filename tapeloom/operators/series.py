@@ -94,6 +94,17 @@ def resampled(ticks: DataFrame, minutes: int) -> DataFrame:
     return ticks.groupBy("instrument", bucket.alias("bucket")).agg(F.min_by("price", "seq").alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", "seq").alias("c"), F.count("*").alias("n"))
 
 
+def resampled_all(ticks: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """Bars of several step lengths `m` in minutes, by UTC, from one scan: 1-minute bars are made first and then put together."""
+    last = F.max_by(F.struct("price"), "seq").price
+    minutes = ticks.groupBy("instrument", F.date_trunc("minute", "ts").alias("minute")).agg(
+        F.min_by("price", "seq").alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), last.alias("c"), F.count("*").alias("n"), F.min("seq").alias("s0"), F.max("seq").alias("s1")
+    )
+    each = minutes.withColumn("m", F.explode(F.array(*map(F.lit, steps))))
+    bucket = F.timestamp_seconds(F.floor(F.unix_timestamp("minute") / (F.col("m") * 60)) * F.col("m") * 60)
+    return each.groupBy("instrument", bucket.alias("bucket"), "m").agg(F.min_by("o", "s0").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "s1").alias("c"), F.sum("n").alias("n"))
+
+
 def vwap_returns(bars: DataFrame, circuit: float = 0.20) -> DataFrame:
     """Log returns of the average price; one beyond the circuit is an artefact and counts as 0."""
     v = bars.withColumn("vwap", ratio(F.col("amount"), F.col("v")))

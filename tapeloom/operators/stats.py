@@ -37,6 +37,17 @@ def upper_median(x: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
+def ranked_values(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """By key, the value at rank round(0.9 (n - 1)), halves to even, as nearest_rank_90, and at rank n div 2 as upper_median.
+
+    Equal values are counted before they are put in order, so what is sorted is as long as there are unlike values.
+    """
+    w = Window.partitionBy(key)
+    c = rows.groupBy(key, value).count().withColumns({"upto": F.sum("count").over(w.orderBy(value)), "n": F.sum("count").over(w)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    return c.groupBy(key).agg(at(F.bround((F.col("n") - 1) * F.lit(0.9))).alias("nearest_rank_90"), at(F.floor(F.col("n") / 2)).alias("upper_median"))
+
+
 def baseline(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Sixteen statistics of a value by key; variance is the population's."""
     v = F.col(value)

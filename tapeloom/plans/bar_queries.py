@@ -101,12 +101,7 @@ def minute_fill(spark, sf_dir):
 @query("resample_minutes", f"""WITH {TICKS_SQL} SELECT m, instrument, time_bucket(to_minutes(m), ts) AS bucket, min_by(price, seq) AS o, max(price) AS h, min(price) AS l, max_by(price, seq) AS c, count(*) AS n
 FROM ticks, (SELECT unnest([5, 15, 30, 60]) AS m) GROUP BY ALL""")
 def resample_minutes(spark, sf_dir):
-    t = ticks(spark, sf_dir)
-    out = None
-    for m in (5, 15, 30, 60):
-        part = op.resampled(t, m).withColumn("m", F.lit(m))
-        out = part if out is None else out.unionAll(part)
-    return out
+    return op.resampled_all(ticks(spark, sf_dir), (5, 15, 30, 60))
 
 
 @query("vwap_returns", f"""WITH {BARS_SQL}, v AS (SELECT symbol, dt, amount / v AS vwap FROM bars), r AS (SELECT *, ln(vwap / lag(vwap) OVER (PARTITION BY symbol ORDER BY dt)) AS ret FROM v)

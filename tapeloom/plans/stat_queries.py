@@ -21,7 +21,7 @@ def six(df, *names):
 def session_stats(spark, sf_dir):
     return tape(spark, sf_dir).groupBy("symbol", "dt").agg(
         F.count("*").alias("trades"), F.sum("qty").alias("volume"), F.round(F.sum("amt"), 2).alias("turnover"), F.min("rate").alias("low"), F.max("rate").alias("high"), F.median("qty").alias("median_qty"), F.max("qty").alias("max_qty"),
-        F.count_distinct("buyer").alias("buyers"), F.count_distinct("seller").alias("sellers"), micro(F.round(F.sum("amt"), 2) / F.sum("qty")).alias("vwap"), F.round(F.stddev_pop("rate") / F.avg("rate"), 6).alias("cv"),
+        F.size(F.collect_set("buyer")).cast("long").alias("buyers"), F.size(F.collect_set("seller")).cast("long").alias("sellers"), micro(F.round(F.sum("amt"), 2) / F.sum("qty")).alias("vwap"), F.round(F.stddev_pop("rate") / F.avg("rate"), 6).alias("cv"),
         F.round(100 * (F.max("rate") - F.min("rate")) / F.min("rate"), 6).alias("range_pct"), micro(F.sum("qty") / F.count("*")).alias("mean_qty"), F.max_by("rate", F.struct("qty", "ok", "ln", "pk", "sk")).alias("rate_of_largest"),
     )
 
@@ -97,10 +97,10 @@ def session_profile(spark, sf_dir):
   list_sort(list(qty))[round_even(0.9 * (count(*) - 1), 0)::INT + 1] AS nearest_rank_90, list_sort(list(qty))[count(*) // 2 + 1] AS upper_median FROM tape GROUP BY symbol""")
 def size_thresholds(spark, sf_dir):
     p = lambda c, q: F.percentile(c, F.lit(q))
-    return tape(spark, sf_dir).groupBy("symbol").agg(
+    t = tape(spark, sf_dir)
+    return t.groupBy("symbol").agg(
         p("qty", 0.9).alias("large_qty"), p("qty", 0.25).alias("small_qty"), F.median("qty").alias("median_qty"), F.round(p("amt", 0.9), 4).alias("large_amt"), F.round(p("amt", 0.25), 4).alias("small_amt"),
-        op.nearest_rank(F.col("qty"), 0.9).alias("nearest_rank_90"), op.upper_median(F.col("qty")).alias("upper_median"),
-    )
+    ).join(op.ranked_values(t, "symbol", "qty"), "symbol")
 
 
 @query("large_trades", f"""WITH {TAPE_SQL}, k AS (SELECT symbol, quantile_cont(qty, 0.9) AS cut FROM tape GROUP BY symbol) SELECT symbol, any_value(cut) AS cut, count(*) FILTER (qty >= cut) AS n, sum(qty) FILTER (qty >= cut)::BIGINT AS qty, round(sum(qty) FILTER (qty >= cut) / sum(qty), 6) AS share,
