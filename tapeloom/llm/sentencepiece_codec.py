@@ -254,8 +254,8 @@ def encode_words(words: list[str], pieces: Pieces) -> list[np.ndarray]:
                 found = piece[starts[k] : starts[k + 1]]
                 if k in unknown:
                     word, ends_k = words[i], end[starts[k] : starts[k + 1]]
-                    found = np.concatenate([pieces.byte_ids[list(word[e - 1].encode("utf-8", "replace"))] if p < 0 else [p] for p, e in zip(found, ends_k, strict=True)])
-                out[i] = found.astype(np.int32)
+                    found = np.concatenate([pieces.byte_ids[list(word[e - 1].encode("utf-8", "replace"))] if p < 0 else [p] for p, e in zip(found, ends_k, strict=True)]).astype(np.int32)
+                out[i] = found
     return out
 
 
