@@ -127,13 +127,15 @@ def sequence(trades: DataFrame, order: list[str]) -> DataFrame:
     t = t.join(d.select(*day, "before", "n", "runs_b", "runs_s", "was_b", "was_s", "was_r"), day)
     t = t.withColumns({f"p{x}": F.when(first, F.col(f"was_{x}")).otherwise(F.col(f"p{x}")) for x in side})
     t = t.withColumns({f"run_{x}": F.col(f"runs_{x}") + F.sum(F.coalesce((F.col(side[x]) != F.col(f"p{x}")).cast("int"), F.lit(1))).over(w) for x in "bs"})
-    run = lambda g, name: t.groupBy("symbol", g).count().groupBy("symbol").agg(F.max("count").alias(name))
+    each = F.inline(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"run_{x}").alias("run")) for x in "bs")))
+    longest = lambda x, name: F.max(F.when(F.col("side") == x, F.col("count"))).alias(name)
+    lengths = t.select("symbol", each).groupBy("symbol", "side", "run").count().groupBy("symbol").agg(longest("b", "longest_buyer_run"), longest("s", "longest_seller_run"))
     half = (F.col("before") + F.col("k")) * 2 <= F.col("n")
     s = t.groupBy("symbol").agg(
         F.count("*").alias("n"), F.count_if(F.col("buyer") == F.col("pb")).alias("buyer_repeats"), F.count_if(F.col("seller") == F.col("ps")).alias("seller_repeats"), F.count_if(F.col("rate") > F.col("pr")).alias("up"), F.count_if(F.col("rate") < F.col("pr")).alias("down"), F.count_if(F.col("rate") == F.col("pr")).alias("flat"),
         F.round(F.avg(F.when(half, F.col("qty"))), 6).alias("early_qty"), F.round(F.avg(F.when(~half, F.col("qty"))), 6).alias("late_qty"),
     )
-    return s.join(run("run_b", "longest_buyer_run"), "symbol").join(run("run_s", "longest_seller_run"), "symbol")
+    return s.join(lengths, "symbol")
 
 
 def affinity(flow: DataFrame) -> DataFrame:
