@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, what DuckDB should return."""
 
-from . import chat_format, exact_dedup, language_id, lm_score, mixing, quality_rules, sentencepiece_codec, simhash_dedup, suffix_dedup, warc
+from . import chat_format, exact_dedup, fill_middle, importance, language_id, lm_score, mixing, quality_rules, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     "op10_mixing": mixing.op10_mixing,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_importance": importance.op13_importance,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
+    "op13_importance": importance.ORACLE,
 }
