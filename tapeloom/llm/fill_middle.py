@@ -84,10 +84,10 @@ def cut_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
                     break
                 end += len(near)
             end = min(end, int(size))
-            found.append(pa.array([data[at:end].to_pybytes()], pa.binary()).cast(pa.large_string()))
+            found.append(pa.array([data[at:end].to_pybytes()], pa.binary()).cast(pa.string()))
             rows.append(row)
             at = end
-    return pa.chunked_array([x.cast(pa.large_string()) for x in found]).combine_chunks(), np.array(rows)
+    return pa.chunked_array([x.cast(pa.string()) for x in found]).combine_chunks(), np.array(rows)
 
 
 def groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -119,7 +119,7 @@ def transform(con: duckdb.DuckDBPyConnection, ids: pa.Array, texts: pa.Array, se
     a, b = np.clip(first[row] - before, 0, m), np.clip(second[row] - before, 0, m)
     cut = pa.concat_tables([asked(con, CUT, cuts=pa.table({"text": pieces.slice(s, z - s), "a": a[s:z], "b": b[s:z]})) for s, z in parts])
     if len(row) > len(texts):  # the pieces of long texts
-        lists = lambda c: pa.LargeListArray.from_arrays(pa.array([*starts, len(row)], pa.int64()), cut[c].combine_chunks().cast(pa.large_string()))
+        lists = lambda c: pa.ListArray.from_arrays(pa.array([*starts, len(row)], pa.int32()), cut[c].combine_chunks().cast(pa.string()))
         cut = pa.table({c: pc.binary_join(lists(c), "") for c in cut.column_names})
     whole = cut.append_column("text", texts).append_column("form", form)
     done = asked(con, JOIN, parts=whole)
