@@ -42,7 +42,7 @@ SELECT CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || prefix ||
 RESTORE = f"""
 WITH s AS (SELECT fim_text, form, strpos(fim_text, CASE form WHEN 'psm' THEN '{SUFFIX}' ELSE '{PREFIX}' END) AS k, strpos(fim_text, '{MIDDLE}') AS m FROM formatted),
 p AS (SELECT *, substr(fim_text, 4, k - 4) AS one, substr(fim_text, k + 3, m - k - 3) AS two, substr(fim_text, m + 3) AS middle FROM s)
-SELECT CASE form WHEN 'plain' THEN fim_text WHEN 'psm' THEN one || middle || two ELSE two || middle || one END AS text FROM p"""
+SELECT CASE form WHEN 'plain' THEN fim_text WHEN 'psm' THEN one || middle || two WHEN 'spm' THEN two || middle || one END AS text FROM p"""
 
 
 def database() -> duckdb.DuckDBPyConnection:
