@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 #: Labelled rows of each class that are learned from, those with the smallest digests of doc_id: the bounded sample.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 #: Bytes of a dictionary, windows that one is trained on at most, and how often a frequent one is repeated among them.
 DICT_BYTES, DICT_WINDOWS, REPEAT = 16_384, 60_000, 8
 #: Runs of bytes whose document counts tell toxic windows from ordinary ones: lengths, buckets, least lift, least G statistic.
@@ -36,7 +36,7 @@ LENGTHS, LIFT = 32, 3.0
 #: From this score a text is predicted as toxic (fixed value of the contract).
 CUT = 0.3
 #: Windows that a task remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 
 
 def _letters() -> bytes:
@@ -66,16 +66,23 @@ def windows(text: str | None) -> set[bytes]:
     return found
 
 
-def gram_buckets(window: bytes) -> np.ndarray:
-    b = np.frombuffer(window, np.uint8).astype(np.uint64)
-    found = []
+def grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed runs of bytes of some windows, and the window of each; no run goes over a window's end."""
+    b = np.frombuffer(b"".join(found), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    owner = np.repeat(np.arange(len(found)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(b)) if len(b) else owner
+    buckets, owners = [], []
     for n in GRAMS:
-        if len(b) >= n:
-            h = np.zeros(len(b) - n + 1, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(1_099_511_628_211) + b[i : len(b) - n + 1 + i] + np.uint64(n)
-            found.append((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 22))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        if len(b) < n:
+            continue
+        h = np.zeros(len(b) - n + 1, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(1_099_511_628_211) + b[i : len(b) - n + 1 + i] + np.uint64(n)
+        inside = left[: len(h)] >= n
+        buckets.append(((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42))[inside].astype(np.int64))
+        owners.append(owner[: len(h)][inside])
+    return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def remainder(n: int) -> Column:
@@ -101,18 +108,9 @@ def telling_grams(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((4, GRAM_BUCKETS), np.int32)
-        grams: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for y, fold, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold", "text")), strict=True):
-                if len(grams) > REMEMBERED:
-                    grams.clear()
-                found = []
-                for w in windows(text):
-                    if w not in grams:
-                        grams[w] = gram_buckets(w)
-                    found.append(grams[w])
-                if found:
-                    counts[2 * y + fold, np.unique(np.concatenate(found).astype(np.int64))] += 1
+                counts[2 * y + fold, np.unique(grams(list(windows(text)))[0])] += 1
         for side in range(4):
             at = np.nonzero(counts[side])[0]
             for a in range(0, len(at), 1 << 16):
@@ -141,17 +139,14 @@ def dictionary_windows(rows: DataFrame, marks_of: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(marks_of)  # GRAM_BUCKETS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             out: list[tuple[int, int, bytes]] = []
             for y, fold, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold", "text")), strict=True):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w in windows(text):
-                    if w not in known:
-                        known[w] = int(np.bitwise_or.reduce(shared.value[gram_buckets(w)], initial=0))
-                    if (known[w] >> fold & 1) == y:
-                        out.append((fold, y, w))
+                found = list(windows(text))
+                bucket, owner = grams(found)
+                telling = np.zeros(len(found), bool)
+                telling[owner[shared.value[bucket] >> fold & 1 > 0]] = True
+                out += [(fold, y, found[i]) for i in np.nonzero(telling == bool(y))[0]]
                 if len(out) > 1 << 17:
                     yield batched(out)
                     out = []
@@ -189,24 +184,16 @@ class Pair:
             known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(19, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, source_size=128, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             known.precompute_compress(compression_params=how)
-            compressor, anchor = zstandard.ZstdCompressor(dict_data=known, compression_params=how), data[-ANCHOR:]
-            self.sides.append((compressor, anchor, len(compressor.compress(anchor))))
-        self.known: dict[bytes, int] = {}
+            compressor, end = zstandard.ZstdCompressor(dict_data=known, compression_params=how), data[-ANCHOR:]
+            self.sides.append((compressor.compress, end, len(compressor.compress(end))))
+
+    def cost(self, side: int, window: bytes) -> int:
+        compress, end, own = self.sides[side]
+        return min(max(len(compress(window + end)) - own, 0), LENGTHS - 1)
 
     def cell(self, window: bytes) -> int:
         """LENGTHS * ordinary + toxic length."""
-        if window not in self.known:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            a, b = (min(max(len(c.compress(window + end)) - own, 0), LENGTHS - 1) for c, end, own in self.sides)
-            self.known[window] = a * LENGTHS + b
-        return self.known[window]
-
-    def cells_of(self, found: set[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.cell, found), np.int64)
-
-    def cells(self, text: str | None) -> np.ndarray:
-        return self.cells_of(windows(text))
+        return self.cost(0, window) * LENGTHS + self.cost(1, window)
 
 
 @dataclass(frozen=True)
@@ -223,10 +210,15 @@ def calibrated(rows: DataFrame, dictionaries: dict[tuple[int, int], bytes]) -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [Pair(shared.value[m, 0], shared.value[m, 1]) for m in (0, 1)]
-        counts = np.zeros((4, cells), np.int64)
+        counts, known = np.zeros((4, cells), np.int64), {}
         for batch in batches:
             for y, fold, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "fold", "text")), strict=True):
-                counts[2 * (1 - fold) + y] += np.bincount(pairs[1 - fold].cells(text), minlength=cells)
+                for w in windows(text):
+                    if (fold, w) not in known:
+                        known[fold, w] = pairs[1 - fold].cell(w)
+                    counts[2 * (1 - fold) + y, known[fold, w]] += 1
+                if len(known) > REMEMBERED:
+                    known.clear()
         side, at = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"side": pa.array(side.astype(np.int32)), "cell": pa.array(at.astype(np.int32)), "n": pa.array(counts[side, at])})
 
@@ -258,9 +250,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     return Model(dictionaries, calibrated(found, dictionaries), math.log(toxic / ordinary))
 
 
-def of_text(model: Model, pairs: list[Pair], text: str | None) -> float:
-    found = windows(text)
-    return sum(model.evidence[f][p.cells_of(found)].sum() for f, p in enumerate(pairs)) / len(pairs)
+class Judge:
+    """A text's evidence: the sum over its windows of the mean of both pairs. Remembers windows.
+
+    The ordinary length is asked for only where the toxic one leaves it open whether the window counts.
+    """
+
+    def __init__(self, model: Model):
+        self.pairs = [Pair(model.dictionaries[f, 0], model.dictionaries[f, 1]) for f in (0, 1)]
+        self.evidence = model.evidence.reshape(2, LENGTHS, LENGTHS)
+        self.fixed = [[e[0, b] if (e[:, b] == e[0, b]).all() else None for b in range(LENGTHS)] for e in self.evidence]
+        self.known: dict[bytes, float] = {}
+
+    def window(self, w: bytes) -> float:
+        total = 0.0
+        for pair, table, fixed in zip(self.pairs, self.evidence, self.fixed, strict=True):
+            b = pair.cost(1, w)
+            total += table[pair.cost(0, w), b] if fixed[b] is None else fixed[b]
+        return float(total) / len(self.pairs)
+
+    def text(self, text: str | None) -> float:
+        found, known = windows(text), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in found.difference(known):
+            known[w] = self.window(w)
+        return math.fsum(map(known.__getitem__, found))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -274,11 +289,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        pairs = [Pair(m.dictionaries[f, 0], m.dictionaries[f, 1]) for f in (0, 1)] if m else []
+        judge = Judge(m) if m else None
         for batch in batches:
             chance = np.zeros(batch.num_rows)
             if m:
-                odds = np.array([m.prior + of_text(m, pairs, t.as_py()) for t in batch.column("text")])
+                odds = np.array([m.prior + judge.text(t.as_py()) for t in batch.column("text")])
                 chance = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance), pa.array((chance >= CUT).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
