@@ -24,20 +24,21 @@ def crude_days(a: Column, b: Column) -> Column:
 
 
 def ex_dates(bars: DataFrame) -> DataFrame:
-    """Bars whose open and close both gap down by 10.5 % or more, with the price factor: a bonus or a split."""
+    """Bars whose open and close both gap down by 10.5 % or more, with the price factor from close to close: a bonus or a split."""
     prev, prev_dt = F.lag("c").over(by_symbol()), F.lag("dt").over(by_symbol())
-    marked = bars.withColumns({"prev": prev, "prev_dt": prev_dt}).withColumn("factor", ratio(F.col("o"), F.col("prev")))
-    return marked.filter((F.col("o") / F.col("prev") - 1 <= GAP) & (F.col("c") / F.col("prev") - 1 <= GAP) & (F.col("factor") >= LEAST_FACTOR) & (crude_days(F.col("prev_dt"), F.col("dt")) <= MAX_DAYS)).select("symbol", "dt", "factor")
+    marked = bars.withColumns({"prev": prev, "prev_dt": prev_dt}).withColumn("factor", ratio(F.col("c"), F.col("prev")))
+    return marked.filter((F.col("prev") > 0) & (F.col("o") / F.col("prev") - 1 <= GAP) & (F.col("c") / F.col("prev") - 1 <= GAP) & (F.col("factor") >= LEAST_FACTOR) & (crude_days(F.col("prev_dt"), F.col("dt")) <= MAX_DAYS)).select("symbol", "dt", "factor")
 
 
 def adjusted(bars: DataFrame) -> DataFrame:
     """Prices of every bar times the factors of all later ex-dates; volume stays.
 
-    Logarithms of the factors add up over the following rows, so it is one window.
+    Logarithms of the factors add up over the following rows, in one window from the newest bar back. They are rounded to 9 places,
+    so that bars between the same ex-dates have the very same factor.
     """
     marked = bars.join(ex_dates(bars), ["symbol", "dt"], "left")
-    later = by_symbol().rowsBetween(1, Window.unboundedFollowing)
-    f = F.exp(F.coalesce(F.sum(F.ln("factor")).over(later), F.lit(0.0)))
+    later = Window.partitionBy("symbol").orderBy(F.desc("dt")).rowsBetween(Window.unboundedPreceding, -1)
+    f = F.exp(F.round(F.coalesce(F.sum(F.ln("factor")).over(later), F.lit(0.0)), 9))
     return marked.withColumn("adj", f).select("symbol", "dt", *((F.col(c) * F.col("adj")).alias(c) for c in "ohlc"), "v", "amount", "adj")
 
 

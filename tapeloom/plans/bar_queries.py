@@ -10,8 +10,12 @@ from .registry import query
 ROUND = "micro(o) AS o, micro(h) AS h, micro(l) AS l, micro(c) AS c"
 EX_SQL = f"""{BARS_SQL},
 lagged AS (SELECT *, lag(c) OVER w AS prev, lag(dt) OVER w AS prev_dt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
-ex AS (SELECT symbol, dt, o / prev AS factor FROM lagged WHERE o / prev - 1 <= -0.105 AND c / prev - 1 <= -0.105 AND o / prev >= 0.2
+ex AS (SELECT symbol, dt, c / prev AS factor FROM lagged WHERE prev > 0 AND o / prev - 1 <= -0.105 AND c / prev - 1 <= -0.105 AND c / prev >= 0.2
        AND 365 * (year(dt) - year(prev_dt)) + 30 * (month(dt) - month(prev_dt)) + day(dt) - day(prev_dt) <= 60)"""
+FACTOR_SQL = "exp(round(coalesce(sum(ln(factor)) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 9))"
+#: Adjusted bars under the name of the plain ones, for what reads prices over time.
+ADJUSTED_SQL = f"""{EX_SQL.replace("bars AS (", "raw AS (").replace("FROM bars ", "FROM raw ")},
+bars AS MATERIALIZED (SELECT symbol, dt, o * adj AS o, h * adj AS h, l * adj AS l, c * adj AS c, v, amount FROM (SELECT raw.*, {FACTOR_SQL} AS adj FROM raw LEFT JOIN ex USING (symbol, dt)))"""
 MINUTE_SQL = f"""{TICKS_SQL},
 minutes AS (SELECT instrument, date_trunc('minute', ts) AS minute, min_by(price, seq) AS o, max(price) AS h, min(price) AS l, max_by(price, seq) AS c, count(*) AS n, round(sum(price), 4) AS amount FROM ticks GROUP BY ALL)"""
 
@@ -24,6 +28,10 @@ def day_bars(spark, sf_dir):
     return bars(tape(spark, sf_dir))
 
 
+def adjusted_day_bars(spark, sf_dir):
+    return op.adjusted(day_bars(spark, sf_dir)).drop("adj")
+
+
 @query("bars_daily", f"WITH {BARS_SQL} SELECT symbol, dt, {ROUND}, v, round(amount, 2) AS amount FROM bars")
 def bars_daily(spark, sf_dir):
     return rounded(day_bars(spark, sf_dir)).withColumn("amount", F.round("amount", 2))
@@ -49,7 +57,7 @@ def ex_dates(spark, sf_dir):
     return rounded(op.ex_dates(day_bars(spark, sf_dir)), "factor")
 
 
-@query("adjusted_bars", f"""WITH {EX_SQL}, a AS (SELECT bars.*, exp(coalesce(sum(ln(factor)) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS adj FROM bars LEFT JOIN ex USING (symbol, dt))
+@query("adjusted_bars", f"""WITH {EX_SQL}, a AS (SELECT bars.*, {FACTOR_SQL} AS adj FROM bars LEFT JOIN ex USING (symbol, dt))
 SELECT symbol, dt, micro(o * adj) AS o, micro(h * adj) AS h, micro(l * adj) AS l, micro(c * adj) AS c, v FROM a""")
 def adjusted_bars(spark, sf_dir):
     return rounded(op.adjusted(day_bars(spark, sf_dir))).drop("amount", "adj")

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import micro
 from ..operators import indicators as op
 from ..operators.series import by_symbol
-from ..sources.tape import BARS_SQL
-from .bar_queries import day_bars
+from .bar_queries import ADJUSTED_SQL, adjusted_day_bars
 from .registry import query
 
 W = "PARTITION BY symbol ORDER BY dt"
@@ -16,22 +15,22 @@ def m(column, name):
     return micro(column).alias(name)
 
 
-@query("sma", f"""WITH {BARS_SQL} SELECT symbol, dt, {', '.join(f'micro(CASE WHEN count(*) OVER w{n} = {n} THEN avg(c) OVER w{n} END) AS sma{n}' for n in (5, 20, 50))}
+@query("sma", f"""WITH {ADJUSTED_SQL} SELECT symbol, dt, {', '.join(f'micro(CASE WHEN count(*) OVER w{n} = {n} THEN avg(c) OVER w{n} END) AS sma{n}' for n in (5, 20, 50))}
 FROM bars WINDOW {', '.join(f'w{n} AS ({W} ROWS {n - 1} PRECEDING)' for n in (5, 20, 50))}""")
 def sma(spark, sf_dir):
-    return day_bars(spark, sf_dir).select("symbol", "dt", *(m(op.sma(n), f"sma{n}") for n in (5, 20, 50)))
+    return adjusted_day_bars(spark, sf_dir).select("symbol", "dt", *(m(op.sma(n), f"sma{n}") for n in (5, 20, 50)))
 
 
-@query("bollinger", f"""WITH {BARS_SQL}, b AS (SELECT symbol, dt, CASE WHEN count(*) OVER w = 20 THEN avg(c) OVER w END AS mid, stddev_pop(c) OVER w AS sd FROM bars WINDOW w AS ({W} ROWS 19 PRECEDING))
+@query("bollinger", f"""WITH {ADJUSTED_SQL}, b AS (SELECT symbol, dt, CASE WHEN count(*) OVER w = 20 THEN avg(c) OVER w END AS mid, stddev_pop(c) OVER w AS sd FROM bars WINDOW w AS ({W} ROWS 19 PRECEDING))
 SELECT symbol, dt, round(mid, 4) AS mid, round(mid + 2 * sd, 4) AS upper, round(mid - 2 * sd, 4) AS lower FROM b""")
 def bollinger(spark, sf_dir):
-    return day_bars(spark, sf_dir).select("symbol", "dt", *(F.round(x, 4).alias(n) for x, n in zip(op.bollinger(20, 2.0), ("mid", "upper", "lower"), strict=True)))
+    return adjusted_day_bars(spark, sf_dir).select("symbol", "dt", *(F.round(x, 4).alias(n) for x, n in zip(op.bollinger(20, 2.0), ("mid", "upper", "lower"), strict=True)))
 
 
-@query("alma", f"""WITH {BARS_SQL}, l AS (SELECT symbol, dt, list(c) OVER (PARTITION BY symbol ORDER BY dt ROWS 20 PRECEDING) AS cs FROM bars)
+@query("alma", f"""WITH {ADJUSTED_SQL}, l AS (SELECT symbol, dt, list(c) OVER (PARTITION BY symbol ORDER BY dt ROWS 20 PRECEDING) AS cs FROM bars)
 SELECT symbol, dt, CASE WHEN len(cs) = 21 THEN round(list_dot_product(cs, [{', '.join(map(repr, op.alma_weights(21)))}]), 4) END AS alma21 FROM l""")
 def alma(spark, sf_dir):
-    return day_bars(spark, sf_dir).select("symbol", "dt", F.round(op.alma(21), 4).alias("alma21"))
+    return adjusted_day_bars(spark, sf_dir).select("symbol", "dt", F.round(op.alma(21), 4).alias("alma21"))
 
 
 def pivots_sql(left, right):
@@ -41,12 +40,12 @@ piv AS (SELECT * EXCLUDE (hs, ls), CASE WHEN len(hs) = {n} AND h = list_max(hs)
         CASE WHEN len(ls) = {n} AND l = list_min(ls) AND len(list_filter(ls, lambda x: x = l)) = 1 THEN l END AS pl FROM lists)"""
 
 
-@query("pivots", f"WITH {BARS_SQL}, {pivots_sql(5, 5)} SELECT symbol, dt, micro(ph) AS ph, micro(pl) AS pl FROM piv")
+@query("pivots", f"WITH {ADJUSTED_SQL}, {pivots_sql(5, 5)} SELECT symbol, dt, micro(ph) AS ph, micro(pl) AS pl FROM piv")
 def pivots(spark, sf_dir):
-    return op.pivots(day_bars(spark, sf_dir), 5, 5).select("symbol", "dt", m(F.col("ph"), "ph"), m(F.col("pl"), "pl"))
+    return op.pivots(adjusted_day_bars(spark, sf_dir), 5, 5).select("symbol", "dt", m(F.col("ph"), "ph"), m(F.col("pl"), "pl"))
 
 
-@query("structure_events", f"""WITH {BARS_SQL}, {pivots_sql(5, 5)},
+@query("structure_events", f"""WITH {ADJUSTED_SQL}, {pivots_sql(5, 5)},
 k AS (SELECT *, lag(c) OVER w AS prev, count(ph) OVER w AS kh, count(pl) OVER w AS kl, last_value(ph IGNORE NULLS) OVER w AS lph, last_value(pl IGNORE NULLS) OVER w AS lpl FROM piv WINDOW w AS ({W})),
 u0 AS (SELECT *, coalesce(c > lph AND lph >= prev, false) AS cu FROM k),
 u AS (SELECT *, cu AND sum(cu::INT) OVER (PARTITION BY symbol, kh ORDER BY dt) = 1 AS up FROM u0),
@@ -55,7 +54,7 @@ d AS (SELECT *, cd AND sum(cd::INT) OVER (PARTITION BY symbol, kl ORDER BY dt) =
 e AS (SELECT symbol, dt, CASE WHEN up THEN lph ELSE lpl END AS level, CASE WHEN up THEN 'up' ELSE 'down' END AS direction FROM d WHERE up OR down)
 SELECT symbol, dt, micro(level) AS level, direction, CASE WHEN coalesce(lag(direction) OVER ({W}) <> direction, false) THEN 'CHoCH' ELSE 'BOS' END AS event FROM e""")
 def structure_events(spark, sf_dir):
-    e = op.structure_events(day_bars(spark, sf_dir), 5, 5)
+    e = op.structure_events(adjusted_day_bars(spark, sf_dir), 5, 5)
     return e.withColumn("level", micro(F.col("level")))
 
 
@@ -73,12 +72,12 @@ def wilder_sql(name, source, n):
     return smooth_sql(name, source, n, f"r.e + (s.x - r.e) * (1.0::DOUBLE / {n})")
 
 
-NUMBERED = f"{BARS_SQL}, num AS MATERIALIZED (SELECT symbol, dt, h, l, c, row_number() OVER w AS i, lag(c) OVER w AS pc, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM bars WINDOW w AS ({W}))"
+NUMBERED = f"{ADJUSTED_SQL}, num AS MATERIALIZED (SELECT symbol, dt, h, l, c, row_number() OVER w AS i, lag(c) OVER w AS pc, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM bars WINDOW w AS ({W}))"
 CLOSES = f"{NUMBERED}, x AS MATERIALIZED (SELECT symbol, i, c AS x FROM num)"
 
 
 def recursive(spark, sf_dir):
-    return op.recursive(day_bars(spark, sf_dir))
+    return op.recursive(adjusted_day_bars(spark, sf_dir))
 
 
 @query("ema", f"""WITH RECURSIVE {CLOSES}, {ema_sql('e20', 'x', 20)}, {ema_sql('e50', 'x', 50)}
@@ -126,20 +125,20 @@ def trade_levels(spark, sf_dir):
     return b.select("symbol", "dt", "side", levels.alias("x")).select("symbol", "dt", "side", *(micro(F.col(f"x.{k}")).alias(k) for k in ("stop", "t1", "t2", "risk_pct")))
 
 
-@query("accumulation_line", f"""WITH {BARS_SQL}, a AS (SELECT *, sum(CASE WHEN h > l THEN ((c - l) - (h - c)) / (h - l) ELSE 0 END * v) OVER w AS ad, row_number() OVER w AS i, lag(c) OVER w AS pc FROM bars WINDOW w AS ({W}))
+@query("accumulation_line", f"""WITH {ADJUSTED_SQL}, a AS (SELECT *, sum(CASE WHEN h > l THEN ((c - l) - (h - c)) / (h - l) ELSE 0 END * v) OVER w AS ad, row_number() OVER w AS i, lag(c) OVER w AS pc FROM bars WINDOW w AS ({W}))
 SELECT symbol, dt, round(ad, 4) AS ad, CASE WHEN count(*) OVER t = 20 THEN round(coalesce(regr_slope(ad, i) OVER t / nullif(avg(abs(ad)) OVER t, 0), 0), 6) END AS ad_slope,
   CASE WHEN count(*) OVER t = 20 THEN micro(sum(CASE WHEN c > pc THEN v ELSE 0 END) OVER t / nullif(sum(CASE WHEN c < pc THEN v ELSE 0 END) OVER t, 0)) END AS up_down FROM a WINDOW t AS ({W} ROWS 19 PRECEDING)""")
 def accumulation_line(spark, sf_dir):
-    return op.accumulation_line(day_bars(spark, sf_dir)).select("symbol", "dt", F.round("ad", 4).alias("ad"), F.round("ad_slope", 6).alias("ad_slope"), m(F.col("up_down"), "up_down"))
+    return op.accumulation_line(adjusted_day_bars(spark, sf_dir)).select("symbol", "dt", F.round("ad", 4).alias("ad"), F.round("ad_slope", 6).alias("ad_slope"), m(F.col("up_down"), "up_down"))
 
 
-@query("crossovers", f"""WITH {BARS_SQL}, s AS (SELECT symbol, dt, CASE WHEN count(*) OVER a = 20 THEN avg(c) OVER a END AS f, CASE WHEN count(*) OVER b = 50 THEN avg(c) OVER b END AS s FROM bars WINDOW a AS ({W} ROWS 19 PRECEDING), b AS ({W} ROWS 49 PRECEDING)),
+@query("crossovers", f"""WITH {ADJUSTED_SQL}, s AS (SELECT symbol, dt, CASE WHEN count(*) OVER a = 20 THEN avg(c) OVER a END AS f, CASE WHEN count(*) OVER b = 50 THEN avg(c) OVER b END AS s FROM bars WINDOW a AS ({W} ROWS 19 PRECEDING), b AS ({W} ROWS 49 PRECEDING)),
 x AS (SELECT symbol, dt, f > s AS above, lag(f > s) OVER ({W}) AS was FROM s) SELECT symbol, dt, CASE WHEN above THEN 'up' ELSE 'down' END AS "cross" FROM x WHERE above <> was""")
 def crossovers(spark, sf_dir):
-    return op.crossovers(day_bars(spark, sf_dir), 20, 50)
+    return op.crossovers(adjusted_day_bars(spark, sf_dir), 20, 50)
 
 
-@query("breakouts", f"""WITH {BARS_SQL}, b AS (SELECT symbol, dt, c, v, max(h) OVER p AS top, min(l) OVER p AS bottom, avg(v) OVER p AS mean_v, count(*) OVER p AS n, lead(c) OVER ({W}) AS nxt FROM bars WINDOW p AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+@query("breakouts", f"""WITH {ADJUSTED_SQL}, b AS (SELECT symbol, dt, c, v, max(h) OVER p AS top, min(l) OVER p AS bottom, avg(v) OVER p AS mean_v, count(*) OVER p AS n, lead(c) OVER ({W}) AS nxt FROM bars WINDOW p AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
 SELECT symbol, dt, CASE WHEN c > top THEN 'up' ELSE 'down' END AS side, v >= 1.5 * mean_v AS surge, CASE WHEN c > top THEN nxt < top ELSE nxt > bottom END AS failed FROM b WHERE n = 20 AND (c > top OR c < bottom)""")
 def breakouts(spark, sf_dir):
-    return op.breakouts(day_bars(spark, sf_dir))
+    return op.breakouts(adjusted_day_bars(spark, sf_dir))

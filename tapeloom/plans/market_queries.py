@@ -6,6 +6,7 @@ from ..functions.nulls import micro
 from ..operators import market as op
 from ..operators.study import labelled
 from ..sources.tape import BARS_SQL, FLOW_SQL, TAPE_SQL, bars, broker_flow, tape
+from .bar_queries import ADJUSTED_SQL, adjusted_day_bars
 from .regime_queries import SERIES_SQL, series
 from .registry import query
 from .study_queries import LABELLED_SQL
@@ -133,7 +134,7 @@ def market_calendar(spark, sf_dir):
     return op.market_calendar(bars(tape(spark, sf_dir)))
 
 
-OUTCOME_SQL = f"""{BARS_SQL}, num AS MATERIALIZED (SELECT *, row_number() OVER w AS i, lead(o) OVER w AS entry FROM bars WINDOW w AS ({W})),
+OUTCOME_SQL = f"""{ADJUSTED_SQL}, num AS MATERIALIZED (SELECT *, row_number() OVER w AS i, lead(o) OVER w AS entry FROM bars WINDOW w AS ({W})),
 p AS (SELECT a.symbol, a.dt, any_value(a.entry) AS entry, max(b.c) FILTER (b.i = a.i + 20) / any_value(a.entry) - 1 AS ret, max(b.h) / any_value(a.entry) - 1 AS mfe, min(b.l) / any_value(a.entry) - 1 AS mae, min(b.i - a.i) FILTER (b.h >= a.entry * 1.1) AS tt_target, min(b.i - a.i) FILTER (b.l <= a.entry * (1 - 0.07)) AS tt_stop
   FROM num a JOIN num b ON b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + 20 GROUP BY ALL HAVING count(*) = 20),
 oc AS MATERIALIZED (SELECT *, CASE WHEN tt_stop <= coalesce(tt_target, 99) THEN CASE WHEN tt_stop <= 3 THEN 'false signal' WHEN ret > 0 THEN 'signal reversal' ELSE 'failed accumulation' END WHEN tt_target IS NULL THEN 'no resolution' WHEN ret < 0 THEN 'signal reversal' WHEN mfe >= 0.15 THEN 'breakout after accumulation' WHEN tt_target > 10 THEN 'delayed signal' ELSE 'successful accumulation' END AS label FROM p)"""
@@ -141,7 +142,7 @@ oc AS MATERIALIZED (SELECT *, CASE WHEN tt_stop <= coalesce(tt_target, 99) THEN
 
 @query("outcome_labels", f"WITH {OUTCOME_SQL} SELECT symbol, dt, micro(entry) AS entry, micro(ret) AS ret, micro(mfe) AS mfe, micro(mae) AS mae, tt_target, tt_stop, label FROM oc")
 def outcome_labels(spark, sf_dir):
-    return shown(op.outcomes(bars(tape(spark, sf_dir))))
+    return shown(op.outcomes(adjusted_day_bars(spark, sf_dir)))
 
 
 @query("label_drawdown", f"""WITH RECURSIVE {OUTCOME_SQL}, d AS MATERIALIZED (SELECT label, dt, avg(ret) AS r FROM oc GROUP BY ALL),
@@ -149,7 +150,7 @@ chain AS (SELECT label, min(dt) AS dt FROM d GROUP BY label UNION ALL SELECT c.l
 e AS (SELECT label, dt, exp(sum(ln(1 + r)) OVER (PARTITION BY label ORDER BY dt)) AS eq FROM chain JOIN d USING (label, dt)), k AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY label ORDER BY dt)) AS peak FROM e)
 SELECT label, count(*) AS links, micro(ln(max_by(eq, dt))) AS log_equity, micro(least(0, min(eq / peak - 1))) AS drawdown FROM k GROUP BY label""")
 def label_drawdown(spark, sf_dir):
-    return shown(op.block_drawdown(op.outcomes(bars(tape(spark, sf_dir))), "label", "ret").select("label", F.col("links").cast("long").alias("links"), F.ln("equity").alias("log_equity"), "drawdown"))
+    return shown(op.block_drawdown(op.outcomes(adjusted_day_bars(spark, sf_dir)), "label", "ret").select("label", F.col("links").cast("long").alias("links"), F.ln("equity").alias("log_equity"), "drawdown"))
 
 
 FAMILY_SQL = f"{LABELLED_SQL}, fam AS MATERIALIZED (SELECT *, fwd - avg(fwd) OVER (PARTITION BY dt) AS ex FROM lab)"

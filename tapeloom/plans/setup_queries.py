@@ -1,7 +1,7 @@
 """Trade setups, replayed triggers and price zones by the full rules."""
 
 from ..operators import setups as op
-from .bar_queries import day_bars
+from .bar_queries import adjusted_day_bars
 from .indicator_queries import NUMBERED, TR, W, pivots_sql, wilder_sql
 from .registry import query
 from .swing_queries import FRAME_SQL, shown
@@ -27,7 +27,7 @@ o AS (SELECT v.symbol, max(rd.age) FILTER (rd.h >= then_c + (then_c - y)) AS a1,
 SELECT v.symbol, dt, micro(c) AS close, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'Watch' ELSE 'Avoid' END AS grade, sig AS signal, micro(stop) AS stop, micro(c + (c - stop)) AS target1, micro(c + 2 * (c - stop)) AS target2, micro(abs(c - stop) / c * 100) AS risk_pct, days,
   long AND (days <= 2 OR coalesce((c - then_c) / atr14 <= 2.5, false)) AS still_buy, CASE WHEN y IS NOT NULL THEN CASE WHEN as_ IS NOT NULL AND as_ >= coalesce(a1, -1) THEN 'stopped' WHEN a2 IS NOT NULL AND a2 >= coalesce(as_, -1) THEN 't2' WHEN a1 IS NOT NULL THEN 't1' ELSE 'open' END END AS outcome FROM v LEFT JOIN o ON o.symbol = v.symbol""")
 def trade_setup(spark, sf_dir):
-    return shown(op.trade_setup(day_bars(spark, sf_dir)))
+    return shown(op.trade_setup(adjusted_day_bars(spark, sf_dir)))
 
 
 @query("trigger_replay", f"""WITH {READY_SQL}, tr2 AS (SELECT * FROM (SELECT *, lag(bull) OVER ({W}) AS was_bull FROM rd) WHERE bull AND NOT was_bull AND entry > 0 AND atr14 > 0),
@@ -36,7 +36,7 @@ p AS (SELECT q.symbol, q.dt, any_value(q.entry) AS entry, any_value(stop) AS sto
 v AS (SELECT *, least(s, a, b) AS hit, CASE WHEN least(s, a, b) = 61 THEN 'time' WHEN s = least(s, a, b) THEN 'stop' WHEN b = least(s, a, b) THEN 't2' ELSE 't1' END AS verdict FROM p), e AS (SELECT *, CASE verdict WHEN 'stop' THEN stop WHEN 't2' THEN t2 WHEN 't1' THEN t1 ELSE last END AS exit FROM v)
 SELECT symbol, dt, micro(entry) AS entry, micro(exit) AS exit, micro(exit / entry - 1 - 0.008) AS ret, CASE WHEN verdict = 'time' THEN n ELSE hit END AS bars, verdict FROM e""")
 def trigger_replay(spark, sf_dir):
-    return shown(op.trigger_replay(day_bars(spark, sf_dir)))
+    return shown(op.trigger_replay(adjusted_day_bars(spark, sf_dir)))
 
 
 def _fractal(k, a):
@@ -55,11 +55,11 @@ zo AS MATERIALIZED (SELECT z0.*, entry - 3 * (stop - entry) AS target, coalesce(
 
 @query("price_zones", f"WITH {ZONE_SQL} SELECT symbol, kind, i AS bar, micro(lo) AS lo, micro(hi) AS hi, micro(entry) AS entry, micro(stop) AS stop, micro(target) AS target, visits, state FROM zo")
 def price_zones(spark, sf_dir):
-    return shown(op.zones(day_bars(spark, sf_dir)))
+    return shown(op.zones(adjusted_day_bars(spark, sf_dir)))
 
 
 @query("nearest_zone", f"""WITH {ZONE_SQL}, n AS (SELECT symbol, h AS nh, l AS nl, c AS nc, i AS last FROM bz QUALIFY i = max(i) OVER (PARTITION BY symbol)),
 k AS (SELECT zo.*, nh, nl, nc, last, row_number() OVER (PARTITION BY symbol ORDER BY state = 'weak', round(abs(entry - nc), 6), i, kind) AS k FROM zo JOIN n USING (symbol) WHERE state <> 'turncoat' AND target > 0)
 SELECT symbol, kind, state, visits, last - i AS age, micro(entry) AS entry, micro(stop) AS stop, micro(target) AS target, CASE WHEN kind = 'demand' AND nl <= entry THEN 'BUY' WHEN kind = 'supply' AND nh >= entry THEN 'SELL' ELSE 'WATCH' END AS signal, nc BETWEEN lo AND hi AS in_zone, micro(100 * (entry - nc) / nc) AS dist_pct, micro(100 * abs(entry - stop) / entry) AS risk_pct FROM k WHERE k = 1""")
 def nearest_zone(spark, sf_dir):
-    return shown(op.nearest_zone(day_bars(spark, sf_dir)))
+    return shown(op.nearest_zone(adjusted_day_bars(spark, sf_dir)))

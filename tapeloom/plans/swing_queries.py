@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import micro
 from ..operators import swing as op
-from .bar_queries import day_bars
+from .bar_queries import adjusted_day_bars
 from .indicator_queries import CLOSES, TR, W, ema_sql, pivots_sql, wilder_sql
 from .registry import query
 
@@ -21,7 +21,7 @@ now AS (SELECT * FROM f WHERE age = 0), hi AS MATERIALIZED (SELECT symbol, age,
 
 
 def newest(spark, sf_dir):
-    return op.frame(day_bars(spark, sf_dir))
+    return op.frame(adjusted_day_bars(spark, sf_dir))
 
 
 def shown(df):

@@ -110,3 +110,13 @@ def test_marks_look_at_the_last_sessions_only(spark):
     assert [(r.dt, r.i, r.n) for r in m] == [(DAY + timedelta(6 + k), k + 1, 4) for k in range(4)]
     assert [r.large_share for r in m] == [0.0, 0.0, 0.0, 1.0] and m[0].tilt == 0.0 and m[0].hhi == pytest.approx(0.5)
     assert signals.marks(t.filter(F.lit(False))).count() == 0
+
+
+def test_prices_before_an_ex_date_are_scaled_from_close_to_close(spark):
+    from tapeloom.operators import series
+
+    o, c = [100.0, 101.0, 50.0, 60.0, 30.0], [100.0, 100.0, 60.0, 60.0, 58.0]  # the third opens and closes lower; the last is bought back
+    bars = spark.createDataFrame([("A", DAY + timedelta(i), x, max(x, y), min(x, y), y, 10, 1.0) for i, (x, y) in enumerate(zip(o, c, strict=True))], "symbol string, dt date, o double, h double, l double, c double, v long, amount double")
+    assert [(r.dt, r.factor) for r in series.ex_dates(bars).collect()] == [(DAY + timedelta(2), 0.6)]
+    got = series.adjusted(bars).orderBy("dt").collect()
+    assert [round(r.c, 5) for r in got] == [60.0, 60.0, 60.0, 60.0, 58.0] and [round(r.o, 5) for r in got[:3]] == [60.0, 60.6, 50.0] and got[0].v == 10
