@@ -33,12 +33,12 @@ def ex_dates(bars: DataFrame) -> DataFrame:
 def adjusted(bars: DataFrame) -> DataFrame:
     """Prices of every bar times the factors of all later ex-dates; volume stays.
 
-    Logarithms of the factors add up over the following rows, in one window from the newest bar back. They are rounded to 12 places,
-    so that bars between the same ex-dates have the very same factor.
+    Logarithms of the factors add up over the following rows, in one window from the newest bar back. They add up as whole
+    numbers (12 places), so that bars between the same ex-dates have the very same factor.
     """
     marked = bars.join(ex_dates(bars), ["symbol", "dt"], "left")
     later = Window.partitionBy("symbol").orderBy(F.desc("dt")).rowsBetween(Window.unboundedPreceding, -1)
-    f = F.exp(F.round(F.coalesce(F.sum(F.ln("factor")).over(later), F.lit(0.0)), 12))
+    f = F.exp(F.coalesce(F.sum(F.round(F.ln("factor") * F.lit(1e12)).cast("long")).over(later), F.lit(0)) / F.lit(1e12))
     return marked.withColumn("adj", f).select("symbol", "dt", *((F.col(c) * F.col("adj")).alias(c) for c in "ohlc"), "v", "amount", "adj")
 
 

@@ -12,7 +12,7 @@ EX_SQL = f"""{BARS_SQL},
 lagged AS (SELECT *, lag(c) OVER w AS prev, lag(dt) OVER w AS prev_dt FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
 ex AS (SELECT symbol, dt, c / prev AS factor FROM lagged WHERE prev > 0 AND o / prev - 1 <= -0.105 AND c / prev - 1 <= -0.105 AND c / prev >= 0.2
        AND 365 * (year(dt) - year(prev_dt)) + 30 * (month(dt) - month(prev_dt)) + day(dt) - day(prev_dt) <= 60)"""
-FACTOR_SQL = "exp(round(coalesce(sum(ln(factor)) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0), 12))"
+FACTOR_SQL = "exp(coalesce(sum(round(ln(factor) * 1e12)::BIGINT) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::DOUBLE / 1e12)"
 #: Adjusted bars under the name of the plain ones, for what reads prices over time.
 ADJUSTED_SQL = f"""{EX_SQL.replace("bars AS (", "raw AS (").replace("FROM bars ", "FROM raw ")},
 bars AS MATERIALIZED (SELECT symbol, dt, o * adj AS o, h * adj AS h, l * adj AS l, c * adj AS c, v, amount FROM (SELECT raw.*, {FACTOR_SQL} AS adj FROM raw LEFT JOIN ex USING (symbol, dt)))"""
