@@ -26,10 +26,10 @@ from .common import table
 class Layout:
     """Where a record keeps its turns.
 
-    needs: the nested field paths that make it this layout ([] is any element of a list). turns: the list of turns, or None.
-    role, text, turn: fields of an element of that list, or of the record. fixed: (role, fields) pairs of a record without a
-    list; fields that are there and not empty are joined by a blank line, and if none is there's no turn (but for null or
-    empty fields of needs, which make an empty one). system: a field that, if it isn't empty, is a turn before all others.
+    needs: the nested field paths that make it this layout ([] is any element of a list, [=0] an empty list). turns: the list of
+    turns, or None. role, text, turn: fields of an element of that list, or of the record. fixed: (role, fields) pairs of a
+    record without a list; fields that are there and not empty are joined by a blank line; a field that holds a list of messages
+    stands for their turns. system: a field that, if it isn't empty, is a turn before all others.
     """
 
     name: str
@@ -42,16 +42,24 @@ class Layout:
     system: str | None = "system"
 
 
-def answered(name: str, question: str, answer: str, more: tuple[str, ...] = ()) -> Layout:
-    return Layout(name, (question, answer), fixed=(("user", (question, *more)), ("assistant", (answer,))))
+def answered(name: str, question: str, answer: str, more: tuple[str, ...] = (), needs: tuple[str, ...] = ()) -> Layout:
+    return Layout(name, (question, answer, *needs), fixed=(("user", (question, *more)), ("assistant", (answer,))))
 
 
+#: Fields that lists of turns are kept in, and how an element names its role and its text.
+LISTS = ("messages", "conversations", "conversation", "dialogue", "turns")
+STYLES = (("role", "content"), ("from", "value"), ("speaker", "text"), ("role", "text"), ("role", "value"), ("from", "content"), ("from", "text"), ("speaker", "content"))
+#: Usual lists have names of their own; any other list and style is named by both.
+USUAL = {("messages", "role", "content"): "messages", ("conversations", "from", "value"): "from_value", ("dialogue", "speaker", "text"): "dialogue"}
+#: Fields of a message that are text besides its own, as JSON; a message that has one of them may do without a text.
+CALLS = ("tool_calls", "function_call")
+
 #: The first layout all of whose needs are there is taken; fields that no layout names don't matter.
 LAYOUTS = [
     Layout("turn_row", ("role", "text", "turn"), turn="turn", system=None),
-    Layout("messages", ("messages",), "messages", "role", "content"),
-    Layout("from_value", ("conversations",), "conversations", "from", "value"),
-    Layout("dialogue", ("dialogue",), "dialogue", "speaker", "text"),
+    *(Layout(USUAL.get((at, r, t), f"{at}:{r}+{t}"), (f"{at}[].{r}", f"{at}[].{t}"), at, r, t) for at in LISTS for r, t in STYLES),
+    answered("preference", "prompt", "chosen", needs=("rejected",)),
+    Layout("preference_pair", ("chosen[].role", "rejected[].role"), fixed=(("assistant", ("chosen",)),)),
     answered("instruction", "instruction", "output", ("input",)),
     answered("instruction_response", "instruction", "response", ("context", "input")),
     answered("prompt", "prompt", "completion"),
@@ -59,34 +67,45 @@ LAYOUTS = [
     answered("question", "question", "answer", ("context",)),
     answered("input_output", "input", "output"),
     answered("nested_prompt", "data.prompt", "data.response"),
+    *(Layout(at, (f"{at}[=0]",), at) for at in LISTS),
 ]
 #: Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: The paths that tell layouts apart; a fingerprint is made of these alone.
-TELLING = {p for x in LAYOUTS for p in x.needs}
+#: Fingerprints that a task remembers at a time; all are found anew after that.
+REMEMBERED = 4096
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    if isinstance(value, dict):
-        return set().union(*(({p} | field_paths(v, p)) for k, v in value.items() for p in [f"{at}.{k}" if at else k])) if value else set()
-    if isinstance(value, list):
-        return set().union(*({f"{at}[]"} | field_paths(v, f"{at}[]") for v in value)) if value else set()
-    return set()
+def field_paths(value: object) -> frozenset[str]:
+    """All nested field paths of a record. Dots and brackets inside a name are escaped, so they are never taken for nesting."""
+    paths, left = set(), [("", value)]
+    while left:
+        at, v = left.pop()
+        if isinstance(v, dict):
+            named = [(f"{at}.{k}" if at else k, x) for name, x in v.items() for k in [re.sub(r"([\\.\[])", r"\\\1", name)]]
+            paths.update(p for p, _ in named)
+            left += named
+        elif isinstance(v, list):
+            paths.add(f"{at}[]" if v else f"{at}[=0]")
+            left += [(f"{at}[]", x) for x in v]
+    return frozenset(paths)
 
 
-def fingerprint(paths: set[str] | tuple[str, ...]) -> str:
-    return hashlib.sha1("\n".join(sorted(TELLING & set(paths))).encode()).hexdigest()[:16]
+def fingerprint(paths: frozenset[str]) -> str:
+    """The hash of all nested field paths, whatever their order."""
+    return hashlib.sha1("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 class Mappings:
     """Layouts by fingerprint. A fingerprint that is met for the first time is looked up by the needs of all layouts."""
 
     def __init__(self) -> None:
-        self.known: dict[str, Layout | None] = {fingerprint(x.needs): x for x in reversed(LAYOUTS)}
+        self.known: dict[str, Layout | None] = {}
 
-    def find(self, paths: set[str]) -> tuple[str, Layout | None]:
+    def find(self, paths: frozenset[str]) -> tuple[str, Layout | None]:
         mark = fingerprint(paths)
         if mark not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             self.known[mark] = next((x for x in LAYOUTS if paths.issuperset(x.needs)), None)
         return mark, self.known[mark]
 
@@ -104,26 +123,60 @@ def word(x: object) -> str:
     return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def turns_of(record: dict, layout: Layout) -> list[tuple[int | None, str, str]]:
-    """(turn, role, text) of a record; null and missing values are empty. A turn row keeps its role as it is."""
+def said(items: list, role: str, text: str) -> list[tuple[str, str]] | None:
+    """(role, text) of each message, calls after the text; None unless every one has a role, and a text or a call."""
+    if not all(isinstance(x, dict) and role in x and (text in x or any(c in x for c in CALLS)) for x in items):
+        return None
+    named = [(word(x[role]), "\n\n".join(t for f in (text, *CALLS) if (t := word(x.get(f))))) for x in items]
+    return [(ROLES.get(r, r), t) for r, t in named]
+
+
+def messages_in(value: object) -> list[tuple[str, str]] | None:
+    """The turns of a list of messages in any of the styles; None if it isn't one."""
+    if not isinstance(value, list) or not value:
+        return None
+    return next((m for r, t in STYLES if (m := said(value, r, t)) is not None), None)
+
+
+def fixed_turns(record: dict, layout: Layout) -> list[tuple[str, str]]:
+    """A turn for each pair of a layout, or the turns of the messages that a field holds. Messages that begin with the turns
+    before them, as an answer that repeats its prompt does, take their place."""
+    turns: list[tuple[str, str]] = []
+    for role, fields in layout.fixed:
+        part, words = [], []
+        for f in fields:
+            value = pick(record, f)
+            if m := messages_in(value):
+                part += m
+            elif t := word(value):
+                words.append(t)
+        if words or not part:
+            part = [(role, "\n\n".join(words)), *part]
+        turns = part if turns and part[: len(turns)] == turns else turns + part
+    return turns
+
+
+def turns_of(record: dict, layout: Layout) -> list[tuple[int | None, str, str]] | None:
+    """(turn, role, text) of a record; null values are empty. A turn row keeps its role as it is.
+
+    None if an element of its list lacks the fields that the layout names, so that no text is lost under a layout's name.
+    """
     if layout.turns is None and not layout.fixed:
         return [(pick(record, layout.turn), word(pick(record, layout.role)), word(pick(record, layout.text)))]
-    turns = [("system", x)] if layout.system and (x := word(pick(record, layout.system))) else []
-    if layout.fixed:
-        turns += [(role, "\n\n".join(t for f in fields if (t := word(pick(record, f))))) for role, fields in layout.fixed]
-    else:
-        listed = pick(record, layout.turns)
-        named = [(word(pick(x, layout.role)), word(pick(x, layout.text))) for x in (listed if isinstance(listed, list) else [])]
-        turns += [(ROLES.get(r, r), t) for r, t in named]
-    return [(i, r, t) for i, (r, t) in enumerate(turns)]
+    listed = fixed_turns(record, layout) if layout.fixed else said(pick(record, layout.turns), layout.role, layout.text)
+    if listed is None:
+        return None
+    first = [("system", x)] if layout.system and (x := word(pick(record, layout.system))) else []
+    return [(i, r, t) for i, (r, t) in enumerate(first + listed)]
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
     """records (record: JSON, with conv_id or without) -> conv_id, turn, role, text, layout: a row for each turn.
 
-    A record of an unknown layout, or that isn't JSON, gives one row with layout 'unknown:<fingerprint>' and null
-    turn, role and text, so that nothing disappears unseen; a record without a turn gives such a row with its layout. A
-    missing conv_id, or one that isn't a whole number, is null. Repeated records give their turns each; other columns go.
+    A record of an unknown layout, one whose list has an element without the fields of its layout, or one that isn't JSON,
+    gives one row with layout 'unknown:<fingerprint>' and null turn, role and text, so that nothing disappears unseen; an empty
+    list gives such a row with its layout. Of a preference, the chosen answer is a turn and the rejected one isn't. A missing
+    conv_id, or one that isn't a whole number, is null. Repeated records give their turns each; other columns go.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,14 +187,15 @@ def canonical_turns(records: DataFrame) -> DataFrame:
             for raw in batch["record"]:
                 try:
                     record = json.loads(raw)
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     record = None
                 mark, layout = mappings.find(field_paths(record))
                 conv = number(record.get("conv_id")) if isinstance(record, dict) else None
-                if layout is None or not isinstance(record, dict):
+                turns = turns_of(record, layout) if layout else None
+                if turns is None:
                     rows.append((conv, None, None, None, f"unknown:{mark}"))
                 else:
-                    rows += [(conv, number(i), r, t, layout.name) for i, r, t in turns_of(record, layout)] or [(conv, None, None, None, layout.name)]
+                    rows += [(conv, number(i), r, t, layout.name) for i, r, t in turns] or [(conv, None, None, None, layout.name)]
             out = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"])
             yield out.astype({"conv_id": "Int64", "turn": "Int64"})
 

@@ -165,7 +165,7 @@ def test_layouts_take_optional_fields(spark):
     out = chat_format.canonical_turns(spark.createDataFrame([(json.dumps(r),) for r in records], "record string"))
     for r in out.collect():
         turns[r.conv_id].append((r.layout, r.role, r.text))
-    assert turns[1] == turns[8] == [("messages", None, None)] and turns[2] == [("messages", "user", "q")]
+    assert turns[1] == [("messages", None, None)] and turns[8][0][0].startswith("unknown:") and turns[2] == [("messages", "user", "q")]
     assert turns[4] == [("prompt_response", "user", "q"), ("prompt_response", "assistant", "a")]
     assert [x[1:] for x in turns[5]] == [("system", "be kind"), ("user", "i"), ("assistant", "a")]
     assert [x[1:] for x in turns[6]] == [("user", "q\n\nc"), ("assistant", "")]
@@ -173,6 +173,54 @@ def test_layouts_take_optional_fields(spark):
     assert chat_format.format_chats(out).count() == out.count() - 2
 
 
+#: Records of usual fields in unusual places, and the turns that they are; None: unknown, never an empty turn.
+UNUSUAL = [
+    ({"messages": [{"from": "human", "value": "hi"}]}, [("user", "hi")]),
+    ({"conversations": [{"role": "user", "content": "hi"}]}, [("user", "hi")]),
+    ({"conversation": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "ho"}]}, [("user", "hi"), ("assistant", "ho")]),
+    ({"messages": [{"role": "user", "text": "hi"}]}, [("user", "hi")]),
+    ({"dialogue": ["hello"]}, None),
+    ({"messages": "hi"}, None),
+    ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "body": "lost?"}]}, None),
+    ({"messages": [{"role": "user", "content": "hi"}, "bare"]}, None),
+    ({"data.prompt": "q", "data.response": "a"}, None),
+    ({"prompt": "q", "completion": "a", "messages": []}, [("user", "q"), ("assistant", "a")]),
+    ({"prompt": "q", "chosen": "good", "rejected": "bad"}, [("user", "q"), ("assistant", "good")]),
+    ({"prompt": "q", "chosen": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "good"}], "rejected": []}, [("user", "q"), ("assistant", "good")]),
+    ({"chosen": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "good"}], "rejected": [{"role": "user", "content": "q"}]}, [("user", "q"), ("assistant", "good")]),
+    ({"prompt": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}], "completion": [{"role": "assistant", "content": "a"}]}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None, "tool_calls": [{"id": 1}]}]}, [("user", "hi"), ("assistant", '[{"id": 1}]')]),
+    ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "tool_calls": [{"id": 1}]}]}, [("user", "hi"), ("assistant", '[{"id": 1}]')]),
+]
+
+
+def test_no_text_is_lost_under_a_layouts_name(spark):
+    rows = [(json.dumps({"conv_id": i, **r}),) for i, (r, _) in enumerate(UNUSUAL)]
+    out = collections.defaultdict(list)
+    for r in chat_format.canonical_turns(spark.createDataFrame(rows, "record string")).orderBy("conv_id", "turn").collect():
+        out[r.conv_id].append(r)
+    for i, (_, turns) in enumerate(UNUSUAL):
+        if turns is None:
+            assert [(r.layout[:8], r.text) for r in out[i]] == [("unknown:", None)], UNUSUAL[i]
+        else:
+            assert [(r.role, r.text) for r in out[i]] == turns, UNUSUAL[i]
+
+
+def test_fingerprints_are_of_nested_paths():
+    mark = lambda x: chat_format.fingerprint(chat_format.field_paths(x))
+    a, b = {"messages": [{"role": "user", "content": "hi"}]}, {"messages": [{"from": "human", "value": "hi"}]}
+    assert mark(a) != mark(b) and mark(a) == mark({"messages": [{"content": "x", "role": "y"}, {"content": "z", "role": "y"}]})
+    assert mark({"a.b": 1}) != mark({"a": {"b": 1}}) and mark({"a": []}) != mark({"a": [1]})
+    deep = "x"
+    for _ in range(2_000):
+        deep = [deep]
+    assert len(chat_format.field_paths(deep)) == 2_000
+    mappings = chat_format.Mappings()
+    for i in range(chat_format.REMEMBERED + 10):
+        assert mappings.find(chat_format.field_paths({f"k{i}": 1}))[1] is None
+    assert len(mappings.known) <= chat_format.REMEMBERED and mappings.find(chat_format.field_paths(a))[1].name == "messages"
+
+
 def test_digests_of_conversations(spark):
     rows = [(1, 1, "assistant", "é\n"), (1, 0, "user", None), (1, 2, None, "x"), (2, None, "assistant", "<s>"), (2, 5, "assistant", "b"), (None, 0, "user", "n"), (3, 0, "user", ""), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     rows += [(5, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(500)]
@@ -242,7 +290,7 @@ def test_queries_match_duckdb(spark, name):
 
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     wanted = con.sql(queries.ORACLES[name])
     columns = sorted(wanted.columns)
@@ -257,5 +305,5 @@ def test_queries_without_sql_have_a_row_for_each_document(spark, name):
     out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
     if "held_out" in out.columns:
-        n = 3 if name.startswith("op4") else 10
-        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == (1 if n == 3 else 0)) for r in out.select("doc_id", "held_out").collect())
+        n, held = {"op4": (3, 1), "op5": (10, 0), "op11": (4, 2)}[name.split("_")[0]]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == held) for r in out.select("doc_id", "held_out").collect())
