@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import pearson, ratio, ratio0
 from .flow import recent_sessions
+from .panel import ranked_in_past
 from .series import by_symbol, vwap_returns
 
 #: A session's largest believable log move, a gap that is a restatement, the tolerance around the average price.
@@ -59,11 +60,8 @@ def session_liquidity(trades: DataFrame) -> DataFrame:
 
 def executed_liquidity(sessions: DataFrame, lookback: int = 250, least: int = 60) -> DataFrame:
     """Score of 0 to 100 from point-in-time percentiles: the mean of turnover, trades and median size, less half of what dispersion has over 50."""
-    from .stats import point_in_time
-
-    s = sessions
-    for x in ("turnover", "trades", "median_trade", "dispersion"):
-        s = point_in_time(s, x, lookback, least).withColumnRenamed("pct", f"p_{x}").drop("z")
+    numbered = sessions.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("dt")) - 1)
+    s = ranked_in_past(numbered, ["turnover", "trades", "median_trade", "dispersion"], lookback, least).drop("i")
     score = (F.col("p_turnover") + F.col("p_trades") + F.col("p_median_trade")) / 3 - 0.5 * (F.col("p_dispersion") - 50)
     return s.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).withColumn("score", F.when(score.isNotNull(), F.col("score")))
 

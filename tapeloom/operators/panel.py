@@ -73,11 +73,12 @@ def by_block(rows: DataFrame, size: int, made: Callable[[pd.DataFrame], pd.DataF
 
 
 def ranked_in_past(rows: DataFrame, values: list[str], lookback: int = LOOKBACK, least: int = LEAST, only: str | None = None) -> DataFrame:
-    """rows (symbol, i: consecutive from 0, values) -> symbol, i, p_<value>: the percentile of each value among the symbol's `lookback` values before it.
+    """rows (symbol, i: consecutive from 0, values, other columns) -> the same with p_<value>: the percentile of each value among the symbol's `lookback` values before it.
 
-    Half of the equal ones count; null with fewer than `least` before it. only: a boolean column; other rows are history alone. Null and NaN
-    values count as 0. All values are ranked in one pass over two blocks of sessions.
+    Half of the equal ones count; null with fewer than `least` before it. only: a boolean column; other rows are history alone and go. Null and NaN
+    values count as 0. All values are ranked in one pass over two blocks of sessions. Clashing columns p_<value> are replaced.
     """
+    kept = [c for c in rows.columns if c not in {f"p_{v}" for v in values}]
 
     def made(g: pd.DataFrame) -> pd.DataFrame:
         x = np.nan_to_num(g[values].to_numpy(dtype="float64", na_value=0.0))
@@ -88,10 +89,10 @@ def ranked_in_past(rows: DataFrame, values: list[str], lookback: int = LOOKBACK,
             if len(past) >= least:
                 out[k] = 100.0 * ((past < x[r]).sum(0) + 0.5 * (past == x[r]).sum(0)) / len(past)
         found = pd.DataFrame(out, columns=[f"p_{v}" for v in values]).astype(object).where(~np.isnan(out), None)
-        return pd.concat([g.loc[at, ["symbol", "i"]].reset_index(drop=True), found], axis=1)
+        return pd.concat([g.loc[at, kept].reset_index(drop=True), found], axis=1)
 
-    needed = rows.select("symbol", "i", *([only] if only else []), *(F.col(v).cast("double").alias(v) for v in values))
-    return by_block(needed, lookback, made, "symbol string, i int, " + ", ".join(f"p_{v} double" for v in values))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return by_block(rows.select(*kept), lookback, made, f"{schema}, " + ", ".join(f"`p_{v}` double" for v in values))
 
 
 def large_quantity(trades: DataFrame, prior: int = PRIOR, q: float = LARGE) -> DataFrame:
@@ -240,8 +241,7 @@ def study_panel(trades: DataFrame, bars: DataFrame) -> DataFrame:
     t = trades.join(days, ["symbol", "dt"])
     f = broker_flow(trades).join(days.drop("on_grid"), ["symbol", "dt"])
     s = derived(daily(t, f).join(pooled(f), ["symbol", "i"]))
-    p = ranked_in_past(s, FEATURES, only="on_grid").filter(f"p_{FEATURES[0]} is not null")
-    rows = s.filter("on_grid").join(p, ["symbol", "i"]).join(leading_pair(t, days), ["symbol", "i"])
+    rows = ranked_in_past(s, FEATURES, only="on_grid").filter(f"p_{FEATURES[0]} is not null").join(leading_pair(t, days), ["symbol", "i"])
     rows = rows.withColumn("pair_share", F.col("pair_trades") / F.col("window_volume"))
     out = forward(days.filter("on_grid").select("symbol", "dt"), bars)
     return rows.join(out, ["symbol", "dt"]).select("symbol", "dt", *FEATURES, *(f"p_{x}" for x in FEATURES), *LEADING, "entry", *(f"fwd_{n}" for n in HORIZONS), "mfe", "mae", "tt_target", "tt_stop", "managed", "hold")

@@ -62,15 +62,17 @@ def baseline(rows: DataFrame, key: str, value: str) -> DataFrame:
 def point_in_time(rows: DataFrame, value: str, lookback: int, least: int, key: str = "symbol", order: str = "dt") -> DataFrame:
     """`z` and `pct` of a value against the `lookback` values strictly before it, null with fewer than `least`.
 
-    pct counts half of the equal ones; z is 0 without spread.
+    pct counts half of the equal ones; z is 0 without spread. Whoever drops pct pays for no list of values; several percentiles
+    at once, or a long lookback, are cheaper by panel.ranked_in_past.
     """
     prior = Window.partitionBy(key).orderBy(order).rowsBetween(-lookback, -1)
     v = F.col(value)
     r = rows.withColumns({"_prior": F.collect_list(v).over(prior), "_mean": F.avg(v).over(prior), "_sd": F.stddev_pop(v).over(prior)})
-    n = F.size("_prior")
+    r = r.withColumn("_n", F.count(v).over(prior))
+    n = F.col("_n")
     below = F.size(F.filter("_prior", lambda x: x < v)) + 0.5 * F.size(F.filter("_prior", lambda x: x == v))
     enough = n >= least
-    return r.withColumns({"pct": F.when(enough, 100 * below / n), "z": F.when(enough, F.when(F.col("_sd") < 1e-12, 0.0).otherwise(ratio0(v - F.col("_mean"), F.col("_sd"))))}).drop("_prior", "_mean", "_sd")
+    return r.withColumns({"pct": F.when(enough, 100 * below / n), "z": F.when(enough, F.when(F.col("_sd") < 1e-12, 0.0).otherwise(ratio0(v - F.col("_mean"), F.col("_sd"))))}).drop("_prior", "_mean", "_sd", "_n")
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
