@@ -67,8 +67,9 @@ def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class Archives:
-    """Archives of one task. Each is written under a name of its own attempt and then renamed, so a task that runs
-    again, or twice at once, leaves one whole archive for each name."""
+    """Archives of one task. The attempt is in every name: rows reach a task in no fixed order, so a second attempt cuts its archives
+    elsewhere and must not overwrite the first one's. Readers use the paths of the attempt that was committed; what another
+    attempt left stays unread. An archive gets its name when it is whole."""
 
     def __init__(self, folder: str) -> None:
         self.fs, self.folder = opened(folder)
@@ -78,8 +79,8 @@ class Archives:
 
     def put(self, data: bytes) -> None:
         if self.out is None:
-            self.name = f"{self.folder}/part-{self.part:06d}-{self.n:04d}.warc.gz"
-            self.out, self.size = self.fs.open_output_stream(f"{self.name}.{self.attempt}", compression=None), 0
+            self.name = f"{self.folder}/part-{self.part:06d}-{self.n:04d}-{self.attempt}.warc.gz"
+            self.out, self.size = self.fs.open_output_stream(f"{self.name}.part", compression=None), 0
         self.out.write(data)
         self.size += len(data)
         if self.size >= ARCHIVE_BYTES:
@@ -88,7 +89,7 @@ class Archives:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(f"{self.name}.{self.attempt}", self.name)
+            self.fs.move(f"{self.name}.part", self.name)
             self.done.append((self.name.rsplit("/", 1)[1], self.size))
             self.n, self.out = self.n + 1, None
 
@@ -99,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, date: datetime | None = None) -> D
     A null html is an empty payload and a null url is left out. Of equal payloads that with the largest page_id is
     a response and the others revisit it; rows with the same page_id as the response are responses too; a null
     page_id is written as an empty one and counts as the smallest. Other columns are ignored. An empty table gives
-    no archive.
+    no archive. A task that runs again writes archives under other names; only those of the committed attempt are returned.
     """
     when = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"))

@@ -173,6 +173,35 @@ def test_layouts_take_optional_fields(spark):
     assert chat_format.format_chats(out).count() == out.count() - 2
 
 
+def test_two_attempts_of_a_task_leave_each_others_archives_alone(spark, tmp_path, monkeypatch):
+    records = [warc.record(i, None, b"x" * i, None, "2020-01-01T00:00:00Z") for i in range(60)]
+
+    class Attempt:
+        def __init__(self, n):
+            self.n = n
+
+        def partitionId(self):  # noqa: N802
+            return 0
+
+        def taskAttemptId(self):  # noqa: N802
+            return self.n
+
+    written = []
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
+    for attempt, order in ((7, records), (8, records[::-1])):  # the second gets its rows in another order, and cuts elsewhere
+        monkeypatch.setattr(warc.TaskContext, "get", lambda n=attempt: Attempt(n))
+        a = warc.Archives(str(tmp_path))
+        written.append(a)
+    for first, second in zip(records, records[::-1], strict=True):  # both write at once
+        written[0].put(first)
+        written[1].put(second)
+    monkeypatch.undo()
+    for a in written:
+        a.close()
+        paths = spark.createDataFrame([(f"{tmp_path}/{name}", size) for name, size in a.done], "path string, bytes long")
+        assert len(a.done) > 1 and sorted(r.page_id for r in warc.read_warc(paths).collect()) == list(range(60))
+
+
 #: Records of usual fields in unusual places, and the turns that they are; None: unknown, never an empty turn.
 UNUSUAL = [
     ({"messages": [{"from": "human", "value": "hi"}]}, [("user", "hi")]),
