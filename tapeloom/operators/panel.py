@@ -245,3 +245,54 @@ def study_panel(trades: DataFrame, bars: DataFrame) -> DataFrame:
     rows = rows.withColumn("pair_share", F.col("pair_trades") / F.col("window_volume"))
     out = forward(days.filter("on_grid").select("symbol", "dt"), bars)
     return rows.join(out, ["symbol", "dt"]).select("symbol", "dt", *FEATURES, *(f"p_{x}" for x in FEATURES), *LEADING, "entry", *(f"fwd_{n}" for n in HORIZONS), "mfe", "mae", "tt_target", "tt_stop", "managed", "hold")
+
+
+#: The rule families that read flow, each with its side and its conditions (column, whether at least or at most, cut).
+RULES = [
+    ("accumulation", "long", "p_tilt_15", ">=", 80.0),
+    ("distribution", "short", "p_tilt_15", "<=", 20.0),
+    ("net_churn (control)", "long", "p_netchurn_30", ">=", 80.0),
+    ("concentration", "long", "p_conc_7", ">=", 80.0),
+    ("breadth", "long", "p_breadth_7", ">=", 80.0),
+    ("large_trade", "long", "p_large_7", ">=", 80.0),
+    ("consensus", "long", "p_consensus_7", ">=", 80.0),
+    ("vwap_slope", "long", "p_vwap_slope", ">=", 80.0),
+    ("flow_price_divergence", "long", "p_tilt_15", ">=", 70.0),
+    ("flow_price_divergence", "long", "p_ret_15", "<=", 30.0),
+    ("mtf_alignment", "long", "alignment", ">=", 1.0),
+]
+#: Fixed value: with fewer occurrences there are no rates.
+OCCURRENCES = 30
+
+
+def fired(panel: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+    """panel rows x families -> a row for each decision on which all conditions of a family hold, with `family` and `side`.
+
+    Rules are rows: the columns that they name become rows of their own and meet the rules in one join, whatever their number. The table
+    of rules is as long as `rules`, so it is broadcast. A condition on a null does not hold; conditions named twice count once.
+    """
+    rules = list(dict.fromkeys(rules))
+    spark = panel.sparkSession
+    table = spark.createDataFrame(rules, "family string, side string, feature string, op string, cut double").withColumn("needed", F.count("*").over(Window.partitionBy("family")))
+    names = sorted({r[2] for r in rules})
+    kept = [c for c in ("symbol", "dt", "fwd_20", "mfe", "mae", "tt_target", "tt_stop", "managed", "hold", "demeaned") if c in panel.columns]
+    long_ = panel.select(*kept, F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names))))
+    holds = F.when(F.col("op") == ">=", F.col("value") >= F.col("cut")).otherwise(F.col("value") <= F.col("cut"))
+    met = long_.join(F.broadcast(table), "feature").filter(holds)
+    return met.groupBy(*kept, "family", "side").agg(F.count("*").alias("met"), F.max("needed").alias("needed")).filter("met = needed").drop("met", "needed")
+
+
+def rule_families(panel: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+    """By family that ever fired: how often, on how many symbols and days, and what followed, seen from its side; rates only from OCCURRENCES on.
+
+    excess is the return less the mean of all the panel's returns of that day. Target and invalidation of a short are the long's stop and target.
+    """
+    days = panel.groupBy("dt").agg(F.avg("fwd_20").alias("_mean"))
+    hits = fired(panel.join(days, "dt").withColumn("demeaned", F.col("fwd_20") - F.col("_mean")), rules)
+    long_ = F.col("side") == "long"
+    sign_ = F.when(long_, 1.0).otherwise(-1.0)
+    hits = hits.withColumns({"r": sign_ * F.col("fwd_20"), "x": sign_ * F.col("demeaned"), "m": sign_ * F.col("managed"), "up": F.when(long_, F.col("mfe")).otherwise(-F.col("mae")), "down": F.when(long_, F.col("mae")).otherwise(-F.col("mfe"))})
+    hits = hits.withColumns({"target": F.when(long_, F.col("tt_target")).otherwise(F.col("tt_stop")) > 0, "stop": F.when(long_, F.col("tt_stop")).otherwise(F.col("tt_target")) > 0})
+    rates = {"mean_ret": F.avg("r"), "win_rate": F.avg((F.col("r") > 0).cast("double")), "mean_excess": F.avg("x"), "excess_win_rate": F.avg((F.col("x") > 0).cast("double")), "managed_mean": F.avg("m"), "mfe_mean": F.avg("up"), "mae_mean": F.avg("down"), "target_rate": F.avg(F.col("target").cast("double")), "invalidation_rate": F.avg(F.col("stop").cast("double")), "avg_hold": F.avg("hold")}
+    enough = F.count("*") >= OCCURRENCES
+    return hits.groupBy("family", "side").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("dt").alias("days"), *(F.when(enough, x).alias(c) for c, x in rates.items()))

@@ -1,9 +1,10 @@
-"""The study panel."""
+"""The study panel, and the rule families that are studied on it."""
 
 from pyspark.sql import functions as F
 
 from ..functions.nulls import micro
 from ..operators import panel as op
+from ..sources.store import stored
 from ..sources.tape import FLOW_SQL, TAPE_SQL, tape
 from .bar_queries import ADJUSTED_SQL, adjusted_day_bars
 from .registry import query
@@ -85,5 +86,28 @@ def shown_sql(x):
 @query("study_panel", f"""WITH {ADJUSTED_SQL}, {PANEL_SQL}, {PATH_SQL}
 SELECT symbol, dt, {', '.join(map(shown_sql, COLUMNS))} FROM feat JOIN pct USING (symbol, i) JOIN lead USING (symbol, i) JOIN pair USING (symbol, i) JOIN after USING (symbol, dt)""")
 def study_panel(spark, sf_dir):
-    p = op.study_panel(tape(spark, sf_dir), adjusted_day_bars(spark, sf_dir))
-    return p.select("symbol", "dt", *(F.col(c) if c in EXACT else micro(F.col(c)).alias(c) for c in COLUMNS))
+    return panel(spark, sf_dir).select("symbol", "dt", *(F.col(c) if c in EXACT else micro(F.col(c)).alias(c) for c in COLUMNS))
+
+
+def panel(spark, sf_dir):
+    """The panel is stored like the tape: studies read its few rows again and again."""
+    return stored(spark, sf_dir, "panel", lambda: op.study_panel(tape(spark, sf_dir), adjusted_day_bars(spark, sf_dir)), ["dt", "symbol"])
+
+
+#: Each family's conditions as one predicate.
+FIRES = {
+    "accumulation": "p_tilt_15 >= 80", "distribution": "p_tilt_15 <= 20", "net_churn (control)": "p_netchurn_30 >= 80", "concentration": "p_conc_7 >= 80", "breadth": "p_breadth_7 >= 80", "large_trade": "p_large_7 >= 80", "consensus": "p_consensus_7 >= 80",
+    "vwap_slope": "p_vwap_slope >= 80", "flow_price_divergence": "p_tilt_15 >= 70 AND p_ret_15 <= 30", "mtf_alignment": "alignment >= 1",
+}
+RATES = {
+    "mean_ret": "avg(s * fwd_20)", "win_rate": "avg((s * fwd_20 > 0)::INT)", "mean_excess": "avg(s * (fwd_20 - m))", "excess_win_rate": "avg((s * (fwd_20 - m) > 0)::INT)", "managed_mean": "avg(s * managed)", "mfe_mean": "avg(CASE WHEN s > 0 THEN mfe ELSE -mae END)",
+    "mae_mean": "avg(CASE WHEN s > 0 THEN mae ELSE -mfe END)", "target_rate": "avg((CASE WHEN s > 0 THEN tt_target ELSE tt_stop END > 0)::INT)", "invalidation_rate": "avg((CASE WHEN s > 0 THEN tt_stop ELSE tt_target END > 0)::INT)", "avg_hold": "avg(hold)",
+}
+
+
+@query("rule_families", f"""WITH {ADJUSTED_SQL}, {PANEL_SQL}, {PATH_SQL},
+obs AS MATERIALIZED (SELECT *, avg(fwd_20) OVER (PARTITION BY dt) AS m FROM feat JOIN pct USING (symbol, i) JOIN after USING (symbol, dt)),
+hits AS ({" UNION ALL ".join(f"SELECT '{name}' AS family, {-1 if name == 'distribution' else 1} AS s, symbol, dt, fwd_20, m, managed, mfe, mae, tt_target, tt_stop, hold FROM obs WHERE {cond}" for name, cond in FIRES.items())})
+SELECT family, CASE WHEN s > 0 THEN 'long' ELSE 'short' END AS side, count(*) AS n, count(DISTINCT symbol) AS symbols, count(DISTINCT dt) AS days, {', '.join(f'micro(CASE WHEN count(*) >= 30 THEN {x} END) AS {c}' for c, x in RATES.items())} FROM hits GROUP BY family, s""")
+def rule_families(spark, sf_dir):
+    return op.rule_families(panel(spark, sf_dir)).select("family", "side", "n", "symbols", "days", *(micro(F.col(c)).alias(c) for c in RATES))

@@ -77,13 +77,36 @@ def test_leading_pair_counts_trades(spark):
     assert found == {0: (1, 2, 1), 5: (1, 2, 3), 10: (1, 2, 3), 15: (3, 1, 3), 20: (9, 9, 1)}
 
 
-def test_panel_matches_its_oracle(spark):
+def test_rules_are_rows(spark):
+    """A family fires where all its conditions hold; a null holds for none; rates need 30 occurrences."""
+    draw, rules_all = random.Random(6), [*panel.RULES, ("rare", "short", "p_tilt_15", ">=", 100.0), ("rare", "short", "p_conc_7", ">=", 100.0), ("rare", "short", "p_conc_7", ">=", 100.0)]
+    columns = sorted({r[2] for r in panel.RULES})
+    rows = [(f"S{i % 4}", DAY + datetime.timedelta(i // 4), *(draw.choice([None, 0.0, 20.0, 30.0, 70.0, 80.0, 100.0]) for _ in columns), draw.uniform(-1, 1), 0.2, -0.1, i % 3, i % 2, 0.05, 4) for i in range(200)]
+    frame = spark.createDataFrame(rows, "symbol string, dt date, " + ", ".join(f"{c} double" for c in columns) + ", fwd_20 double, mfe double, mae double, tt_target int, tt_stop int, managed double, hold int")
+    found = {r.family: r for r in panel.rule_families(frame, rules_all).collect()}
+    holds = lambda row, c, op, cut: row[2 + columns.index(c)] is not None and (row[2 + columns.index(c)] >= cut if op == ">=" else row[2 + columns.index(c)] <= cut)
+    mean = {d: np.mean([r[2 + len(columns)] for r in rows if r[1] == d]) for d in {r[1] for r in rows}}
+    for family in {r[0] for r in rules_all}:
+        rules = [r for r in rules_all if r[0] == family]
+        hit = [r for r in rows if all(holds(r, *x[2:]) for x in rules)]
+        sign = 1 if rules[0][1] == "long" else -1
+        assert (found[family].n, found[family].symbols, found[family].days) == (len(hit), len({r[0] for r in hit}), len({r[1] for r in hit}))
+        if len(hit) < 30:
+            assert found[family].mean_ret is None and found[family].avg_hold is None
+        else:
+            assert found[family].mean_excess == pytest.approx(np.mean([sign * (r[2 + len(columns)] - mean[r[1]]) for r in hit]))
+            assert found[family].target_rate == pytest.approx(np.mean([r[5 + len(columns) if sign > 0 else 6 + len(columns)] > 0 for r in hit]))
+    assert 0 < found["rare"].n < 30
+
+
+@pytest.mark.parametrize("name", ["study_panel", "rule_families"])
+def test_panel_matches_its_oracle(spark, name):
     """On tables with enough sessions: the smallest have none."""
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
-    found, wanted = QUERIES["study_panel"](spark, sf).toPandas(), con.sql(ORACLES["study_panel"]).df()
-    assert len(found) == len(wanted) > 1000 and sorted(found.columns) == sorted(wanted.columns)
+    found, wanted = QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()
+    assert len(found) == len(wanted) >= (1000 if name == "study_panel" else 10) and sorted(found.columns) == sorted(wanted.columns)
     assert sorted_rows(found) == sorted_rows(wanted)
     assert len(panel.FEATURES) == len(set(panel.FEATURES)) == 64
