@@ -34,7 +34,7 @@ def folder(tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["trigger_edges", "event_replay", "variant_table", "scan_board", "trade_setup_score", "supply_demand_zones"])
+@pytest.mark.parametrize("name", ["trigger_edges", "event_replay", "variant_table", "scan_board", "trade_setup_score", "supply_demand_zones", "first_passage"])
 def test_prices_over_time_are_adjusted(spark, folder, name):
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
