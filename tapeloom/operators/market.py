@@ -230,11 +230,12 @@ def cluster_bootstrap(family: DataFrame, draws: int = 20_000, seed: int = 11) ->
     """family (symbol, ex): its mean excess with a 95 % interval and a one-sided p by drawing whole symbols with replacement.
 
     Picks come from md5 of (seed, draw, pick), so they don't depend on partitions. Sums by symbol are drawn, not rows.
+    A family without a row has no draws: one row of nulls with agree 0 and p 1.
     """
     s = family.groupBy("symbol").agg(F.sum("ex").alias("t"), F.count("*").alias("k"))
     numbered = s.withColumns({"j": F.row_number().over(Window.orderBy("symbol")) - 1, "m": F.count("*").over(Window.partitionBy())})  # one row a symbol
     whole = s.agg(F.count("*").alias("symbols"), F.sum("t").alias("grand"), F.sum("k").alias("n"), F.sort_array(F.collect_list("t")).alias("ts")).withColumn("excess", F.col("grand") / F.col("n"))
-    m = F.broadcast(whole.select(F.col("symbols").alias("m")))  # one row
+    m = F.broadcast(whole.select(F.col("symbols").alias("m")).filter("m > 0"))  # one row
     hashed = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "draw", "pick")), 1, 8), 16, 10).cast("long")
     picks = s.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw")).join(m).select("draw", "m", F.explode(F.sequence(F.lit(1), "m")).alias("pick")).withColumn("j", hashed % F.col("m"))
     means = picks.select("draw", "j").join(numbered.select("j", "t", "k"), "j").groupBy("draw").agg((F.sum("t") / F.sum("k")).alias("mean"))
@@ -243,7 +244,8 @@ def cluster_bootstrap(family: DataFrame, draws: int = 20_000, seed: int = 11) ->
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     agree = F.size(F.filter("ts", lambda x: (x > 0) == (F.col("excess") > 0)))
     crossed = F.when(F.col("excess") > 0, F.col("below")).otherwise(F.col("over"))
-    return whole.join(F.broadcast(ranked)).select("symbols", agree.alias("agree"), ratio0(add(three), F.col("grand")).alias("top3_share"), "excess", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), ((crossed + 1) / (F.col("drawn") + 1)).alias("p_value"))  # one row
+    share = F.when(F.col("symbols") > 0, ratio0(add(three), F.col("grand")))
+    return whole.join(F.broadcast(ranked)).select(F.nullif("symbols", F.lit(0)).alias("symbols"), agree.alias("agree"), share.alias("top3_share"), "excess", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"), ((crossed + 1) / (F.col("drawn") + 1)).alias("p_value"))  # one row
 
 
 def phase_split(rows: DataFrame, member: str, steps: int = 4) -> DataFrame:
