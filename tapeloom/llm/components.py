@@ -18,7 +18,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select("u", "v")
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = near.join(least, "u")
+    tied = near.join(least.hint("merge"), "u")  # never broadcast: rounds would pile the built tables up in the driver
     if large:
         tied = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

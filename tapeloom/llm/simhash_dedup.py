@@ -123,7 +123,7 @@ def links(fps: DataFrame) -> DataFrame:
     seen = fps.mapInPandas(visits, "anchor long, fp long, home boolean")
     homes = seen.filter("home").select("anchor", F.col("fp").alias("a"))
     visitors = seen.select("anchor", F.col("fp").alias("b"))
-    return homes.join(visitors, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
+    return homes.join(visitors.hint("merge"), "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -137,13 +137,13 @@ def simhash_groups(docs: DataFrame, extra: list[str] | None = None) -> DataFrame
     keep = ["doc_id", *(extra or [])]
     rows = staged(fingerprints(docs, keep), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = components(links(classes.select("fp")))
+    found = components(links(classes.select("fp"))).hint("merge")
     roots = classes.join(found, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = roots.join(least, "root").select("fp", "root", "least_id")
-    named = staged(classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
+    linked = roots.join(least.hint("merge"), "root").select("fp", "root", "least_id")
+    named = staged(classes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
     shown = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", shown("fp").alias("fingerprint"), "component_id", shown("root").alias("component_root"), *keep[1:])
+    return rows.join(named.hint("merge"), "fp").select("doc_id", shown("fp").alias("fingerprint"), "component_id", shown("root").alias("component_root"), *keep[1:])
 
 
 def op6_simhash_dedup(spark, sf_dir):
