@@ -37,6 +37,8 @@ VALUES = np.concatenate([np.arange(4), *(np.arange(4, 8) << e for e in range(48)
 MU, ADD = 32.0, 0.1
 #: Bytes of text in a block, of a piece of it that is cut into words at once, and for each segment.
 BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20, 16 << 20
+#: N-grams whose bits are looked at at once.
+SLICE = 1 << 17
 
 _U = np.uint64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -181,31 +183,38 @@ def bit_places(h: np.ndarray, j: int, bits: int) -> Iterator[np.ndarray]:
         yield ((g + _U(k) * step) >> _U(3)) & _U((1 << bits) - 1)
 
 
+def slices(h: np.ndarray) -> Iterator[np.ndarray]:
+    """h in pieces of SLICE, so that what is derived from it bit by bit is never held for all of it."""
+    return (h[i : i + SLICE] for i in range(0, len(h), SLICE))
+
+
 def page_of(h: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """The bits of a page, of 2 ** bits, that n-grams with these counts set, as bytes."""
-    page = np.zeros(1 << bits, bool)
-    levels = level(counts)
+    page = np.zeros(1 << bits - 3, np.uint8)
+    levels = level(counts).astype(np.int16)
     by = np.argsort(-levels, kind="stable")
     h, ends = h[by], np.searchsorted(-levels[by], -np.arange(int(levels.max(initial=0)) + 1), "right")
     for j in range(1, len(ends)):
-        for at in bit_places(h[: ends[j]], j, bits):
-            page[at] = True
-    return np.packbits(page, bitorder="little")
+        for x in slices(h[: ends[j]]):
+            for at in bit_places(x, j, bits):
+                np.bitwise_or.at(page, (at >> _U(3)).astype(np.int64), np.left_shift(1, (at & _U(7)).astype(np.uint8), dtype=np.uint8))
+    return page
 
 
 def read_levels(h: np.ndarray, page: np.ndarray) -> np.ndarray:
     """The last level that is present by repeated probes, 0 if none is."""
     bits = (len(page) * 8).bit_length() - 1
     found = np.zeros(len(h), np.uint8)
-    live = np.arange(len(h))
-    for j in range(1, len(VALUES)):
-        x, ok = h[live], np.ones(len(live), bool)
-        for at in bit_places(x, j, bits):
-            ok &= (page[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
-        live = live[ok]
-        found[live] = j
-        if not len(live):
-            break
+    for h_part, found_part in zip(slices(h), slices(found), strict=True):
+        live = np.arange(len(h_part))
+        for j in range(1, len(VALUES)):
+            x, ok = h_part[live], np.ones(len(live), bool)
+            for at in bit_places(x, j, bits):
+                ok &= (page[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+            live = live[ok]
+            found_part[live] = j
+            if not len(live):
+                break
     return found
 
 
@@ -236,27 +245,34 @@ def count_block(texts: list[bytes], learn: list[bool], n_segments: int) -> list[
     return list(out.values())
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, which of them each key is, and what the n of each add up to."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    which = np.empty(len(keys), np.uint32)
+    which[order] = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+    return keys[first], which, np.add.reduceat(n[order], np.flatnonzero(first), dtype=np.int64)
+
+
 def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one segment: totals, and of each block's words and pairs, in the order that they came in, what the page of the
     filter says of them; of words the exact counts too."""
-    sums = []
+    sums = {}
     for kind in ("word", "pair"):
-        keys = np.concatenate([long_keys(x) if kind == "pair" else np.frombuffer(x, _U) for x in pdf[f"{kind}s"]])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf[f"{kind}_counts"]])
-        distinct, which = np.unique(keys, return_inverse=True)
-        sums.append((distinct, which, np.bincount(which, n, len(distinct)).astype(np.int64)))
-    (words, *_), (two, *_) = sums
-    probes = {"word": words, "pair": mix(two + END)}
-    grams, counts = np.concatenate(list(probes.values())), np.concatenate([x[2] for x in sums])
-    bits = page_bits(counts)
-    page = page_of(grams, counts, bits)
+        sums[kind] = summed(np.concatenate([long_keys(x) if kind == "pair" else np.frombuffer(x, _U) for x in pdf[f"{kind}s"]]), n)
+    total = sums["word"][2]
+    probes = {"word": sums["word"][0], "pair": mix(sums["pair"][0] + END)}
+    counts = np.concatenate([x[2] for x in sums.values()])
+    page = page_of(np.concatenate(list(probes.values())), counts, bits := page_bits(counts))
     out = {"block": pdf["block"], "seg": pdf["seg"]}
-    for kind, (_, which, _) in zip(("word", "pair"), sums, strict=True):
+    for kind, (_, which, _) in sums.items():
         at = np.cumsum([len(x) // 4 for x in pdf[f"{kind}_counts"]])[:-1]
         out[f"{kind}_levels"] = [x.tobytes() for x in np.split(read_levels(probes[kind], page)[which], at)]
         if kind == "word":
-            total = sums[0][2]
-            out["exact"] = [x.tobytes() for x in np.split(total[which], at)]
+            out["exact"] = [total[x].tobytes() for x in np.split(which, at)]
     first = np.arange(len(pdf)) == 0  # totals of the segment stand in one of its rows
     levels = int(level(counts).sum())
     return pd.DataFrame(out | {"n": np.where(first, total.sum(), 0), "v": np.where(first, (total > 0).sum(), 0), "levels": np.where(first, levels, 0), "bits": np.where(first, 1 << bits, 0)})

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -292,6 +293,30 @@ def rounded_up(c):
     return c // step * step + step - 1
 
 
+def test_page_is_made_without_a_byte_for_each_bit():
+    h = lm_score.mix(np.arange(1, 800_001, dtype=np.uint64))
+    counts = np.ones(len(h), np.int64)
+    bits = lm_score.page_bits(counts)
+    tracemalloc.start()
+    page = lm_score.page_of(h, counts, bits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << bits
+    plain = np.zeros(1 << bits, bool)
+    for at in lm_score.bit_places(h, 1, bits):
+        plain[at] = True
+    assert (page == np.packbits(plain, bitorder="little")).all()
+
+
+@pytest.mark.parametrize("keys", [[], [5], [3, 1, 3, 2, 1, 3]])
+def test_summed_keys(keys):
+    keys = np.array(keys, np.uint64)
+    found, which, total = lm_score.summed(keys, np.arange(1, len(keys) + 1, dtype=np.uint32))
+    wanted, inverse = np.unique(keys, return_inverse=True)
+    assert (found == wanted).all() and (which == inverse).all()
+    assert total.tolist() == [int(np.arange(1, len(keys) + 1)[keys == k].sum()) for k in wanted]
+
+
 def test_lm_scores_are_those_of_quantised_counts(docs, corpus, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1 << 15)
     monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 1 << 15)
