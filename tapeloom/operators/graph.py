@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio0
+from ..functions.nulls import ratio, ratio0
 from .flow import recent_sessions
 
 
@@ -108,34 +108,36 @@ def cycles4(e: DataFrame) -> DataFrame:
 def sequence(trades: DataFrame, order: list[str]) -> DataFrame:
     """Trades in order within a symbol: how often a side repeats, its longest run, ticks up and down, and early against late size.
 
-    Trades are ordered within sessions; what a session's first trade follows, and how many trades and runs came before it,
-    are carried from session to session over one row each. So no symbol's whole tape is sorted in one task.
+    Trades are sent to their sessions once and ordered there. A session leaves one row: what it begins and ends with, and the
+    lengths of its first, last and longest runs, from which runs over several sessions are put together. So no symbol's whole
+    tape is sorted in one task.
     """
-    day = ["symbol", "dt"]
+    day, side = ["symbol", "dt"], {"b": "buyer", "s": "seller", "r": "rate"}
+    ds = Window.partitionBy("symbol").orderBy("dt")
+    before = F.coalesce(F.sum("m").over(ds.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = trades.groupBy(*day).agg(F.count("*").alias("m")).select(*day, before.alias("before"), F.sum("m").over(Window.partitionBy("symbol")).alias("all"))
     w = Window.partitionBy(*day).orderBy(*order)
-    t = trades.withColumns({"k": F.row_number().over(w), "pb": F.lag("buyer").over(w), "ps": F.lag("seller").over(w), "pr": F.lag("rate").over(w)})
-    first, at = F.col("k") == 1, F.struct(*order)
-    side = {"b": "buyer", "s": "seller", "r": "rate"}
+    t = trades.join(counts, day).withColumns({"k": F.row_number().over(w).cast("long"), **{f"p{x}": F.lag(c).over(w) for x, c in side.items()}})
+    t = t.withColumns({f"from_{x}": F.max(F.when(F.coalesce(F.col(side[x]) != F.col(f"p{x}"), F.lit(True)), F.col("k"))).over(w) for x in "bs"})  # where the run began
+    at, half = F.struct(*order), (F.col("before") + F.col("k")) * 2 <= F.col("all")
+    size = {"early": F.when(half, F.col("qty")), "late": F.when(~half, F.col("qty"))}
     d = t.groupBy(*day).agg(
-        F.count("*").alias("m"), *(F.min_by(c, at).alias(f"first_{x}") for x, c in side.items()), *(F.max_by(c, at).alias(f"last_{x}") for x, c in side.items()), *(F.count_if(~first & (F.col(side[x]) != F.col(f"p{x}"))).alias(f"turns_{x}") for x in "bs")
-    )
-    ds = Window.partitionBy("symbol").orderBy("dt")
-    earlier = ds.rowsBetween(Window.unboundedPreceding, -1)
+        F.count("*").alias("m"), *(F.min_by(c, at).alias(f"first_{x}") for x, c in side.items()), *(F.max_by(c, at).alias(f"last_{x}") for x, c in side.items()),
+        *(F.count_if(F.col(side[x]) == F.col(f"p{x}")).alias(f"same_{x}") for x in side), F.count_if(F.col("rate") > F.col("pr")).alias("up"), F.count_if(F.col("rate") < F.col("pr")).alias("down"),
+        *(F.max(F.col("k") - F.col(f"from_{x}") + 1).alias(f"most_{x}") for x in "bs"), *(F.max(F.when(F.col(f"from_{x}") == 1, F.col("k"))).alias(f"head_{x}") for x in "bs"), *((F.count("*") - F.max(f"from_{x}") + 1).alias(f"tail_{x}") for x in "bs"),
+        *(F.sum(q).alias(f"{x}_sum") for x, q in size.items()), *(F.count(q).alias(f"{x}_n") for x, q in size.items()),
+    )
     d = d.withColumns({f"was_{x}": F.lag(f"last_{x}").over(ds) for x in side})
-    d = d.withColumns({f"turns_{x}": F.col(f"turns_{x}") + F.coalesce((F.col(f"first_{x}") != F.col(f"was_{x}")).cast("int"), F.lit(1)) for x in "bs"})
-    d = d.withColumns({"before": F.coalesce(F.sum("m").over(earlier), F.lit(0)), "n": F.sum("m").over(Window.partitionBy("symbol")), **{f"runs_{x}": F.coalesce(F.sum(f"turns_{x}").over(earlier), F.lit(0)) for x in "bs"}})
-    t = t.join(d.select(*day, "before", "n", "runs_b", "runs_s", "was_b", "was_s", "was_r"), day)
-    t = t.withColumns({f"p{x}": F.when(first, F.col(f"was_{x}")).otherwise(F.col(f"p{x}")) for x in side})
-    t = t.withColumns({f"run_{x}": F.col(f"runs_{x}") + F.sum(F.coalesce((F.col(side[x]) != F.col(f"p{x}")).cast("int"), F.lit(1))).over(w) for x in "bs"})
-    each = F.inline(F.array(*(F.struct(F.lit(x).alias("side"), F.col(f"run_{x}").alias("run")) for x in "bs")))
-    longest = lambda x, name: F.max(F.when(F.col("side") == x, F.col("count"))).alias(name)
-    lengths = t.select("symbol", each).groupBy("symbol", "side", "run").count().groupBy("symbol").agg(longest("b", "longest_buyer_run"), longest("s", "longest_seller_run"))
-    half = (F.col("before") + F.col("k")) * 2 <= F.col("n")
-    s = t.groupBy("symbol").agg(
-        F.count("*").alias("n"), F.count_if(F.col("buyer") == F.col("pb")).alias("buyer_repeats"), F.count_if(F.col("seller") == F.col("ps")).alias("seller_repeats"), F.count_if(F.col("rate") > F.col("pr")).alias("up"), F.count_if(F.col("rate") < F.col("pr")).alias("down"), F.count_if(F.col("rate") == F.col("pr")).alias("flat"),
-        F.round(F.avg(F.when(half, F.col("qty"))), 6).alias("early_qty"), F.round(F.avg(F.when(~half, F.col("qty"))), 6).alias("late_qty"),
+    d = d.withColumns({f"joins_{x}": F.coalesce(F.col(f"first_{x}") == F.col(f"was_{x}"), F.lit(False)) for x in side})
+    # A session of one run that its forerunner's last run goes on into is no new part; a part's sessions add up to its last run.
+    d = d.withColumns({f"part_{x}": F.sum((~(F.col(f"joins_{x}") & (F.col(f"head_{x}") == F.col("m")))).cast("int")).over(ds) for x in "bs"})
+    d = d.withColumns({f"end_{x}": F.sum(f"tail_{x}").over(Window.partitionBy("symbol", f"part_{x}").orderBy("dt")) for x in "bs"})
+    d = d.withColumns({f"over_{x}": F.when(F.col(f"joins_{x}"), F.lag(f"end_{x}").over(ds) + F.col(f"head_{x}")) for x in "bs"})
+    return d.groupBy("symbol").agg(
+        F.sum("m").alias("n"), (F.sum("same_b") + F.count_if("joins_b")).alias("buyer_repeats"), (F.sum("same_s") + F.count_if("joins_s")).alias("seller_repeats"),
+        (F.sum("up") + F.count_if(F.col("first_r") > F.col("was_r"))).alias("up"), (F.sum("down") + F.count_if(F.col("first_r") < F.col("was_r"))).alias("down"), (F.sum("same_r") + F.count_if("joins_r")).alias("flat"),
+        *(F.round(ratio(F.sum(f"{x}_sum"), F.sum(f"{x}_n")), 6).alias(f"{x}_qty") for x in size), *(F.greatest(F.max(f"most_{x}"), F.max(f"over_{x}")).alias(f"longest_{side[x]}_run") for x in "bs"),
     )
-    return s.join(lengths, "symbol")
 
 
 def affinity(flow: DataFrame) -> DataFrame:
