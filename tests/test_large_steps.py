@@ -5,7 +5,10 @@ import itertools
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from tapeloom.operators.graph import sequence
+from tapeloom.operators.series import filled_minutes, minute_bars
 from tapeloom.plans.catalogue import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,3 +45,21 @@ def test_sequences_over_sessions_of_one_run(spark):
         assert (r.up, r.down, r.flat) == (sum(b > a for a, b in pairs), sum(b < a for a, b in pairs), sum(a == b for a, b in pairs))
         assert (r.early_qty, r.late_qty) == (round(sum(sizes[:half]) / half, 6), round(sum(sizes[half:]) / (len(t) - half), 6))
     assert len(found) == 3
+
+
+def test_filling_minutes_moves_ticks_once_and_joins_nothing(spark):
+    p = plan(QUERIES["minute_fill"](spark, SF))
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_filled_minutes(spark):
+    at = lambda h, m: dt.datetime(2024, 1, 2, h, m)
+    ticks = spark.createDataFrame(
+        [(1, at(9, 1), 5.0, 1), (1, at(9, 40), None, 2), (1, at(10, 1), 7.0, 3), (1, dt.datetime(2024, 1, 3, 9, 0), 8.0, 4), (None, at(9, 0), 1.0, 5), (None, at(9, 30), 2.0, 6), (2, None, 3.0, 7)], "instrument long, ts timestamp, price double, seq long"
+    )
+    for bars in (minute_bars(ticks, 15), minute_bars(ticks, 15, by_day=True)):
+        found = filled_minutes(bars, 15).withColumn("minute", F.date_format("minute", "dd HH:mm")).collect()
+        own = [(r.minute, r.o, r.h, r.l, r.c, r.n) for r in sorted((r for r in found if r.instrument == 1), key=lambda r: r.minute)]
+        flat = (5.0,) * 4
+        assert own == [("02 09:00", *flat, 1), ("02 09:15", *flat, 0), ("02 09:30", *flat, 1), ("02 09:45", *flat, 0), ("02 10:00", 7.0, 7.0, 7.0, 7.0, 1), ("03 09:00", 8.0, 8.0, 8.0, 8.0, 1)]
+        assert sorted((r.minute, r.o, r.c, r.n) for r in found if r.instrument != 1) == [("02 09:00", None, None, 0), ("02 09:15", None, None, 0), ("02 09:30", None, None, 0)]
