@@ -34,9 +34,10 @@ def price_stats(spark, sf_dir):
     t = tape(spark, sf_dir)
     by = t.groupBy("symbol", "rate").agg(F.count("*").alias("n"), F.sum("qty").alias("q"))
     mode = by.groupBy("symbol").agg(F.max_by("rate", F.struct("n", "q", -F.col("rate"))).alias("mode_price"), F.max_by("rate", F.struct("q", "n", -F.col("rate"))).alias("heaviest_price"), F.count("*").alias("levels"))
-    q = [F.round(F.percentile("rate", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.05, 0.25, 0.75, 0.95)]
-    s = t.groupBy("symbol").agg(F.round(F.avg("rate"), 6).alias("mean"), F.round(F.median("rate"), 6).alias("median"), F.round(F.stddev_pop("rate"), 6).alias("sd"), *q, F.round(F.coalesce(F.kurtosis("rate"), F.lit(0.0)), 6).alias("kurtosis"), F.round(F.skewness("rate"), 4).alias("skew"))
-    return s.join(mode, "symbol")
+    points = {"median": 0.5} | {f"p{int(p * 100)}": p for p in (0.05, 0.25, 0.75, 0.95)}
+    q = op.linear_percentiles(by, "symbol", "rate", "n", points).select("symbol", *(F.round(c, 6).alias(c) for c in points))
+    s = t.groupBy("symbol").agg(F.round(F.avg("rate"), 6).alias("mean"), F.round(F.stddev_pop("rate"), 6).alias("sd"), F.round(F.coalesce(F.kurtosis("rate"), F.lit(0.0)), 6).alias("kurtosis"), F.round(F.skewness("rate"), 4).alias("skew"))
+    return s.join(q, "symbol").join(mode, "symbol").select("symbol", "mean", "median", "sd", *list(points)[1:], "kurtosis", "skew", "mode_price", "heaviest_price", "levels")
 
 
 @query("size_moments", f"""WITH {TAPE_SQL}, s AS (SELECT symbol, count(*)::DOUBLE AS n, avg(qty) AS m, var_pop(qty) AS v, avg(qty ** 3) AS m3, kurtosis_pop(qty) AS k FROM tape GROUP BY symbol), g AS (SELECT *, (m3 - 3 * m * v - m ** 3) / v ** 1.5 AS g FROM s)

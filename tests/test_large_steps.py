@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tapeloom.operators.graph import sequence
@@ -63,3 +64,21 @@ def test_filled_minutes(spark):
         flat = (5.0,) * 4
         assert own == [("02 09:00", *flat, 1), ("02 09:15", *flat, 0), ("02 09:30", *flat, 1), ("02 09:45", *flat, 0), ("02 10:00", 7.0, 7.0, 7.0, 7.0, 1), ("03 09:00", 8.0, 8.0, 8.0, 8.0, 1)]
         assert sorted((r.minute, r.o, r.c, r.n) for r in found if r.instrument != 1) == [("02 09:00", None, None, 0), ("02 09:15", None, None, 0), ("02 09:30", None, None, 0)]
+
+
+def test_price_stats_hold_no_list_of_a_symbols_prices(spark):
+    p = plan(QUERIES["price_stats"](spark, SF))
+    assert "percentile(" not in p and "median(" not in p
+
+
+def test_percentiles_by_slices_are_exact(spark):
+    from tapeloom.operators.stats import linear_percentiles
+
+    draw = np.random.default_rng(1)
+    values = {"many": draw.normal(size=5000).round(2), "one": np.array([3.0]), "two": np.array([1.0, 2.0]), "skewed": np.array([1.0] * 900 + [2.0] * 50 + [1e9] * 3)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("one", None), ("none", None)], "k string, v double")
+    points = {"a": 0.05, "b": 0.5, "c": 0.95, "d": 0.0, "e": 1.0}
+    found = {r.k: r for r in linear_percentiles(rows.groupBy("k", "v").count(), "k", "v", "count", points).collect()}
+    assert set(found) == set(values)
+    for k, v in values.items():
+        assert np.allclose([found[k][x] for x in points], [np.quantile(v, q) for q in points.values()], rtol=0, atol=1e-6)
