@@ -42,11 +42,13 @@ def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     A lost executor then costs a task of the writing or of the reading job, never the whole chain. row_group: bytes of a
-    row group, for tables with very large rows.
+    row group, for tables with very large rows; the writer looks at its size after every row, not first after 100, which
+    can be all rows of a task.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
+    large = {"parquet.block.size": row_group, "parquet.page.size.row.check.min": 1} if row_group else {}
+    df.write.options(**large).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ VALUES = np.concatenate([np.arange(4), *(np.arange(4, 8) << e for e in range(48)
 #: Counts that the shares of single words weigh in a probability, and what is added to a word's count.
 MU, ADD = 32.0, 0.1
 #: Bytes of text in a block, of a piece of it that is cut into words at once, and for each segment.
-BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 8 << 20, 2 << 20, 16 << 20
+BLOCK_BYTES, PIECE_BYTES, SEGMENT_BYTES = 8 << 20, 512 << 10, 16 << 20
 #: N-grams whose bits are looked at at once.
 SLICE = 1 << 17
 
@@ -235,10 +235,10 @@ def count_block(texts: list[bytes], learn: list[bool], n_segments: int) -> list[
     h, offsets = tokens(texts)
     learned = np.repeat(np.array(learn, bool), np.diff(offsets))
     out: dict[int, dict] = {}
-    for kind, grams in (("word", h), ("pair", pairs(h, offsets))):
-        keys, which = np.unique(grams, return_inverse=True)
+    for kind in ("word", "pair"):
+        keys, _, n = summed(h if kind == "word" else pairs(h, offsets), learned)
         order, segs, at = in_segments(keys, n_segments)
-        keys, n = keys[order], np.bincount(which[learned], minlength=len(keys))[order].astype(np.uint32)
+        keys, n = keys[order], n[order].astype(np.uint32)
         for s, a, b in zip(segs.tolist(), at[:-1], at[1:], strict=True):
             row = out.setdefault(s, {"seg": s, "words": b"", "word_counts": b"", "pairs": short_keys(keys[:0]), "pair_counts": b""})
             row |= {f"{kind}s": short_keys(keys[a:b]) if kind == "pair" else keys[a:b].tobytes(), f"{kind}_counts": n[a:b].tobytes()}
@@ -325,7 +325,7 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     part = F.crc32(F.col("doc_id").cast("string")) % 10
     fields = {"doc_id": F.col("doc_id").cast("string"), "learn": F.coalesce(part != 0, F.lit(False)), "held_out": F.coalesce(part == 0, F.lit(False))}
     packed = blocks(docs, fields, "lm-texts", BLOCK_BYTES, lambda _, held: count_block(held["data"], held["learn"], n_segments), PARTS)
-    return packed, staged(packed.select("block", F.inline("parts")).groupBy("seg").applyInPandas(add_up, ADDED), "lm"), n_segments
+    return packed, staged(packed.select("block", F.inline("parts")).groupBy("seg").applyInPandas(add_up, ADDED), "lm", row_group=BLOCK_BYTES), n_segments
 
 
 def lm_score(docs: DataFrame) -> DataFrame:

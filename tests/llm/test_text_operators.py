@@ -3,11 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import tracemalloc
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -377,6 +380,16 @@ def test_words_of_long_texts_are_cut_in_pieces(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and np.diff(whole[1]).tolist() == [1, 4, 33, 2]
 
 
+def test_large_rows_are_row_groups_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 1 << 15)
+    draw = random.Random(1)
+    rows = [(i, " ".join(f"{draw.getrandbits(60):x}" for _ in range(4000))) for i in range(12)]
+    packed, parts, _ = lm_score.counted(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    for table, wide in ((packed, 12), (parts, 2)):
+        groups = [pq.ParquetFile(urlparse(f).path).metadata for f in table.inputFiles()]
+        assert max(g.num_row_groups for g in groups) >= wide, "few rows of a task make one row group of all it writes"
+
+
 def test_the_filters_false_chance_is_known(docs):
     assert 0 < lm_score.false_levels(lm_score.counted(docs)[1]).first().false_chance < 0.00056
 
