@@ -5,7 +5,9 @@ from datetime import date, timedelta
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tapeloom.functions.nulls import places
 from tapeloom.plans.catalogue import ORACLES, QUERIES
 
 WEEKS, SPLITS = 220, (90, 170)
@@ -45,3 +47,9 @@ def test_prices_over_time_are_adjusted(spark, folder, name):
     keys = [c for c in ("symbol", "dt", "kind", "bar", "variant", "sample") if c in wanted]
     plain = lambda x: x[sorted(x)].assign(**({"dt": x["dt"].astype(str).str[:10]} if "dt" in x else {})).sort_values(keys).reset_index(drop=True)
     pd.testing.assert_frame_equal(plain(found), plain(wanted), check_dtype=False, rtol=1e-6)
+
+
+@pytest.mark.parametrize("x", [-0.00001, 0.00001, -0.0, 0.0, -1.00005, 2.34567, None])
+def test_places_keep_the_sign_of_zero_as_sql_does(spark, x):
+    found = spark.createDataFrame([(x,)], "x double").select(places(F.col("x"), 4)).first()[0]
+    assert repr(found) == repr(duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0])
