@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions.nulls import places
+from tapeloom.operators.series import exponential
 from tapeloom.plans.catalogue import ORACLES, QUERIES
 
 WEEKS, SPLITS = 220, (90, 170)
@@ -49,6 +50,12 @@ def test_prices_over_time_are_adjusted(spark, folder, name):
     pd.testing.assert_frame_equal(plain(found), plain(wanted), check_dtype=False, rtol=1e-6)
 
 
+def test_factors_are_those_of_sql_bit_by_bit(spark):
+    df = spark.range(1, 1001).selectExpr("-id * 0.00731D AS power")
+    found = df.select("power", exponential("power").alias("adj")).toPandas()  # noqa: F841
+    assert duckdb.sql("SELECT count(*) FROM found WHERE adj <> exp(power)").fetchall() == [(0,)]
+
+
 @pytest.mark.parametrize("x", [-0.00001, 0.00001, -0.0, 0.0, -1.00005, 2.34567, None])
 def test_places_keep_the_sign_of_zero_as_sql_does(spark, x):
     found = spark.createDataFrame([(x,)], "x double").select(places(F.col("x"), 4)).first()[0]
